@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, chat, decontamination, sharding
+from loomtext.llm import bpe, chat, decontamination, language, quality, sharding, toxicity
+from loomtext.llm.fitting import held_out
 from loomtext.session import table
 
 
@@ -37,6 +38,29 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.parse_pieces(chat.format_turns(parts)))
 
 
+def _predicted(scored: DataFrame, held) -> DataFrame:
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(3, 1)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return _predicted(quality.score(docs, model).drop("text"), held)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out(5, 0)
+    model = language.fit(docs, ~held_out(5, 0, "k"))
+    found = language.identify(docs.drop("lang"), model, reject=0.0)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return _predicted(toxicity.score(docs, model).drop("text"), held)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +72,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
+    "op6_language": op6_language,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, chat, decontamination, language, quality, sharding, toxicity
+from loomtext.llm import bpe, chat, decontamination, language, quality, setjoin, sharding, toxicity
 from loomtext.llm.fitting import held_out
 from loomtext.session import table
 
@@ -48,6 +48,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.score(docs, model).drop("text"), held)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out(5, 0)
     model = language.fit(docs, ~held_out(5, 0, "k"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_language": op6_language,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,

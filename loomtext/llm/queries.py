@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, chat, decontamination, language, quality, setjoin, sharding, toxicity
+from loomtext.llm import bpe, chat, decontamination, language, quality, setjoin, sharding, toxicity, vectorjoin
 from loomtext.llm.fitting import held_out
 from loomtext.session import table
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorjoin.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,6 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,

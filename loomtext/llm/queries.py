@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, chat, decontamination, language, quality, setjoin, sharding, toxicity, vectorjoin
+from loomtext.llm import bpe, chat, decontamination, language, quality, setjoin, sharding, tokenfile, toxicity, vectorjoin
 from loomtext.llm.fitting import held_out
 from loomtext.session import table
 
@@ -63,6 +63,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokenfile.through_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(5, 0)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_language": op6_language,
+    "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,

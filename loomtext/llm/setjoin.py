@@ -11,11 +11,13 @@ with probability (1 - s) ** TREES, about 1e-10 at 0.85.
 Near-copy groups stay together however deep a tree goes, so every node is first
 compared with a pivot, the member that shares the most nodes with others; sets
 whose link to a pivot is confirmed need no comparison among themselves, as only
-components are asked for. What a large node still holds in different components
-at the last level is joined exactly: by the rarest shingles of each set, of which
-two similar sets must share one. No link is counted unless confirmed on full sets.
+components are asked for. Then estimates join sets into clusters: in small nodes
+all are compared, and in nodes that stay large all that are not near the pivot. In
+a cluster that holds several components, all sets outside its largest component are compared
+with all of the cluster, block by block and exactly. Every step gives at most one row a
+member, block and tree, never the pairs of a group.
 
-Signatures decide only which pairs are confirmed: a pair is dropped when its
+Signatures decide only which pairs are confirmed: a pair is passed over when its
 estimate lies 4.5 standard deviations under the threshold.
 
 Defined results: texts without words are null sets, link with nothing and are
@@ -28,20 +30,19 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import components
 from loomtext.llm.kernels import document_shingles, minwise, runs
 from loomtext.session import materialise
 
-FUNCTIONS, TREES, LEVELS = 64, 12, 3
-#: Members of a node that are compared pair by pair.
-SMALL = 64
+FUNCTIONS, TREES, LEVELS = 64, 12, 5
+#: Members of a node that are compared pair by pair; members of a block of a larger one.
+SMALL, BLOCK = 64, 256
 #: Pairs that meet one document in one task of the confirmation.
 CHUNK = 256
 #: Rows of two longs that may be broadcast, about 16 MB; larger tables are joined by a shuffle.
@@ -137,79 +138,109 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return rows.repartition("g").sortWithinPartitions("g", "role", "doc").mapInArrow(run, "u bigint, v bigint")
 
 
-def _small_pairs(members: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
-    """Pairs of different labels in each group ``node`` of (node, doc, label) whose estimate is high enough."""
-    frame = members.join(briefs.select(F.col("doc_id").alias("doc"), "brief"), "doc").select("node", "doc", "label", "brief")
+def _joined(adjacent: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of members whose labels a symmetric relation joins: one pair for each label that joins another."""
+    _, own = np.unique(labels, return_inverse=True)
+    group = np.arange(own.max() + 1)
+    first = np.full(len(group), len(own))
+    np.minimum.at(first, own, np.arange(len(own)))
+    x, y = np.nonzero(adjacent)
+    x, y = own[x], own[y]
+    while True:
+        low = group.copy()
+        np.minimum.at(low, x, group[y])
+        np.minimum.at(low, group[x], group[y])
+        low = low[low]
+        if (low == group).all():
+            break
+        group = low
+    return [(int(first[g]), int(first[k])) for k, g in enumerate(group.tolist()) if g != k]
+
+
+def _edges(found: list[tuple[int, int]], docs_: list[int]) -> pa.RecordBatch:
+    u, v = zip(*((docs_[i], docs_[j]) for i, j in found))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
 
-    def compare(docs_: list[int], labels: list[int], briefs_: list[bytes]) -> pa.RecordBatch | None:
-        x = np.frombuffer(b"".join(briefs_), np.uint8).reshape(-1, FUNCTIONS)
-        label, ids = np.array(labels), np.array(docs_)
-        out = []
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero(((x[i + 1 :] == x[i]).mean(axis=1) >= least) & (label[i + 1 :] != label[i])) + i + 1
-            out += [(min(ids[i], j), max(ids[i], j)) for j in ids[near]]
-        if not out:
-            return None
-        a, b = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _grouped(compare):
+    """A function over a stream sorted by its first column that calls ``compare`` with the columns of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [])
-        for (node,), piece in runs(batches, ["node"]):
-            if node != now:
-                if len(held[0]) > 1 and (done := compare(*held)):
-                    yield done
-                now, held = node, ([], [], [])
-            for i in range(3):
-                held[i].extend(piece.column(i + 1).to_pylist())
-        if len(held[0]) > 1 and (done := compare(*held)):
-            yield done
+        now, held = None, []
+        for (group,), piece in runs(batches, ["g"]):
+            if group != now:
+                if held and (found := compare(held)):
+                    yield _edges(found, [d for h in held for d in h.column(1).to_pylist()])
+                now, held = group, []
+            held.append(piece)
+        if held and (found := compare(held)):
+            yield _edges(found, [d for h in held for d in h.column(1).to_pylist()])
 
-    return frame.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+    return run
 
 
-def _stuck_pairs(stuck: DataFrame, docs: DataFrame, briefs: DataFrame, k: int, percent: int, least: float) -> DataFrame:
-    """Pairs of different labels among (doc, label) that share one of their rarest shingles.
+def _near(members: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that join the labels in each group ``g`` of (g, doc, label) whose estimates are high enough."""
 
-    Of two sets of the asked similarity, each with n shingles in one common order,
-    the first n - ceil(t n) + 1 of either share one: no such pair is missed.
-    """
+    def compare(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        labels = np.concatenate([h.column(2).to_numpy() for h in held])
+        if len(labels) < 2 or (labels == labels[0]).all():
+            return []
+        x = np.frombuffer(b"".join(v for h in held for v in h.column(3).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+        adjacent = np.stack([(x == row).sum(axis=1) >= least * FUNCTIONS for row in x])
+        return _joined(adjacent & (labels[:, None] != labels), labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [np.unique(s) for s in document_shingles(part.column(2), k)]
-                sizes = [len(s) for s in sets]
-                if sum(sizes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes), pa.int64()) for i in (0, 1)]
-                        + [pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))],
-                        names=["doc", "label", "n", "h"],
-                    )
-
-    texts = _with_texts(stuck, docs).select("doc", "label", "text")
-    tokens = materialise(texts.mapInArrow(run, "doc bigint, label bigint, n bigint, h bigint").distinct(), "tokens")
-    known = tokens.groupBy("h").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc").orderBy("df", "h")
-    rare = tokens.join(known, "h").withColumn("at", F.row_number().over(order))
-    rare = materialise(rare.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).filter("df > 1").select(F.col("h").alias("node"), "doc", "label"), "rare")
-    mixed = rare.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node")
-    return _cross_pairs(rare.join(mixed, "node"), briefs, least)
-
-
-def _cross_pairs(members: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
-    """As :func:`_small_pairs`, for groups of any size: a group is cut into blocks, and all pairs of blocks are compared.
-
-    A group of b blocks becomes b (b + 1) / 2 groups of two blocks at most.
+    frame = members.join(briefs.select(F.col("doc_id").alias("doc"), "brief"), "doc").select("g", "doc", "label", "brief")
+    return frame.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
+
+
+def _dealt(members: DataFrame, size: int) -> DataFrame:
+    """(g, doc, label) for (g, doc, label, settled): groups cut into blocks, each pair of blocks a group of its own.
+
+    Two blocks of settled members need not meet, so the work is the number of open members times that of all.
     """
-    counts = members.groupBy("node").agg(F.count("*").alias("n"))
-    sized = members.join(counts, "node").withColumn("b", F.ceil(F.col("n") / 512).cast("int"))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("b")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other")
-    dealt = sized.select("node", "doc", "label", "own", other)
-    key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return _small_pairs(dealt.select(key.alias("node"), "doc", "label"), briefs, least)
+    sides = members.groupBy("g").agg(F.count_if(~F.col("settled")).alias("open"), F.count_if("settled").alias("rest"))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / size), F.when(F.col(n) > 0, 1).otherwise(0)).cast("int")
+    sized = members.join(sides, "g").select("g", "doc", "label", "settled", blocks("open").alias("a"), blocks("rest").alias("b"))
+    sized = sized.filter("a > 0")
+    whole = (F.col("a") <= 1) & (F.col("b") <= 1)
+    own = F.when(F.col("settled"), F.col("a") + F.pmod(F.xxhash64("doc"), F.greatest("b", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc"), F.col("a"))).cast("int")
+    last = F.when(F.col("settled"), F.col("a") - 1).otherwise(F.col("a") + F.col("b") - 1)
+    others = F.when(whole, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last))
+    pairs = sized.select("g", "doc", "label", own.alias("own"), whole.alias("whole"), F.explode(others).alias("other"))
+    key = F.when(F.col("whole"), F.xxhash64("g", F.lit(-1), F.lit(-1))).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    return pairs.select(key.alias("g"), "doc", "label")
+
+
+def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (u, v) that join the labels in each group ``g`` of (g, doc, label), by all intersections of full sets.
+
+    A group is two blocks at most. Its intersections are one product of a matrix
+    of members by the shingles that two of them share; the counts are exact.
+    """
+
+    def compare(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        labels = np.concatenate([h.column(2).to_numpy() for h in held])
+        if len(labels) < 2 or (labels == labels[0]).all():
+            return []
+        sets = [np.unique(s) for h in held for s in document_shingles(h.column(3), k)]
+        sizes = np.array([len(s) for s in sets])
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)
+        column = np.full(len(times), -1)
+        column[shared] = np.arange(len(shared))
+        rows, column = np.repeat(np.arange(len(sets)), sizes), column[place]
+        both = np.zeros((len(sets), len(sets)))
+        for at in range(0, len(shared), 8192):
+            here = (column >= at) & (column < at + 8192)
+            matrix = np.zeros((len(sets), min(8192, len(shared) - at)), np.float32)
+            matrix[rows[here], column[here] - at] = 1
+            both += matrix @ matrix.T
+        similar = 100 * both >= percent * (sizes[:, None] + sizes - both)
+        return _joined(similar & (both > 0) & (labels[:, None] != labels), labels)
+
+    rows = _with_texts(members, docs).select("g", "doc", "label", "text")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
 
 
 def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -230,30 +261,41 @@ def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     edges = materialise(confirm(stars, docs, k, percent), "edges")
     groups = components(edges)
 
-    # What is still in different components.
+    # Clusters of sets that may be similar though their components differ: by stars, and by estimates in the nodes.
     labels = reps.select(F.col("doc_id").alias("doc"), "sig").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
     labels = materialise(labels.select("doc", F.coalesce("component", "doc").alias("label"), "sig"), "labels")
-    members, parts, stuck = live.select("node", "doc"), [], None
+    near = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    members = live.join(pivots, "node").select("node", "doc", F.col("a").alias("pivot"))
+    small = None
     for level in range(LEVELS + 1):
         rows = members.join(labels, "doc") if level == 0 else members
         kinds = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node", "n")
-        rows = materialise(rows.join(kinds, "node").select("node", "doc", "label", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
-        parts.append(rows.filter(F.col("n") <= SMALL).select("node", "doc", "label"))
+        rows = materialise(rows.join(kinds, "node").select("node", "doc", "label", "pivot", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
+        part = rows.filter(F.col("n") <= SMALL).select(F.col("node").alias("g"), "doc", "label")
+        small = part if small is None else small.unionAll(part)
         large = rows.filter(F.col("n") > SMALL)
         if large.isEmpty():
             break
         if level == LEVELS:
-            stuck = materialise(large.select("doc", "label").distinct(), "stuck")
+            # A member near the pivot of its first node is in the pivot's cluster already.
+            known = near.select(F.col("u").alias("pivot"), F.col("v").alias("doc"), F.lit(True).alias("known"))
+            settled = F.coalesce("known", F.col("doc") == F.col("pivot"))
+            stuck = large.join(known, ["pivot", "doc"], "left").select(F.col("node").alias("g"), "doc", "label", settled.alias("settled"))
+            small = small.unionAll(_dealt(stuck, BLOCK))
+            break
         own = F.element_at("sig", (F.pmod("node", F.lit(FUNCTIONS)) + 1).cast("int"))
-        members = large.select(F.xxhash64("node", own).alias("node"), "doc", "label", "sig")
-    pairs = _small_pairs(reduce(DataFrame.unionAll, parts), briefs, least)
-    if stuck is not None:
-        pairs = pairs.unionAll(_stuck_pairs(stuck, docs, briefs, k, percent, least))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-    if pairs.isEmpty():
-        return groups
-    return components(edges.unionAll(materialise(confirm(pairs, docs, k, percent), "edges")))
+        members = large.select(F.xxhash64("node", own).alias("node"), "doc", "label", "pivot", "sig")
+    near = materialise(near.unionAll(_near(small, briefs, least)), "near")
+    clusters = components(near)
+    clusters = clusters.select(F.col("node").alias("doc"), F.col("component").alias("g")).unionAll(clusters.select(F.col("component").alias("doc"), F.col("component").alias("g")).distinct())
+    mixed = materialise(clusters.join(labels.select("doc", "label"), "doc"), "clusters")
+
+    # Exact comparison in each cluster of what is not in its largest component.
+    sizes = mixed.groupBy("g", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("g").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    opened = mixed.join(largest.select("g", F.col("most")["label"].alias("most")), "g").select("g", "doc", "label", (F.col("label") == F.col("most")).alias("settled"))
+    more = materialise(_exact(materialise(_dealt(opened, BLOCK), "blocks"), docs, k, percent), "edges")
+    return groups if more.isEmpty() else components(edges.unionAll(more))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

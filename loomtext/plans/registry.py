@@ -1,10 +1,15 @@
-"""Queries over the driver's tables, each with its SQL where SQL can express it."""
+"""Queries over the driver's tables, each with its SQL where SQL can express it.
+
+Names begin with the operator's id in the survey. Importing this module loads all
+modules of queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,18 +27,31 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query(
-    "line_dedup_stats",
-    """
-    WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT count(*) AS total, count(DISTINCT CASE WHEN line <> '' THEN line END) AS kept,
-           count(*) - count(DISTINCT CASE WHEN line <> '' THEN line END) AS duplicates FROM lines
-    """,
-)
-def line_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
-    seen = lines.groupBy(F.sha2("line", 256).alias("h"), (F.col("line") == "").alias("blank")).agg(F.count("*").alias("n"))
-    kept = F.count_if(~F.col("blank"))
-    return seen.agg(F.sum("n").alias("total"), kept.alias("kept"), (F.sum("n") - kept).alias("duplicates"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, line) of the documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+#: The same in DuckDB's SQL, as the first of a list of named queries.
+LINES = """WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM cut)"""
+
+#: Lines in both scripts and of every kind that the filters know; one literal for both engines.
+FIXTURE = """(VALUES
+(0, 'नेपालको राजधानी काठमाडौं हो'), (1, 'abc क'), (2, 'ab'), (3, 'abc कखगघ'), (4, 'download the torrent 1080p अब'), (5, 'क ख ग घ च छ ज झ'),
+(6, 'Good  morning everyone from Pokhara'), (7, 'ma dainik herne manxe hu'), (8, 'wow kati ramro'), (9, 'if they win the election all will change'),
+(10, 'jay shree ram sabai lai'), (11, 'के हो यो?'), (12, 'kina aadha matra'), (13, 'follow us on instagram'), (14, 'विदेशीliदोष छ'), (15, 'xkcdq brtzl pqrst wvbnm'),
+(16, 'the nepal government and the minister'), (17, '१२३ र 45'), (18, 'यो हाम्रो देशको राजनीति र अर्थतन्त्रको कुरा हो'), (19, 'what is this?'), (20, '!!! ??? ,,, ।।।'),
+(21, '   '), (22, 'a &amp; b &amp; c &amp; d &amp; क'), (23, 'बालेन नै हुनुपर्छ भन्ने मेरो विचार'), (24, 'radhe  radhe'), (25, 'see what happen now'),
+(26, 'सन् 2020 मा गा.वि.स.को निर्णय'), (27, 'watching from Gorkha today'), (28, 'hello दाजु'), (29, 'स्कुल र क्ा')) AS t(pos, line)"""
+
+
+def fixture(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT cast(pos AS bigint) AS pos, line FROM {FIXTURE}")
+
+
+from loomtext.plans import corpus, generation, tokens  # noqa: E402, F401

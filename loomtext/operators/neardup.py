@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +35,39 @@ def plan_bands(threshold: float, permutations: int = PERMUTATIONS, steps: int =
 
 def shingles(c: Column | str, k: int = 5) -> Column:
     """The set of k-word runs; with fewer words, of k-character runs of the text without blanks, one at least."""
-    own, joined = words(c), F.replace(col(c), F.lit(" "), F.lit(""))
-    n, m = F.size(own), F.greatest(F.char_length(joined) - k + 1, F.lit(1))
-    long = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(own, i, F.lit(k)), " "))
-    short = F.transform(F.sequence(F.lit(1), m), lambda i: F.substring(joined, i, F.lit(k)))
-    return F.array_distinct(F.when(n >= k, long).otherwise(short))
+    # Words and text are bound as lambda variables: inside a lambda an expression would be evaluated for each shingle.
+    long = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+    short = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - k + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
+    joined = F.replace(col(c), F.lit(" "), F.lit(""))
+    made = F.transform(F.array(words(c)), lambda w: F.when(F.size(w) >= k, long(w)).otherwise(F.get(F.transform(F.array(joined), short), F.lit(0))))
+    return F.array_distinct(F.get(made, F.lit(0)))
 
 
 def band_keys(shingle_set: Column | str, bands: int, rows: int) -> Column:
-    """One hash a band, over the minima of its hash functions. A shingle is hashed once as text and then as a number."""
-    hashed = F.transform(col(shingle_set), lambda s: F.xxhash64(s))
-    least = lambda i: F.array_min(F.transform(hashed, lambda h: F.xxhash64(i, h)))
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.transform(F.sequence(b * rows, b * rows + rows - 1), least)))
+    """One hash a band, over the minima of its hash functions.
+
+    Shingles are hashed to numbers by Spark; the minima over hundreds of functions are an
+    array product a row, many times faster in an Arrow UDF than as nested lambdas, which Spark interprets.
+    """
+    draws = np.random.Generator(np.random.PCG64(42)).integers(1, 2**63, (2, bands * rows), dtype=np.uint64)
+    times, plus = draws[0] * np.uint64(2) + np.uint64(1), draws[1]
+
+    @F.pandas_udf("array<bigint>")
+    def run(values: pd.Series) -> pd.Series:
+        def keys(v) -> np.ndarray:
+            h = np.asarray(v, dtype=np.int64).view(np.uint64)
+            least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+            for at in range(0, len(h), 2048):
+                np.minimum(least, (h[at : at + 2048, None] * times + plus).min(axis=0), out=least)
+            out = np.arange(1, bands + 1, dtype=np.uint64)
+            for column in least.reshape(bands, rows).T:
+                out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+            return out.view(np.int64)
+
+        return values.map(lambda v: None if v is None else keys(v))
+
+    return run(F.transform(col(shingle_set), lambda s: F.xxhash64(s)))
 
 
 def collisions(items: DataFrame, key: str, text: str, threshold: float, permutations: int, k: int = 5, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage; ``ORACLES`` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, chat, decontamination, language, quality, setjoin, sharding, tokenfile, toxicity, vectorjoin
 from loomtext.llm.fitting import held_out
+from loomtext.llm.oracles import ORACLES
 from loomtext.session import table
 
 
@@ -96,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from loomtext.llm.kernels import blocks, text_buffer
+from loomtext.llm.kernels import blocks, give_back, text_buffer
 
 #: Words whose ids a worker remembers; when there are more, it begins anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -211,6 +211,8 @@ def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> D
                 values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*part.columns, listed], names=[*kept, into])
+        own.cache.clear()  # the worker lives on, and what the next task does may not need words
+        give_back()
 
     return frame.mapInArrow(run, schema)
 
@@ -233,5 +235,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
                 counts = np.array([len(x) if x.is_valid else 0 for x in column])
                 texts = [own.decode(x) for x in np.split(flat, np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, into])
+        give_back()
 
     return frame.mapInArrow(run, schema)

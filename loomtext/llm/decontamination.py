@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.kernels import U64, blocks, shingles, text_buffer, word_hashes
+from loomtext.llm.kernels import U64, blocks, give_back, shingles, text_buffer, word_hashes
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Items that one pass over the documents takes; more items take more passes.
@@ -39,12 +39,13 @@ _PLAIN = np.frombuffer(bytes(range(256)).translate(_PUNCTUATION), np.uint8)
 
 def words_of(column: pa.Array) -> Iterator[np.ndarray]:
     """Word hashes of each text of a string column."""
-    data, offsets = text_buffer(pc.utf8_lower(column))
-    for a, b in blocks(offsets):
-        base = offsets[a]
-        words, at = word_hashes(_PLAIN[data[base : offsets[b]]], offsets[a : b + 1] - base)
-        for i in range(b - a):
-            yield words[at[i] : at[i + 1]]
+    for first in range(0, len(column), 512):
+        data, offsets = text_buffer(pc.utf8_lower(column.slice(first, 512)))
+        for a, b in blocks(offsets):
+            base = offsets[a]
+            words, at = word_hashes(_PLAIN[data[base : offsets[b]]], offsets[a : b + 1] - base)
+            for i in range(b - a):
+                yield words[at[i] : at[i + 1]]
 
 
 class Index:
@@ -149,6 +150,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINMENT,
             for batch in batches:
                 kept = [next(own.find(words), None) is None for words in words_of(batch.column(place))]
                 yield batch.filter(pa.array(kept, pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomtext.llm.fitting import labelled, logistic, sigmoid
+from loomtext.llm.kernels import give_back
 
 #: Labelled rows, and lines of each, that the fit looks at, at most.
 FIT_ROWS, FIT_LINES = 4_000, 64
@@ -213,5 +214,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(part.column(place).to_pylist()))], names=[*kept, into])
+        give_back()
 
     return frame.mapInArrow(run, schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import components
-from loomtext.llm.kernels import document_shingles, minwise, runs
+from loomtext.llm.kernels import document_shingles, give_back, minwise, runs
 from loomtext.session import materialise
 
 FUNCTIONS, TREES, LEVELS = 64, 12, 5
@@ -71,6 +71,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 [ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(brief, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "sig", "brief"],
             )
+        give_back()
 
     frame = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
     return frame.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sig array<int>, brief binary")
@@ -175,6 +176,8 @@ def _grouped(compare):
             held.append(piece)
         if held and (found := compare(held)):
             yield _edges(found, [d for h in held for d in h.column(1).to_pylist()])
+        held.clear()
+        give_back()
 
     return run
 

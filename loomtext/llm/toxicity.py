@@ -10,7 +10,7 @@ weights. The insult lexicon with its weights, and the logistic function, are
 learned from a bounded sample of labelled rows.
 
 Defined results: null and empty texts match nothing and get the score of a
-document without matches; without labelled rows nothing matches; texts are read
+document without matches; without toxic labels nothing matches and every score is 0.05; texts are read
 whole. Repeated rows are scored each.
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomtext.llm.fitting import labelled, logistic, sigmoid
+from loomtext.llm.kernels import give_back
 
 #: Labelled rows that the fit looks at, and learned patterns, at most.
 FIT_ROWS, PATTERNS = 20_000, 3_000
@@ -168,10 +169,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in words:
                 own.update([w[:n] + "*" for n in STEM if len(w) > n])
             seen[1 if label else 0].update(own)
-            if len(seen[0]) + len(seen[1]) > 500_000:
+            if len(seen[0]) + len(seen[1]) > 100_000:
                 yield flush()
     if seen[0] or seen[1]:
         yield flush()
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame, training, bound: int = FIT_ROWS) -> Model:
@@ -185,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, training, bound: int = FIT_ROWS) ->
     best = counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds >= 3").orderBy(F.desc("toxic"), "pattern").limit(PATTERNS).collect()
     words = {r.pattern: min(r.odds, 8.0) / 4 for r in best if not r.pattern.endswith("*")}
     stems = {r.pattern[:-1]: min(r.odds, 8.0) / 4 for r in best if r.pattern.endswith("*")}
-    model = Model(words, stems, np.zeros(5))
+    model = Model(words, stems, np.array([0.0, 0.0, 0.0, 0.0, math.log(0.05 / 0.95)]))
+    if not n:
+        return model  # nothing was shown to be toxic, so nothing is
     schema = StructType([StructField("label", DoubleType()), *(StructField(f"f{i}", DoubleType()) for i in range(4))])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,5 +215,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(part.column(place).to_pylist()))], names=[*kept, into])
+        give_back()
 
     return frame.mapInArrow(run, schema)

@@ -43,31 +43,32 @@ def shingles(c: Column | str, k: int = 5) -> Column:
     return F.array_distinct(F.get(made, F.lit(0)))
 
 
-def band_keys(shingle_set: Column | str, bands: int, rows: int) -> Column:
-    """One hash a band, over the minima of its hash functions.
+def band_keys(items: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
+    """(id, keys): one hash a band, over the minima of its hash functions.
 
     Shingles are hashed to numbers by Spark; the minima over hundreds of functions are an
-    array product a row, many times faster in an Arrow UDF than as nested lambdas, which Spark interprets.
+    array product a row over Arrow batches, many times faster than nested lambdas, which Spark interprets.
     """
     draws = np.random.Generator(np.random.PCG64(42)).integers(1, 2**63, (2, bands * rows), dtype=np.uint64)
     times, plus = draws[0] * np.uint64(2) + np.uint64(1), draws[1]
 
-    @F.pandas_udf("array<bigint>")
-    def run(values: pd.Series) -> pd.Series:
-        def keys(v) -> np.ndarray:
-            h = np.asarray(v, dtype=np.int64).view(np.uint64)
-            least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-            for at in range(0, len(h), 2048):
-                np.minimum(least, (h[at : at + 2048, None] * times + plus).min(axis=0), out=least)
-            out = np.arange(1, bands + 1, dtype=np.uint64)
-            for column in least.reshape(bands, rows).T:
-                out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
-            return out.view(np.int64)
+    def keys(v) -> np.ndarray:
+        h = np.asarray(v, dtype=np.int64).view(np.uint64)
+        least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(h), 2048):
+            np.minimum(least, (h[at : at + 2048, None] * times + plus).min(axis=0), out=least)
+        out = np.arange(1, bands + 1, dtype=np.uint64)
+        for column in least.reshape(bands, rows).T:
+            out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out.view(np.int64)
 
-        return values.map(lambda v: None if v is None else keys(v))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"], "keys": [keys(v) for v in f["hashed"]]})
 
-    return run(F.transform(col(shingle_set), lambda s: F.xxhash64(s)))
+    hashed = F.transform(shingles(text, k), lambda s: F.xxhash64(s))
+    return items.select(F.col(key).cast("bigint").alias("id"), hashed.alias("hashed")).mapInPandas(run, "id bigint, keys array<bigint>")
 
 
 def collisions(items: DataFrame, key: str, text: str, threshold: float, permutations: int, k: int = 5, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +78,7 @@ def collisions(items: DataFrame, key: str, text: str, threshold: float, permutat
     its first item, and bands are joined over leaders only.
     """
     b, r = bands or plan_bands(threshold, permutations)
-    signed = items.select(F.col(key).alias("id"), band_keys(shingles(text, k), b, r).alias("keys"))
+    signed = band_keys(items, key, text, k, b, r)
     groups = materialise(signed.withColumn("sig", F.xxhash64("keys")), "signatures")
     leaders = groups.groupBy("sig").agg(F.min("id").alias("id"))
     buckets = groups.join(leaders, ["sig", "id"], "left_semi").select("id", F.posexplode("keys").alias("band", "key"))

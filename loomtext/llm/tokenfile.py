@@ -70,17 +70,18 @@ class _Model:
     def slot(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
         return ((before2 * 0x9E3779B1 + before1 * 0x85EBCA6B) & 0xFFFFFFFF) >> 14
 
-    def predict(self, before2: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        two, one = self.two[self.slot(before2, before1)], self.one[before1]
-        return two, one, (two >= 0) + 2 * (one >= 0) + 4 * ((two == one) & (two >= 0))
+    def predict(self, slot: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        two, one = self.two[slot], self.one[before1]
+        known = two >= 0
+        return two, one, known + 2 * (one >= 0) + 4 * ((two == one) & known)
 
-    def adapt(self, ids: np.ndarray, before2: np.ndarray, before1: np.ndarray, two, one, kind) -> None:
+    def adapt(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, two, one, kind) -> None:
         hit2 = ids == two
         outcome = np.where(hit2, 0, np.where(ids == one, 1, 2))
         self.right += np.bincount(kind * 3 + outcome, minlength=24).reshape(8, 3)
         self.counts += np.bincount(ids, minlength=self.alphabet)
         self.one[before1] = ids
-        self.two[self.slot(before2, before1)] = ids
+        self.two[slot] = ids
         self.prepare()
 
 
@@ -110,7 +111,8 @@ def encode_block(ids: np.ndarray) -> bytes:
         x = np.concatenate([part, np.zeros(length * lanes - len(part), np.int64)]).reshape(lanes, length).T
         x = np.ascontiguousarray(x)
         two_before, one_before = _before(x, alphabet)
-        two, one, kind = model.predict(two_before, one_before)
+        slot = model.slot(two_before, one_before)
+        two, one, kind = model.predict(slot, one_before)
         hit2 = x == two
         hit1 = ~hit2 & (x == one)
         q2, q1, q0 = model.q2[kind], model.q1[kind], model.q0[kind]
@@ -128,14 +130,14 @@ def encode_block(ids: np.ndarray) -> bytes:
                 own = low[ready]
                 left = np.where(settled[ready], size[ready], (U(0) - own) & (_BOTTOM - U(1)))
                 words.append((own >> _TOP).astype(np.uint16))
-                owners.append(ready)
+                owners.append(ready.astype(np.uint16))
                 low[ready] = own << U(16)
                 size[ready] = left << U(16)
         flat = x.ravel()
-        model.adapt(flat, two_before.ravel(), one_before.ravel(), two.ravel(), one.ravel(), kind.ravel())
+        model.adapt(flat, slot.ravel(), one_before.ravel(), two.ravel(), one.ravel(), kind.ravel())
     for shift in (48, 32, 16, 0):
         words.append((low >> U(shift)).astype(np.uint16))
-        owners.append(np.arange(lanes))
+        owners.append(np.arange(lanes, dtype=np.uint16))
     owner = np.concatenate(owners)
     stream = np.concatenate(words)[np.argsort(owner, kind="stable")]
     sizes = np.bincount(owner, minlength=lanes).astype(np.uint32)
@@ -173,14 +175,16 @@ def decode_block(data: bytes) -> np.ndarray:
         pieces = []
         before1 = before2 = np.full(lanes, alphabet, np.int64)
         for t in range(length):
-            two, one, kind = model.predict(before2, before1)
+            slot = model.slot(before2, before1)
+            two, one, kind = model.predict(slot, before1)
             q2, q1, q0 = model.q2[kind] << TOTAL, model.q1[kind] << TOTAL, model.q0[kind]
             size >>= U(TOTAL + MIX)
-            value = np.minimum(((code - low) // np.maximum(size, U(1))).astype(np.int64), top)
+            value = np.minimum(((code - low) // size).astype(np.int64), top)
             edge = q2 + q1
             hit2 = value < q2
             hit1 = ~hit2 & (value < edge)
-            own = symbols[np.maximum(value - edge, 0) // q0]
+            # Exact in doubles: the dividend is under 2 ** 30 and the divisor at most 2 ** 10.
+            own = symbols[(np.maximum(value - edge, 0) / q0).astype(np.int64)]
             ids = np.where(hit2, two, np.where(hit1, one, own)).astype(np.int64)
             start = np.where(hit2, 0, np.where(hit1, q2, edge + model.cum[own] * q0)).astype(U)
             freq = np.where(hit2, q2, np.where(hit1, q1, model.freq[own] * q0)).astype(U)
@@ -197,12 +201,12 @@ def decode_block(data: bytes) -> np.ndarray:
                 code[ready] = code[ready] << U(16) | stream[np.minimum(at[ready], last)]
                 at[ready] += 1
             x[t] = ids
-            pieces.append((two, one, kind))
+            pieces.append((slot, two, one, kind))
             before2, before1 = before1, ids
         out[begin : begin + count] = x.T.ravel()[:count]
-        two_before, one_before = _before(x, alphabet)
-        two, one, kind = (np.concatenate(p) for p in zip(*pieces))
-        model.adapt(x.ravel(), two_before.ravel(), one_before.ravel(), two, one, kind)
+        _, one_before = _before(x, alphabet)
+        slot, two, one, kind = (np.concatenate(p) for p in zip(*pieces))
+        model.adapt(x.ravel(), slot, one_before.ravel(), two, one, kind)
     if zlib.crc32(out.tobytes()) != check:
         raise ValueError("the block's checksum differs")
     return out

@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, bound: int = FIT_ROWS) ->
     rows = labelled(docs, labels, "toxic", training, bound).select("label", "text")
     sizes = {r.label > 0: r["count"] for r in rows.groupBy("label").count().collect()}
     n, m = sizes.get(True, 0), sizes.get(False, 0)
-    least = max(3, math.ceil(0.004 * n))
+    least = max(5, math.ceil(0.004 * n))  # fewer would let in words that are toxic by chance
     counted = rows.mapInArrow(_counts, "pattern string, toxic bigint, clean bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.1) / (n + 1.0)) - F.log((F.col("clean") + 0.5) / (m + 1.0))
     best = counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds >= 3").orderBy(F.desc("toxic"), "pattern").limit(PATTERNS).collect()

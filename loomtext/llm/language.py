@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-#: Bounds of the training sample: rows a language, characters of each, bytes of a dictionary.
+#: Bounds of the training sample: rows a language, characters of each from a drawn place, bytes of a dictionary.
 FIT_ROWS, FIT_CHARS, DICTIONARY = 400, 300, 60_000
 BLOCK = 8_192
 #: Bytes by which two languages may differ for a short text to be compressed again with shorter matches.
@@ -91,7 +91,8 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", text: str = "text
     rows = rows.filter("l is not null and t is not null")
     counts = rows.groupBy("l").count().select(F.col("l"), (F.lit(FIT_ROWS * 65536) / F.greatest(F.col("count"), F.lit(FIT_ROWS))).alias("below"))
     picked = rows.join(F.broadcast(counts), "l").filter(F.pmod(F.xxhash64("k"), F.lit(65536)) < F.col("below"))
-    sample = sorted((r.l, r.k, r.t) for r in picked.select("l", F.coalesce(F.col("k").cast("string"), F.lit("")).alias("k"), F.substring("t", 1, FIT_CHARS).alias("t")).toLocalIterator())
+    place = (1 + F.pmod(F.xxhash64("k", F.lit("place")), F.greatest(F.char_length("t") - FIT_CHARS + 1, F.lit(1)))).cast("int")
+    sample = sorted((r.l, r.k, r.t) for r in picked.select("l", F.coalesce(F.col("k").cast("string"), F.lit("")).alias("k"), F.substring(F.col("t"), place, F.lit(FIT_CHARS)).alias("t")).toLocalIterator())
     pairs = [(lang, text) for lang, _, text in sample]
     first = Model(_gather(pairs))
     agreed = [(lang, text) for lang, text in pairs if first.predict(text)[0] in (lang, "und")]

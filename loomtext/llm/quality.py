@@ -17,6 +17,7 @@ scored each; without labelled rows every score is a half.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from loomtext.llm.fitting import labelled, logistic, sigmoid
 from loomtext.llm.kernels import give_back
 
-#: Labelled rows, and lines of each, that the fit looks at, at most.
+#: Labelled rows, and lines in a row of each, from a drawn place, that the fit looks at, at most.
 FIT_ROWS, FIT_LINES = 4_000, 64
 _KINDS = 8
 _KIND = np.full(256, 7, np.uint8)
@@ -157,10 +158,14 @@ def _train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, emission: np.ndarray,
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [line_features(t) for t in batch.column(2).to_pylist()]
-        flat = [x[:FIT_LINES].ravel() for x, _ in rows]
+        flat, lengths = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            x, sizes = line_features(text)
+            at = zlib.crc32(str(doc).encode()) % max(1, len(x) - FIT_LINES + 1)
+            flat.append(x[at : at + FIT_LINES].ravel())
+            lengths.append(sizes[at : at + FIT_LINES])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.float64())), pa.array([s[:FIT_LINES] for _, s in rows], pa.list_(pa.float64()))],
+            [batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.float64()))],
             names=["doc_id", "label", "x", "sizes"],
         )
 

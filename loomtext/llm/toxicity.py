@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A document is cut into clauses. Every word of a clause belongs to symbol classes:
-insult (learned words, and stems that stand for all words that begin so), threat,
-target, negation and reported speech. Five small transducers read the clause's
-symbols together; the composed machine gives each insult or threat a weight that
-depends on the state of the others: aimed at a target it weighs more, negated or
-reported it weighs less. A document's score is a logistic function of its clause
-weights. The insult lexicon with its weights, and the logistic function, are
-learned from a bounded sample of labelled rows.
+A document is cut into clauses. The lexicon maps every word of a clause to the
+symbols that it carries: insult (learned words, and stems that stand for all words
+that begin so), threat, target, negation and reported speech. A transducer that
+reads the clause from its end marks words with a target ahead. Five small weighted
+transducers (insult, threat, target, negation, reported speech) are composed into
+one machine, which reads the marked clause from its begin: its arcs multiply the
+weight of each match, more where it is aimed at a target, less where it is negated
+or reported. A document's score is a logistic function of its clause weights. The
+insult lexicon with its weights, and the logistic function, are learned from a
+bounded sample of labelled rows.
 
 Defined results: null and empty texts match nothing and get the score of a
 document without matches; without toxic labels nothing matches and every score is 0.05; texts are read
@@ -20,7 +22,8 @@ import bisect
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +53,46 @@ def spaced(text: str) -> str:
     return low.translate(_MARKS) if _WIDE.search(low) else low
 
 
-class Grammar:
-    """The composed machine over the symbols of a clause."""
+#: Symbols of a word, as bits: what the lexicon gives, the marks of the transducer from the end, and what the composed machine writes.
+INSULT, THREATENING, AIM, NEGATOR, REPORT, AHEAD, SOON, MATCH, MENACE = (1 << i for i in range(9))
+#: Arc weights; words over which a target and a negation reach; least weight of a threat.
+AIMED, NEGATED, QUOTED, NEAR, NEGATION_REACH, MENACE_WEIGHT = 1.3, 0.5, 0.7, 4, 3, 3.0
+
+#: machine[state][symbols]: next state, symbols written, weight.
+Machine = list[list[tuple[int, int, float]]]
+
+
+def transducer(states: int, arc: Callable[[int, int], tuple[int, int, float]]) -> Machine:
+    return [[arc(q, x) for x in range(MENACE << 1)] for q in range(states)]
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """The machine that hands what ``first`` writes to ``second``; weights multiply."""
+    n = len(second)
+
+    def arc(q: int, x: int) -> tuple[int, int, float]:
+        p, y, w = first[q // n][x]
+        r, z, v = second[q % n][y]
+        return p * n + r, z, w * v
+
+    return transducer(len(first) * n, arc)
 
-    #: Weight of an insult or threat by (aimed at a target, negated, reported).
-    AIMED, NEGATED, QUOTED, THREATENED, NEAR = 1.3, 0.5, 0.7, 3.0, 4
+
+@lru_cache(maxsize=1)
+def grammar_machines() -> tuple[Machine, Machine]:
+    """The transducer that reads from the end, and the composition of the five that read from the begin."""
+    down = lambda q: max(0, q - 1)
+    ahead = transducer(NEAR + 1, lambda q, x: (NEAR if x & AIM else down(q), x | (AHEAD if q else 0) | (SOON if q >= NEAR - 1 else 0), 1.0))
+    insult = transducer(1, lambda q, x: (0, x | MATCH if x & INSULT else x, 1.0))
+    threat = transducer(1, lambda q, x: (0, x | MATCH | MENACE if x & THREATENING and x & SOON else x, 1.0))
+    target = transducer(NEAR + 1, lambda q, x: (NEAR if x & AIM else down(q), x, AIMED if x & MATCH and (q or x & AHEAD) else 1.0))
+    negation = transducer(NEGATION_REACH + 1, lambda q, x: (NEGATION_REACH if x & NEGATOR else down(q), x, NEGATED if x & MATCH and q else 1.0))
+    reported = transducer(2, lambda q, x: (1 if x & REPORT else q, x, QUOTED if x & MATCH and q else 1.0))
+    return ahead, reduce(compose, (insult, threat, target, negation, reported))
+
+
+class Grammar:
+    """The lexicon and the composed machine."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         import ahocorasick
@@ -78,28 +116,26 @@ class Grammar:
                 best = max(best, w)
         return best
 
+    def symbols(self, word: str, weight: float) -> int:
+        if word in NEGATION:
+            return NEGATOR
+        if word in REPORTED:
+            return REPORT
+        return (INSULT if weight else 0) | (THREATENING if word in THREAT else 0) | (AIM if word in TARGET else 0)
+
     def clause(self, words: list[str]) -> float:
-        """Weight of a clause: one left-to-right run of the composed transducers."""
-        negated = quoted = 0
-        targets = [i for i, w in enumerate(words) if w in TARGET]
-        total = 0.0
-        for i, word in enumerate(words):
-            if word in NEGATION:
-                negated = 3
-                continue
-            if word in REPORTED:
-                quoted = 1
-                continue
-            weight = self.insult(word)
-            at = bisect.bisect_left(targets, i - self.NEAR)
-            aimed = at < len(targets) and targets[at] <= i + self.NEAR
-            if word in THREAT:
-                follows = bisect.bisect_right(targets, i)
-                if follows < len(targets) and targets[follows] <= i + 2:
-                    weight = max(weight, self.THREATENED)
-            if weight:
-                total += weight * (self.AIMED if aimed else 1.0) * (self.NEGATED if negated else 1.0) * (self.QUOTED if quoted else 1.0)
-            negated = max(0, negated - 1)
+        """Weight of a clause: the sum over its matches of what their arcs multiply to."""
+        ahead, forward = grammar_machines()
+        weights = [self.insult(w) for w in words]
+        marked = [self.symbols(w, x) for w, x in zip(words, weights)]
+        q = 0
+        for i in range(len(words) - 1, -1, -1):
+            q, marked[i], _ = ahead[q][marked[i]]
+        q, total = 0, 0.0
+        for x, weight in zip(marked, weights):
+            q, out, factor = forward[q][x]
+            if out & MATCH:
+                total += factor * (max(weight, MENACE_WEIGHT) if out & MENACE else weight)
         return total
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:

@@ -187,3 +187,11 @@ def markdown_text_column(c: Column | str) -> Column:
 def faq_column(c: Column | str) -> Column:
     """array<struct<question, answer>>."""
     return _apply("array<struct<question:string,answer:string>>", lambda v: faq_pairs(v or ""))(col(c))
+
+
+def next_page_column(c: Column | str, number: Column | str) -> Column:
+    @F.pandas_udf("string")
+    def run(pages: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([next_page(p or "", n) for p, n in zip(pages, numbers)], dtype=object)
+
+    return run(col(c), col(number))

@@ -72,39 +72,40 @@ def band_keys(items: DataFrame, key: str, text: str, k: int, bands: int, rows: i
 
 
 def collisions(items: DataFrame, key: str, text: str, threshold: float, permutations: int, k: int = 5, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(groups, edges): items by equal signature, and pairs of group leaders that share a band.
+    """(groups, members): items by equal signature, and (id, bucket) of group leaders in the band buckets that two of them share.
 
     Items of one signature collide in every band, so a group stands and falls with
-    its first item, and bands are joined over leaders only.
+    its first item, and only leaders go into buckets.
     """
     b, r = bands or plan_bands(threshold, permutations)
     signed = band_keys(items, key, text, k, b, r)
     groups = materialise(signed.withColumn("sig", F.xxhash64("keys")), "signatures")
     leaders = groups.groupBy("sig").agg(F.min("id").alias("id"))
     buckets = groups.join(leaders, ["sig", "id"], "left_semi").select("id", F.posexplode("keys").alias("band", "key"))
-    full = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key")
-    shared = buckets.join(full, ["band", "key"])
-    edges = shared.alias("x").join(shared.alias("y"), ["band", "key"]).filter("x.id < y.id").select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-    return groups.select("id", "sig").join(leaders.withColumnRenamed("id", "leader"), "sig").select("id", "leader"), edges
+    buckets = buckets.select("id", F.xxhash64("band", "key").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return groups.select("id", "sig").join(leaders.withColumnRenamed("id", "leader"), "sig").select("id", "leader"), buckets.join(shared, "bucket").select("id", "bucket")
 
 
-def greedy_kept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes that a sequential scan keeps: those that collide with no kept smaller one.
+def greedy_kept(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """The nodes (id) that a sequential scan keeps: those that share a bucket with no kept smaller one.
 
-    In rounds: a node without an undecided smaller neighbour is kept and drops its
-    larger ones. State is written each round; the number of rounds is that of the
+    ``members``: (id, bucket). Works on memberships and never on pairs, in rounds: a
+    node that is the least undecided one of all its buckets is kept, and drops all
+    others of these. State is written each round; the number of rounds is that of the
     longest chain of decisions.
     """
-    edges = materialise(edges.select("u", "v"), "collisions")
-    live, dropped = edges, None
+    live, dropped = materialise(members.select("id", "bucket").distinct(), "members"), None
     while not live.isEmpty():
-        wait = live.select(F.col("v").alias("u")).distinct()
-        keep = live.select("u").distinct().join(wait, "u", "left_anti")
-        gone = materialise(live.join(keep, "u", "left_semi").select("v").distinct(), "dropped")
+        first = live.groupBy("bucket").agg(F.min("id").alias("id"))
+        wins = first.groupBy("id").agg(F.count("*").alias("n"))
+        keep = materialise(live.groupBy("id").agg(F.count("*").alias("n")).join(wins, ["id", "n"]).select("id"), "keep")
+        won = first.join(keep, "id").select("bucket")
+        met = materialise(live.join(won, "bucket", "left_semi").select("id").distinct(), "met")
+        gone = met.join(keep, "id", "left_anti")
         dropped = gone if dropped is None else dropped.unionAll(gone)
-        live = live.join(keep, "u", "left_anti").join(gone, "v", "left_anti")
-        live = materialise(live.join(gone.withColumnRenamed("v", "u"), "u", "left_anti").select("u", "v"), "live")
-    return nodes if dropped is None else nodes.join(dropped.withColumnRenamed("v", "id"), "id", "left_anti")
+        live = materialise(live.join(met, "id", "left_anti"), "live")
+    return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")
 
 
 def near_dup(items: DataFrame, key: str = "pos", text: str = "line", threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, k: int = 5, bands: tuple[int, int] | None = None) -> DataFrame:
@@ -115,9 +116,9 @@ def near_dup(items: DataFrame, key: str = "pos", text: str = "line", threshold:
     """
     full = items.filter(F.col(text) != "")
     long = full.filter(F.char_length(text) >= SHORT)
-    groups, edges = collisions(long, key, text, threshold, permutations, k, bands)
+    groups, members = collisions(long, key, text, threshold, permutations, k, bands)
     leaders = groups.select(F.col("leader").alias("id")).distinct()
-    kept = greedy_kept(leaders, edges).withColumnRenamed("id", key)
+    kept = greedy_kept(leaders, members).withColumnRenamed("id", key)
     return full.filter(F.char_length(text) < SHORT).unionByName(long.join(kept, key, "left_semi").select(*full.columns))
 
 

@@ -99,11 +99,11 @@ def f21(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a21_costs", """WITH c AS (SELECT doc_id AS idx, sum(round((n_chars * 0.28 + n_chars * 0.42) * 100)) OVER (ORDER BY doc_id) / 1e8 AS cost FROM documents WHERE n_chars IS NOT NULL)
-SELECT idx, round(cost, 6)::DOUBLE AS cost, cost >= 0.5 AS stop, cost >= 0.475 AS warn FROM c""")
+SELECT idx, round(cost, 8)::DOUBLE AS cost, cost >= 0.5 AS stop, cost >= 0.475 AS warn FROM c""")
 def a21(spark: SparkSession, d: str) -> DataFrame:
     usage = table(spark, d, "documents").filter("n_chars is not null").select(F.col("doc_id").alias("idx"), F.col("n_chars").alias("prompt_tokens"), F.col("n_chars").alias("completion_tokens"))
     out = qa.costs(usage, 0.5)
-    return out.select("idx", F.round("cost", 6).alias("cost"), "stop", "warn")
+    return out.select("idx", F.round("cost", 8).alias("cost"), "stop", "warn")
 
 
 def echo(prompts: list[str]) -> list[str]:
@@ -130,19 +130,21 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
     return qa.audit(rows, fix).select("id", "audited")
 
 
-_FAQ = '<button data-toggle="collapse" data-target="#a">What is it?</button><div id="a"><div class="card-body"><p>An</p> <b>answer</b></div></div><button data-toggle="collapse" data-target="#b">No body?</button>'
-
-
-@query("h1_faq_pairs", "SELECT page_id, 'What is it?' AS question, 'An answer' AS answer FROM pages")
+@query("h1_faq_pairs", "SELECT page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS question, 'page ' || page_id AS answer FROM pages WHERE trim(url) <> ''")
 def h1(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", F.explode(html.faq_column(F.lit(_FAQ))).alias("f"))
+    # A panel of its own is put before each page's markup, all of which is parsed.
+    button = F.format_string('<button data-toggle="collapse" data-target="#faq%d">%s</button>', "page_id", "url")
+    body = F.format_string('<div id="faq%d"><div class="card-body"><p>page</p> <b>%d</b></div></div><button data-toggle="collapse" data-target="#none">No panel?</button>', "page_id", "page_id")
+    rows = table(spark, d, "pages").select("page_id", F.explode(html.faq_column(F.concat(button, body, F.coalesce("html", F.lit(""))))).alias("f"))
     return rows.select("page_id", "f.question", "f.answer")
 
 
-@query("h2_next_page", "SELECT '/p3' AS a, '/n' AS b")
+@query("h2_next_page", "SELECT page_id, '/p/' || (page_id + 1) AS by_number, '/next' AS by_word FROM pages")
 def h2(spark: SparkSession, d: str) -> DataFrame:
-    block = '<div class="pagination-block"><a href="/p1">1</a><a href="/p3">3</a><a href="/n">Next</a></div>'
-    return spark.createDataFrame([(html.next_page(block, 2), html.next_page(block, 9))], "a string, b string")
+    links = '<div class="pagination-block"><a href="/p/%d">%d</a><a href="/p/%d">%d</a><a href="/next">Next</a></div>'
+    block = F.format_string(links, "page_id", "page_id", F.col("page_id") + 1, F.col("page_id") + 1)
+    rows = table(spark, d, "pages").select("page_id", F.concat(block, F.coalesce("html", F.lit(""))).alias("page"))
+    return rows.select("page_id", html.next_page_column("page", "page_id").alias("by_number"), html.next_page_column("page", F.lit(-7)).alias("by_word"))
 
 
 @query("conversation_pairs", """SELECT conv_id, turn, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations""")

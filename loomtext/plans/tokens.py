@@ -180,9 +180,11 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
     return metrics.fertility_by_word_class(_spelled_words(spark, d)).withColumn("fertility", F.round("fertility", 6))
 
 
-@query("a6_verdict", "SELECT 'script_coverage' AS a, 'balanced' AS b")
+@query("a6_verdict", f"{LINES}, l AS (SELECT doc_id, sum(length(line)) / greatest(sum(len(regexp_extract_all(line, '[^\\s]+'))), 1) AS f FROM lines GROUP BY doc_id) SELECT doc_id, CASE WHEN f - 6 > 0.15 THEN 'script_coverage' ELSE 'balanced' END AS verdict FROM l")
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(metrics.verdict(F.lit(1.0), F.lit(1.2)).alias("a"), metrics.verdict(F.lit(1.0), F.lit(1.1)).alias("b"))
+    # Characters stand for tokens, and six of them a word for the native text.
+    own = lines_of(spark, d).groupBy("doc_id").agg((F.sum(F.char_length("line")) / F.greatest(F.sum(tx.n_words("line")), F.lit(1))).alias("f"))
+    return own.select("doc_id", metrics.verdict(F.lit(6.0), F.col("f")).alias("verdict"))
 
 
 @query("a7_worst_words", f"{_SPELLED_WORDS} SELECT word, t::BIGINT AS tokens, n FROM w WHERE t >= 5 ORDER BY n DESC, word LIMIT 15")
@@ -232,16 +234,25 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
     return metrics.continuation_rate(lines.select(cd.ColumnCodec(lines, base_vocab()).pieces("line").alias("pieces")))
 
 
-@query("a15_boundary_scores", "SELECT 0.5::DOUBLE AS p, 0.5::DOUBLE AS r, 0.5::DOUBLE AS f1")
+#: Every word cut into threes as pieces and into twos as the gold standard, and the inner boundaries of both.
+_CUTS = f"{LINES}, words AS (SELECT DISTINCT unnest(regexp_extract_all(line, '[!-~]+')) AS word FROM lines), b AS (SELECT word, (length(word) - 1) // 3 AS a, (length(word) - 1) // 2 AS g, (length(word) - 1) // 6 AS hit FROM words), s AS (SELECT word, a, g, hit / greatest(a, 1) AS p, hit / greatest(g, 1) AS r FROM b)"
+_F1 = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
+
+
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    words = lines_of(spark, d).select(F.explode(F.regexp_extract_all("line", F.lit("[!-~]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", F.regexp_extract_all("word", F.lit(".{1,3}"), F.lit(0)).alias("pieces"), F.regexp_extract_all("word", F.lit(".{1,2}"), F.lit(0)).alias("morphs"))
+
+
+@query("a15_boundary_scores", f"{_CUTS} SELECT round(avg(p), 6) AS p, round(avg(r), 6) AS r, round(avg({_F1}), 6) AS f1 FROM s")
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(["ab", "cd"], ["ab", "cd"]), (["abcd"], ["ab", "cd"])], "pieces array<string>, morphs array<string>")
-    return metrics.macro_boundary_scores(rows)
+    out = metrics.macro_boundary_scores(_cuts(spark, d))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
 
 
-@query("a16_boundary_scores_empty", "SELECT 1.0::DOUBLE AS f1")
+@query("a16_boundary_scores_empty", f"{_CUTS} SELECT word, round(CASE WHEN a = 0 AND g = 0 THEN 1.0::DOUBLE ELSE {_F1} END, 6) AS f1 FROM s")
 def a16(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(["abcd"], ["abcd"])], "pieces array<string>, morphs array<string>")
-    return rows.select(metrics.boundary_scores("pieces", "morphs", 1.0)["f1"].alias("f1"))
+    return _cuts(spark, d).select("word", F.round(metrics.boundary_scores("pieces", "morphs", 1.0)["f1"], 6).alias("f1"))
 
 
 @query("a17_bits_per_character", "SELECT doc_id, round(8.0::DOUBLE * strlen(text) / greatest(length(text), 1), 6) AS bpc FROM documents WHERE text IS NOT NULL")

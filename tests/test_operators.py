@@ -40,24 +40,21 @@ def test_shingles(spark, text, k, want):
     assert set(got) == want and len(got) == len(want)
 
 
-def greedy(n, edges):
-    near = {i: set() for i in range(n)}
-    for a, b in edges:
-        near[a].add(b), near[b].add(a)
+def greedy(n, buckets):
     kept = set()
     for i in range(n):
-        if not near[i] & kept:
+        if not any(i in b and kept & b for b in buckets):
             kept.add(i)
     return kept
 
 
 def test_greedy_rounds_equal_a_sequential_scan(spark):
     rng = random.Random(1)
-    for n, m in ((3, 2), (12, 14), (30, 60)):
-        edges = [(0, 1), (1, 2)] if n == 3 else sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
-        nodes = spark.range(n)
-        got = neardup.greedy_kept(nodes, spark.createDataFrame(edges, "u long, v long"))
-        assert {r.id for r in got.collect()} == greedy(n, edges)
+    for n, m, most in ((3, 2, 2), (12, 14, 2), (30, 60, 2), (40, 12, 9)):
+        buckets = [{0, 1}, {1, 2}] if n == 3 else [set(rng.sample(range(n), rng.randint(2, most))) for _ in range(m)]
+        members = [(i, k) for k, b in enumerate(buckets) for i in b]
+        got = neardup.greedy_kept(spark.range(n), spark.createDataFrame(members, "id long, bucket long"))
+        assert {r.id for r in got.collect()} == greedy(n, buckets)
 
 
 def test_near_dup_keeps_short_lines_and_drops_copies(spark):

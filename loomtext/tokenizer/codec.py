@@ -155,7 +155,8 @@ class ColumnCodec:
         return self._udf("array<int>", lambda own, v: own.encode(v))(col(c))
 
     def encode_normalized(self, c: Column | str) -> Column:
-        return self._udf("array<int>", lambda own, v: own.encode_normalized(v))(col(c))
+        """Marked as not deterministic, so that a filter on the ids is not pushed below a group-by, where each occurrence of a word would be encoded."""
+        return self._udf("array<int>", lambda own, v: own.encode_normalized(v)).asNondeterministic()(col(c))
 
     def decode(self, c: Column | str) -> Column:
         return self._udf("string", lambda own, v: own.decode(v))(col(c))

@@ -36,18 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The written files replace the lineage, so a lost executor costs a read and
-    not a recomputation. They are removed when the driver's Python ends.
+    not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove_all)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -127,25 +127,29 @@ def near_dup_statistics(items: DataFrame, kept: DataFrame) -> DataFrame:
     return a.join(b).select("total", "kept", (F.col("total") - F.col("kept")).alias("duplicates"))
 
 
-def look_back(lines: DataFrame, by: Sequence[str], order: Sequence[str], column: str = "line", all_duplicates: bool = True, version: int = 2, window: int = 50) -> DataFrame:
-    """Lines unlike the last ``window`` kept ones, and unlike every kept one exactly; or, by default of the tool, unlike the previous kept one.
-
-    It depends on what was kept before, so a key's lines are read in order by one
-    task, which keeps the last lines and, of the rest, digests. Likeness is difflib's ratio of the
-    lower-cased lines, in either direction for version 2.
-    """
-    threshold = {1: 0.75, 2: 0.70}[version]
-    keys = list(by)
+def alike(threshold: float, sides: int = 1) -> Callable[[str, str], bool]:
+    """Whether difflib's ratio of two lower-cased lines reaches the threshold, in one direction or in either of both."""
 
     def near(a: str, b: str) -> bool:
         a, b = a.lower(), b.lower()
-        sides = [(a, b), (b, a)][:version]
-        for x, y in sides:
+        for x, y in [(a, b), (b, a)][:sides]:
             m = SequenceMatcher(None, x, y)
             if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
                 return True
         return False
 
+    return near
+
+
+def look_back(lines: DataFrame, by: Sequence[str], order: Sequence[str], column: str = "line", all_duplicates: bool = True, version: int = 2, window: int = 50) -> DataFrame:
+    """Lines unlike the last ``window`` kept ones, and unlike every kept one exactly; or, by default of the tool, unlike the previous kept one.
+
+    It depends on what was kept before, so a key's lines are read in order by one
+    task, which keeps the last lines and, of the rest, digests. Likeness is difflib's ratio of the
+    lower-cased lines, in either direction for version 2.
+    """
+    near, keys = alike({1: 0.75, 2: 0.70}[version], version), list(by)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, kept, seen = None, [], set()
         for frame in batches:

@@ -54,4 +54,4 @@ def fixture(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT cast(pos AS bigint) AS pos, line FROM {FIXTURE}")
 
 
-from loomtext.plans import corpus, files, generation, tokens  # noqa: E402, F401
+from loomtext.plans import corpus, files, generation, streams, tokens  # noqa: E402, F401

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from loomtext.llm.kernels import U64, blocks, give_back, shingles, text_buffer, word_hashes
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: Items that one pass over the documents takes; more items take more passes.
-ITEMS_A_PASS = 100_000
+#: Items, and bytes of their texts, that one pass over the documents takes, about; more take more passes.
+ITEMS_A_PASS, BYTES_A_PASS = 100_000, 64_000_000
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _PLAIN = np.frombuffer(bytes(range(256)).translate(_PUNCTUATION), np.uint8)
 
@@ -108,7 +108,8 @@ class Index:
 def _passes(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """Bounded slices of the benchmark, by the hash of the item's id."""
     rows = benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(text).alias("t")).filter("t is not null")
-    n = math.ceil(rows.count() / ITEMS_A_PASS)
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    n = max(math.ceil(count / ITEMS_A_PASS), math.ceil(size / BYTES_A_PASS))
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
         yield sorted(((r.i, r.t) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))

@@ -99,10 +99,11 @@ def greedy_kept(nodes: DataFrame, members: DataFrame) -> DataFrame:
     while not live.isEmpty():
         first = live.groupBy("bucket").agg(F.min("id").alias("id"))
         wins = first.groupBy("id").agg(F.count("*").alias("n"))
-        keep = materialise(live.groupBy("id").agg(F.count("*").alias("n")).join(wins, ["id", "n"]).select("id"), "keep")
-        won = first.join(keep, "id").select("bucket")
-        met = materialise(live.join(won, "bucket", "left_semi").select("id").distinct(), "met")
-        gone = met.join(keep, "id", "left_anti")
+        keep = live.groupBy("id").agg(F.count("*").alias("n")).join(wins, ["id", "n"]).select("id")
+        won = first.join(keep, "id").select("bucket", F.col("id").alias("winner"))
+        met = live.join(won, "bucket").groupBy("id").agg(F.max(F.col("id") == F.col("winner")).alias("kept"))
+        met = materialise(met, "decided")
+        gone = met.filter(~F.col("kept")).select("id")
         dropped = gone if dropped is None else dropped.unionAll(gone)
         live = materialise(live.join(met, "id", "left_anti"), "live")
     return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")

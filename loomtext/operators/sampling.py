@@ -41,13 +41,28 @@ def numbered(df: DataFrame, order: Sequence[Column | str], into: str = "n") -> D
     return running_total(df, F.lit(1), order, into)
 
 
+#: Documents of which a first fit is ended on the driver, by their keys and sizes.
+TAIL_ROWS = 100_000
+
+
+def _first_fit(rows: list, left: int) -> list:
+    """Keys of (key, size) rows in order that fit one after another."""
+    out = []
+    for k, size in rows:
+        if size <= left:
+            out.append(k)
+            left -= size
+    return out
+
+
 def byte_budget(docs: DataFrame, budget: int, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A seeded first-fit sample: documents in a hashed order, those that do not fit left out, until nothing fits.
 
     A document costs its UTF-8 bytes and 2. If all fit, all are returned. First fit
     is sequential, but in long runs: all documents up to the first that overflows
     fit, those dearer than what is left then drop out at once, and the scan goes on
-    behind it. So each round is one running sum over what may still fit.
+    behind it. So each round is one running sum over what may still fit. When at most
+    ``TAIL_ROWS`` documents may, the driver scans their keys and sizes.
     """
     sized = docs.select(F.col(key).alias("k"), (F.octet_length(text) + 2).cast("bigint").alias("size")).filter("size is not null")
     total = sized.agg(F.sum("size")).first()[0] or 0
@@ -55,8 +70,13 @@ def byte_budget(docs: DataFrame, budget: int, seed: int = 42, key: str = "doc_id
         return docs
     left, taken, rest = budget, None, sized.withColumn("o", seeded(seed, "k"))
     while left > 0:
-        rest = running_total(rest.filter(F.col("size") <= left), F.col("size"), ["o", "k"])
-        rest = materialise(rest, "budget")
+        rest = rest.filter(F.col("size") <= left)
+        if rest.count() <= TAIL_ROWS:
+            keys = _first_fit([(r.k, r["size"]) for r in rest.orderBy("o", "k").collect()], left)
+            own = docs.sparkSession.createDataFrame([(k,) for k in keys], rest.select("k").schema)
+            taken = own if taken is None else taken.unionAll(own)
+            break
+        rest = materialise(running_total(rest, F.col("size"), ["o", "k"]), "budget")
         fits = rest.filter(F.col("running") <= left)
         used = fits.agg(F.sum("size")).first()[0]
         if not used:

@@ -82,8 +82,9 @@ def test_look_back_equals_a_sequential_loop(spark):
     assert sorted((r.k, r.pos) for r in neardup.look_back(df, ["k"], ["pos"]).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.9, 2.0])
-def test_byte_budget_is_first_fit(spark, share):
+@pytest.mark.parametrize(("share", "tail"), [(0.0, 9), (0.1, 0), (0.5, 0), (0.5, 20), (0.9, 9), (0.9, 1000), (2.0, 9)])
+def test_byte_budget_is_first_fit(spark, monkeypatch, share, tail):
+    monkeypatch.setattr(sampling, "TAIL_ROWS", tail)
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, "x" * rng.randint(0, 80)) for i in range(60)], "doc_id long, text string")
     sized = docs.select("doc_id", (F.octet_length("text") + 2).alias("size"), sampling.seeded(42, "doc_id").alias("o")).collect()

@@ -6,7 +6,7 @@ before) and by order 0 (all ids, by how often they came). Their probabilities ar
 mixed by how often, in this kind of agreement of the predictions, each was right.
 Counts, successors and mixture are adapted after every step, from the ids alone,
 so the reader adapts alike. The mixed intervals drive a carry-less range coder
-with 64-bit bounds that writes 16-bit words.
+with 64-bit bounds that writes 32-bit words, one an id at most.
 
 The ids of a step are dealt to lanes, each with its own range coder, so that both
 directions run as array operations over all lanes at once. Every block begins
@@ -31,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.bpe import Codec, read_spec
+from loomtext.llm.bpe import BYTE_PATTERN, Codec, read_spec
+from loomtext.llm.kernels import blocks, text_buffer
 from loomtext.session import materialise
 
 #: Ids after which a block ends with the document; ids of a step; lanes of a block at most.
 BLOCK_IDS, STEP, LANES = 1 << 20, 1 << 16, 2048
 TOTAL, MIX = 20, 10
-_TOP, _BOTTOM, _ORDER2 = np.uint64(48), np.uint64(1) << np.uint64(40), 1 << 18
 U = np.uint64
+_WORD, _BOTTOM, _ORDER2 = U(32), U(1) << U(32), 1 << 18
 
 
 class _Model:
@@ -64,21 +65,24 @@ class _Model:
         share = self.right / self.right.sum(axis=1, keepdims=True)
         q2 = np.where(has2, np.clip(np.rint(share[:, 0] * (1 << MIX)), 1, (1 << MIX) - 2), 0).astype(np.int64)
         q1 = np.where(has1 & ~same, np.clip(np.rint(share[:, 1] * (1 << MIX)), 1, (1 << MIX) - 1 - q2), 0).astype(np.int64)
-        self.q2, self.q1, self.q0 = q2, q1, (1 << MIX) - q2 - q1
+        #: By kind: where the shares of order 1 and of order 0 begin, the widths of orders 2 and 1, and the scale of order 0.
+        self.first, self.edge = q2 << TOTAL, (q2 + q1) << TOTAL
+        self.wide2, self.wide1, self.q0 = q2 << TOTAL, q1 << TOTAL, (1 << MIX) - q2 - q1
 
     @staticmethod
     def slot(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
-        return ((before2 * 0x9E3779B1 + before1 * 0x85EBCA6B) & 0xFFFFFFFF) >> 14
+        return (before2.astype(np.uint32) * np.uint32(0x9E3779B1) + before1.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
 
     def predict(self, slot: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         two, one = self.two[slot], self.one[before1]
-        known = two >= 0
-        return two, one, known + 2 * (one >= 0) + 4 * ((two == one) & known)
+        known = (two >= 0).view(np.uint8)
+        return two, one, known | (one >= 0).view(np.uint8) << 1 | ((two == one).view(np.uint8) & known) << 2
 
     def adapt(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, two, one, kind) -> None:
         hit2 = ids == two
-        outcome = np.where(hit2, 0, np.where(ids == one, 1, 2))
-        self.right += np.bincount(kind * 3 + outcome, minlength=24).reshape(8, 3)
+        outcome = 2 - (ids == one).view(np.uint8)
+        outcome[hit2] = 0
+        self.right += np.bincount(kind * np.uint8(3) + outcome, minlength=24).reshape(8, 3)
         self.counts += np.bincount(ids, minlength=self.alphabet)
         self.one[before1] = ids
         self.two[slot] = ids
@@ -93,6 +97,18 @@ def _before(x: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return two, one
 
 
+def _ready(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes that write or read a word: their places, their low ends, and what is left of their sizes.
+
+    Where the bits are not settled but the interval is too small, it is cut at the next multiple of 2 ** 32.
+    A size is at least 2 ** 32 before an id, so at least 4 after it, and one word restores it.
+    """
+    settled = (low ^ (low + size)) < _BOTTOM
+    ready = np.flatnonzero(settled | (size < _BOTTOM))
+    own, settled = low[ready], settled[ready]
+    return ready, own, np.where(settled, size[ready], (U(0) - own) & (_BOTTOM - U(1)))
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """Ids as a checksummed block."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
@@ -106,107 +122,96 @@ def encode_block(ids: np.ndarray) -> bytes:
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
     for at in range(0, n, STEP):
-        part = ids[at : at + STEP].astype(np.int64)
+        part = ids[at : at + STEP].astype(np.int32)
         length = -(-len(part) // lanes)
-        x = np.concatenate([part, np.zeros(length * lanes - len(part), np.int64)]).reshape(lanes, length).T
+        x = np.concatenate([part, np.zeros(length * lanes - len(part), np.int32)]).reshape(lanes, length).T
         x = np.ascontiguousarray(x)
         two_before, one_before = _before(x, alphabet)
         slot = model.slot(two_before, one_before)
         two, one, kind = model.predict(slot, one_before)
         hit2 = x == two
         hit1 = ~hit2 & (x == one)
-        q2, q1, q0 = model.q2[kind], model.q1[kind], model.q0[kind]
-        start = np.where(hit2, 0, np.where(hit1, q2 << TOTAL, ((q2 + q1) << TOTAL) + model.cum[x] * q0)).astype(U)
-        freq = np.where(hit2, q2 << TOTAL, np.where(hit1, q1 << TOTAL, model.freq[x] * q0)).astype(U)
+        q0 = model.q0[kind]
+        start = np.where(hit2, 0, np.where(hit1, model.first[kind], model.edge[kind] + model.cum[x] * q0)).astype(U)
+        freq = np.where(hit2, model.wide2[kind], np.where(hit1, model.wide1[kind], model.freq[x] * q0)).astype(U)
         for t in range(length):
             size >>= U(TOTAL + MIX)
             low += start[t] * size
             size *= freq[t]
-            while True:
-                settled = ((low ^ (low + size)) >> _TOP) == 0
-                ready = np.flatnonzero(settled | (size < _BOTTOM))
-                if not len(ready):
-                    break
-                own = low[ready]
-                left = np.where(settled[ready], size[ready], (U(0) - own) & (_BOTTOM - U(1)))
-                words.append((own >> _TOP).astype(np.uint16))
+            ready, own, left = _ready(low, size)
+            if len(ready):
+                words.append((own >> _WORD).astype(np.uint32))
                 owners.append(ready.astype(np.uint16))
-                low[ready] = own << U(16)
-                size[ready] = left << U(16)
+                low[ready] = own << _WORD
+                size[ready] = left << _WORD
         flat = x.ravel()
         model.adapt(flat, slot.ravel(), one_before.ravel(), two.ravel(), one.ravel(), kind.ravel())
-    for shift in (48, 32, 16, 0):
-        words.append((low >> U(shift)).astype(np.uint16))
+    for shift in (32, 0):
+        words.append((low >> U(shift)).astype(np.uint32))
         owners.append(np.arange(lanes, dtype=np.uint16))
     owner = np.concatenate(owners)
     stream = np.concatenate(words)[np.argsort(owner, kind="stable")]
     sizes = np.bincount(owner, minlength=lanes).astype(np.uint32)
     head = np.array([n, alphabet, lanes, zlib.crc32(ids.tobytes())], np.uint32)
-    return b"LTB1" + head.tobytes() + sizes.tobytes() + stream.tobytes()
+    return b"LTB2" + head.tobytes() + sizes.tobytes() + stream.tobytes()
 
 
 def decode_block(data: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it is damaged."""
-    if data[:4] != b"LTB1" or len(data) < 20:
+    if data[:4] != b"LTB2" or len(data) < 20:
         raise ValueError("not a block")
     n, alphabet, lanes, check = (int(v) for v in np.frombuffer(data, np.uint32, 4, 4))
     if alphabet > 1 << 19 or len(data) < 20 + 4 * lanes:
         raise ValueError("the block is damaged")
     sizes = np.frombuffer(data, np.uint32, lanes, 20).astype(np.int64)
-    stream = np.frombuffer(data, np.uint16, -1, 20 + 4 * lanes).astype(U)
-    if len(stream) != sizes.sum():
+    if len(data) != 20 + 4 * lanes + 4 * sizes.sum():
         raise ValueError("the block is cut short")
-    stream = np.concatenate([stream, np.zeros(8, U)])
+    stream = np.concatenate([np.frombuffer(data, np.uint32, -1, 20 + 4 * lanes), np.zeros(4, np.uint32)]).astype(U)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    code = np.zeros(lanes, U)
-    for _ in range(4):
-        code = code << U(16) | stream[at]
-        at += 1
+    code = stream[at] << _WORD | stream[at + 1]
+    at += 2
     last = len(stream) - 1
     model = _Model(alphabet)
     low, size = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1))
     out = np.empty(n, np.uint32)
-    top = np.int64((1 << (TOTAL + MIX)) - 1)
+    top = U((1 << (TOTAL + MIX)) - 1)
     for begin in range(0, n, STEP):
         count = min(STEP, n - begin)
         length = -(-count // lanes)
-        symbols = np.repeat(np.arange(alphabet), model.freq)
-        x = np.empty((length, lanes), np.int64)
-        pieces = []
-        before1 = before2 = np.full(lanes, alphabet, np.int64)
+        symbols = np.repeat(np.arange(alphabet, dtype=np.int32), model.freq)
+        x, two, one = (np.empty((length, lanes), np.int32) for _ in range(3))
+        slot, kind = np.empty((length, lanes), np.uint32), np.empty((length, lanes), np.uint8)
+        before1 = before2 = np.full(lanes, alphabet, np.int32)
         for t in range(length):
-            slot = model.slot(before2, before1)
-            two, one, kind = model.predict(slot, before1)
-            q2, q1, q0 = model.q2[kind] << TOTAL, model.q1[kind] << TOTAL, model.q0[kind]
+            slot[t] = model.slot(before2, before1)
+            two[t], one[t], kind[t] = model.predict(slot[t], before1)
+            k = kind[t]
+            edge, q0 = model.edge[k], model.q0[k]
             size >>= U(TOTAL + MIX)
-            value = np.minimum(((code - low) // size).astype(np.int64), top)
-            edge = q2 + q1
-            hit2 = value < q2
-            hit1 = ~hit2 & (value < edge)
+            value = np.minimum((code - low) // size, top).astype(np.int64)
             # Exact in doubles: the dividend is under 2 ** 30 and the divisor at most 2 ** 10.
-            own = symbols[(np.maximum(value - edge, 0) / q0).astype(np.int64)]
-            ids = np.where(hit2, two, np.where(hit1, one, own)).astype(np.int64)
-            start = np.where(hit2, 0, np.where(hit1, q2, edge + model.cum[own] * q0)).astype(U)
-            freq = np.where(hit2, q2, np.where(hit1, q1, model.freq[own] * q0)).astype(U)
-            low += start * size
-            size *= freq
-            while True:
-                settled = ((low ^ (low + size)) >> _TOP) == 0
-                ready = np.flatnonzero(settled | (size < _BOTTOM))
-                if not len(ready):
-                    break
-                mine = low[ready]
-                size[ready] = np.where(settled[ready], size[ready], (U(0) - mine) & (_BOTTOM - U(1))) << U(16)
-                low[ready] = mine << U(16)
-                code[ready] = code[ready] << U(16) | stream[np.minimum(at[ready], last)]
+            own = symbols[(np.maximum(value - edge, 0) / q0).astype(np.int32)]
+            start, freq = edge + model.cum[own] * q0, model.freq[own] * q0
+            high = np.flatnonzero(value < edge)
+            if len(high):
+                first = model.first[k[high]]
+                hit2 = value[high] < first
+                own[high] = np.where(hit2, two[t, high], one[t, high])
+                start[high] = np.where(hit2, 0, first)
+                freq[high] = np.where(hit2, model.wide2[k[high]], model.wide1[k[high]])
+            low += start.astype(U) * size
+            size *= freq.astype(U)
+            ready, mine, left = _ready(low, size)
+            if len(ready):
+                low[ready] = mine << _WORD
+                size[ready] = left << _WORD
+                code[ready] = code[ready] << _WORD | stream[np.minimum(at[ready], last)]
                 at[ready] += 1
-            x[t] = ids
-            pieces.append((slot, two, one, kind))
-            before2, before1 = before1, ids
+            x[t] = own
+            before2, before1 = before1, own
         out[begin : begin + count] = x.T.ravel()[:count]
         _, one_before = _before(x, alphabet)
-        slot, two, one, kind = (np.concatenate(p) for p in zip(*pieces))
-        model.adapt(x.ravel(), slot, one_before.ravel(), two, one, kind)
+        model.adapt(x.ravel(), slot.ravel(), one_before.ravel(), two.ravel(), one.ravel(), kind.ravel())
     if zlib.crc32(out.tobytes()) != check:
         raise ValueError("the block's checksum differs")
     return out
@@ -227,8 +232,6 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         back = {c: b for b, c in enumerate(self.codec.alphabet)}
         ranks = {bytes(back[c] for c in token): i for token, i in self.codec.vocab.items() if token not in self.special}
-        from loomtext.llm.bpe import BYTE_PATTERN
-
         self.fast = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def __call__(self, text: str) -> np.ndarray:
@@ -260,13 +263,16 @@ def encode_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["part", "block", "documents", "ids", "doc_ids", "counts", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(np.concatenate([encoder(text.as_py() or ""), end]))
-                names.append(doc)
-                total += len(held[-1])
-                if total >= BLOCK_IDS:
-                    yield close()
-                    block, held, names, total = block + 1, [], [], 0
+            _, offsets = text_buffer(batch.column(1))
+            for a, b in blocks(offsets):
+                piece = batch.slice(a, b - a)
+                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    held.append(np.concatenate([encoder(text or ""), end]))
+                    names.append(doc)
+                    total += len(held[-1])
+                    if total >= BLOCK_IDS:
+                        yield close()
+                        block, held, names, total = block + 1, [], [], 0
         if held:
             yield close()
 

@@ -4,9 +4,14 @@ A document is the set of its word shingles. Exact copies of a set are one class,
 and only class representatives are joined. Independent trees branch the sets by
 selected minwise tokens: a node of a tree holds the sets that agree on the minima
 of the hash functions chosen along its path. Small nodes are compared pair by
-pair, larger ones branch again. A pair of similarity s stays together at one
-level with probability s, so the trees miss a pair that leaves at the first level
-with probability (1 - s) ** TREES, about 1e-10 at 0.85.
+pair, larger ones branch again, in several copies of their own paths. A pair of
+similarity s stays together at one level with probability s, and in one of the
+copies to a level d below the first with probability 1 - (1 - s ** d) ** copies.
+``plan_trees`` takes as many trees and copies as hold the miss of a pair at the
+threshold to MISS at every depth, for independent functions. All trees share FUNCTIONS functions,
+and a pair whose minima agree in fewer than usual leaves more trees: averaged over
+that, the trees miss 4e-6 at 0.85 and 8e-6 at 0.8 at the last level, and the
+estimate filter below misses 3e-5 and 1.4e-5. Pairs above the threshold are missed less.
 
 Near-copy groups stay together however deep a tree goes, so every node is first
 compared with a pivot, the member that shares the most nodes with others; sets
@@ -40,7 +45,9 @@ from loomtext.llm.graph import components
 from loomtext.llm.kernels import document_shingles, give_back, minwise, runs
 from loomtext.session import materialise
 
-FUNCTIONS, TREES, LEVELS = 64, 12, 5
+FUNCTIONS, LEVELS = 64, 5
+#: Share of the pairs at the threshold that the trees may miss, whatever depth their nodes reach.
+MISS = 1e-10
 #: Members of a node that are compared pair by pair; members of a block of a larger one.
 SMALL, BLOCK = 64, 256
 #: Pairs that meet one document in one task of the confirmation.
@@ -246,12 +253,27 @@ def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
 
 
+def plan_trees(threshold: float) -> tuple[int, int]:
+    """The trees, and the copies in which each node is split, that miss at most MISS of pairs at the threshold.
+
+    A quarter of the trees are beyond those that the first level needs, which leaves room for the misses below it.
+    """
+    if threshold >= 1:
+        return 1, 1
+    trees = min(FUNCTIONS, math.ceil(1.25 * math.log(MISS) / math.log(1 - threshold)))
+    below = (MISS ** (1 / trees) - (1 - threshold)) / threshold
+    if below <= 0:
+        raise ValueError(f"{FUNCTIONS} functions do not suffice at a threshold of {threshold}")
+    return trees, math.ceil(math.log(below) / math.log(1 - threshold**LEVELS))
+
+
 def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Components (node, component) of the representatives (doc_id, sig, brief); nodes named by themselves are left out."""
     threshold = percent / 100
     least = max(0.0, threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / FUNCTIONS))
     briefs = reps.select("doc_id", "brief")
-    first = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[(t * 5) % FUNCTIONS]) for t in range(TREES)])
+    trees, copies = plan_trees(threshold)
+    first = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[(t * 5) % FUNCTIONS]) for t in range(trees)])
     nodes = reps.select(F.col("doc_id").alias("doc"), F.explode(first).alias("node"))
     live = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "nodes")
     central = live.groupBy("doc").agg(F.sum("n").alias("s"))
@@ -286,6 +308,9 @@ def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
             stuck = large.join(known, ["pivot", "doc"], "left").select(F.col("node").alias("g"), "doc", "label", settled.alias("settled"))
             small = small.unionAll(_dealt(stuck, BLOCK))
             break
+        if level == 0:
+            path = F.explode(F.array(*[F.xxhash64("node", F.lit(c)) for c in range(copies)]))
+            large = large.withColumn("node", path)
         own = F.element_at("sig", (F.pmod("node", F.lit(FUNCTIONS)) + 1).cast("int"))
         members = large.select(F.xxhash64("node", own).alias("node"), "doc", "label", "pivot", "sig")
     near = materialise(near.unionAll(_near(small, briefs, least)), "near")

@@ -78,6 +78,33 @@ def test_clusters_of_several_blocks(spark, monkeypatch):
     test_set_join_equals_brute_force(spark, 1, 120, 80, 8)
 
 
+def test_pairs_that_leave_deep_nodes_are_found(spark, monkeypatch):
+    """Words that very many documents share make nodes that are split many times; near pairs must still meet."""
+    monkeypatch.setattr(setjoin, "SMALL", 2)
+    rng, pool, size = np.random.default_rng(3), 110, 50
+    rows = []
+    for _ in range(1000):
+        order = rng.permutation(pool)
+        rows += [order[:size], np.concatenate([order[5:size], order[size : size + 5]])]
+    held = np.zeros((len(rows), pool), np.int64)
+    for i, r in enumerate(rows):
+        held[i, r] = 1
+    both = held @ held.T
+    pairs = [(i, j) for i, j in np.argwhere(100 * both >= 80 * (2 * size - both)).tolist() if i > j]
+    want = roots(len(rows), pairs)
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in setjoin.near_duplicates(df, 1, 80).collect()}
+    assert sum(got[i] != want[i] for i in range(len(rows))) == 0
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_trees_hold_their_miss_at_every_depth(threshold):
+    trees, copies = setjoin.plan_trees(threshold)
+    for depth in range(setjoin.LEVELS + 1):
+        after = (1 - threshold**depth) ** copies if depth else 0
+        assert (1 - threshold * (1 - after)) ** trees <= 1e-10
+
+
 def test_set_join_of_odd_rows(spark, odd, empty):
     got = setjoin.near_duplicates(odd, 5, 80).collect()
     assert len(got) == odd.count()

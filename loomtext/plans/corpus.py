@@ -170,7 +170,7 @@ def n20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n21_human_size", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.1f B', strlen(text)::DOUBLE) ELSE printf('%.1f KB', strlen(text) / 1024.0::DOUBLE) END AS size FROM documents WHERE text IS NOT NULL AND strlen(text) < 1048576")
 def n21(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter(F.octet_length("text") < 1048576).select("doc_id", tx.human_size(F.octet_length("text")).alias("size"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", tx.human_size(F.octet_length("text")).alias("size"))
 
 
 # --- filters --------------------------------------------------------------------------------------------

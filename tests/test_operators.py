@@ -210,3 +210,12 @@ def test_streaming_dedup_equals_batch(spark, tmp_path):
 @given(st.text(alphabet="क ख ग ा ि ् ं a b".replace(" ", "") + " ", max_size=12))
 def test_romanisation_never_fails(text):
     assert isinstance(translit.to_devanagari(translit.to_roman(text)), str)
+
+
+def test_human_size_query_keeps_long_documents(spark, tmp_path):
+    from loomtext.plans import registry
+
+    rows = [(1, "a" * 1023), (2, "a" * 1024), (3, "a" * 1048575), (4, "a" * 1048576), (5, "é" * 1310720), (6, None), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.size for r in registry.QUERIES["n21_human_size"](spark, str(tmp_path)).collect()}
+    assert got == {1: "1023.0 B", 2: "1.0 KB", 3: "1024.0 KB", 4: "1.0 MB", 5: "2.5 MB", 7: "0.0 B"}

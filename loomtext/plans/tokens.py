@@ -277,6 +277,56 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("line", F.round(metrics.characters_per_token("line", "ids"), 6).alias("ratio"))
 
 
+# --- the same statistics over all lines and words, byte fallback included, which SQL cannot spell ------------------
+
+
+def _all_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = lines_of(spark, d)
+    return lines.select("doc_id", "pos", "line", cd.ColumnCodec(lines, base_vocab()).encode("line").alias("ids"))
+
+
+def _all_words(spark: SparkSession, d: str) -> DataFrame:
+    words = metrics.word_counts(lines_of(spark, d))
+    return words.withColumn("ids", cd.ColumnCodec(words, base_vocab()).encode("word"))
+
+
+@query("a4_fertility_by_line_all")
+def a4_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.fertility_by_line(_all_lines(spark, d)).select("kind", "lines", "words", "tokens", "fertility", "pct")
+
+
+@query("a5_fertility_by_word_class_all")
+def a5_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.fertility_by_word_class(_all_words(spark, d))
+
+
+@query("a7_worst_words_all")
+def a7_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.worst_words(_all_words(spark, d)).withColumn("tokens", F.col("tokens").cast("bigint"))
+
+
+@query("a8_sample_summary_all")
+def a8_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.sample_summary(_all_lines(spark, d)).select("rows", "mean_ratio", "median_ratio", "micro_ratio")
+
+
+@query("a9_a11_benchmark_row_all")
+def a11_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.benchmark_rows(_all_lines(spark, d).withColumn("tokenizer", F.lit("base")))
+
+
+@query("a10_validation_summary_all")
+def a10_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = _all_lines(spark, d)
+    rows = rows.withColumn("decoded", cd.ColumnCodec(rows, base_vocab()).decode("ids"))
+    return metrics.validation_summary(rows, "line", "ids", "decoded")
+
+
+@query("a26_characters_per_token_all")
+def a26_all(spark: SparkSession, d: str) -> DataFrame:
+    return _all_lines(spark, d).select("doc_id", "pos", metrics.characters_per_token("line", "ids").alias("ratio"))
+
+
 @query("f16_latin_words_before_encoding", f"{LINES}, words AS (SELECT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM lines) SELECT count(*) AS words, count(DISTINCT word) AS types FROM words WHERE regexp_matches(word, '[A-Za-z0-9]')")
 def f16(spark: SparkSession, d: str) -> DataFrame:
     words = metrics.word_counts(lines_of(spark, d)).filter(fl.latin_bearing("word"))

@@ -143,3 +143,40 @@ def test_training_from_lines(spark):
 def test_prototype_ties_go_to_the_least_pair():
     got = tr.train_prototype([(["a", "b"], 2), (["c", "d"], 2)], 1, lambda s: "LAT")
     assert got == [("a", "b")]
+
+
+def test_statistics_over_all_lines_equal_brute_force(spark, tmp_path):
+    from statistics import mean, median
+
+    from loomtext.plans import registry, tokens
+
+    texts = ["plain words here\n\nDéjà vu, größer año", "नेपाल 2020 मा 日本 😀\nyear 2020", "café café naïve", "e\u0301 x", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    own = cd.Codec(tokens.base_vocab())
+    lines = [(i, p, x) for i, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n"))]
+    n = [len(own.encode(x)) for *_, x in lines]
+    w = [len(x.split()) for *_, x in lines]
+    chars, size = sum(len(x) for *_, x in lines), sum(len(x.encode()) for *_, x in lines)
+
+    by = {r.kind: r for r in run("a4_fertility_by_line_all")}
+    latin = [any(c.isascii() and c.isalnum() for c in x) for *_, x in lines]
+    for kind, want in (("ALL", [True] * len(lines)), ("latin_or_digit", latin), ("native_only", [not x for x in latin])):
+        assert (by[kind].lines, by[kind].words, by[kind].tokens) == (sum(want), sum(b for a, b in zip(want, w) if a), sum(b for a, b in zip(want, n) if a))
+    counts = {}
+    for *_, x in lines:
+        for word in x.split():
+            counts[word] = counts.get(word, 0) + 1
+    assert sum(r.words for r in run("a5_fertility_by_word_class_all")) == sum(counts.values())
+    assert sum(r.tokens for r in run("a5_fertility_by_word_class_all")) == sum(c * len(own.encode(x)) for x, c in counts.items())
+    worst = sorted(((x, len(own.encode(x)), c) for x, c in counts.items() if len(own.encode(x)) >= 5), key=lambda r: (-r[2], r[0].encode()))[:15]
+    assert [tuple(r) for r in run("a7_worst_words_all")] == worst
+    (r,) = run("a8_sample_summary_all")
+    per = [a / max(b, 1) for a, b in zip(n, w)]
+    assert r.rows == len(lines) and tuple(r)[1:] == pytest.approx((mean(per), median(per), sum(n) / sum(w)))
+    (r,) = run("a9_a11_benchmark_row_all")
+    assert tuple(r) == ("base", sum(n), 0.0, *map(pytest.approx, (sum(n) / sum(w), chars / sum(n), size / sum(n), chars / sum(n) / 8 * 100)))
+    (r,) = run("a10_validation_summary_all")
+    failures = sum(own.decode(own.encode(x)).strip() != x.strip() for *_, x in lines)
+    assert tuple(r) == (pytest.approx(sum(n) / sum(w)), 0.0, failures)
+    assert {(r.doc_id, r.pos): r.ratio for r in run("a26_characters_per_token_all")} == {(i, p): pytest.approx(len(x) / max(k, 1)) for (i, p, x), k in zip(lines, n)}

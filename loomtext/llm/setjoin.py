@@ -276,13 +276,13 @@ def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     first = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[(t * 5) % FUNCTIONS]) for t in range(trees)])
     nodes = reps.select(F.col("doc_id").alias("doc"), F.explode(first).alias("node"))
     live = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "nodes")
+    if live.isEmpty():
+        return None
     central = live.groupBy("doc").agg(F.sum("n").alias("s"))
     scored = live.join(central, "doc")
     pivots = scored.groupBy("node").agg(F.max(F.struct("s", -F.col("doc"))).alias("best")).select("node", (-F.col("best")["col2"]).alias("a"))
     stars = live.join(pivots, "node").filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     stars = materialise(_similar(stars, briefs, least), "stars")
-    if stars.isEmpty():
-        return None
     edges = materialise(confirm(stars, docs, k, percent), "edges")
     groups = components(edges)
 

@@ -105,6 +105,20 @@ def test_trees_hold_their_miss_at_every_depth(threshold):
         assert (1 - threshold * (1 - after)) ** trees <= 1e-10
 
 
+def test_pairs_meet_where_no_pivot_has_a_near_member(spark):
+    """The least document holds only the minima of the others: it is the pivot of every node and near to none."""
+    import pyarrow as pa
+
+    names = [f"w{i}" for i in range(80)]
+    (hashes,) = document_shingles(pa.array([" ".join(names)]), 1)
+    minima = np.stack([setjoin.minwise(np.array([h]), setjoin._A, setjoin._B) for h in hashes])
+    firsts = {int(np.argmin(minima[:, (t * 5) % setjoin.FUNCTIONS])) for t in range(setjoin.plan_trees(0.85)[0])}
+    others = [i for i in range(80) if i not in firsts]
+    texts = [" ".join(names[i] for i in sorted(firsts)), " ".join(names), " ".join(names[i] for i in range(80) if i not in others[:3])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in setjoin.near_duplicates(df, 1, 85).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_set_join_of_odd_rows(spark, odd, empty):
     got = setjoin.near_duplicates(odd, 5, 80).collect()
     assert len(got) == odd.count()

@@ -1,22 +1,27 @@
 """Token ids on disk: an adaptive context-mixing range coder in independent blocks.
 
-A block is coded in steps. In a step each id has three predictions: by order 2
-(what last followed the two ids before), by order 1 (what last followed the id
-before) and by order 0 (all ids, by how often they came). Their probabilities are
-mixed by how often, in this kind of agreement of the predictions, each was right.
-Counts, successors and mixture are adapted after every step, from the ids alone,
-so the reader adapts alike. The mixed intervals drive a carry-less range coder
-with 64-bit bounds that writes 32-bit words, one an id at most.
-
-The ids of a step are dealt to lanes, each with its own range coder, so that both
-directions run as array operations over all lanes at once. Every block begins
-from nothing and ends with its own checksum, and holds whole documents.
+Each id is predicted by three distributions: order 2 (what followed the two ids
+before), order 1 (what followed the id before) and order 0 (all ids, by how often
+they came, unseen ones included). Orders 1 and 2 hold the most frequent successors of a context
+with their counts. The three are mixed: a successor's probability is the sum of what
+each order gives it, weighted by what the orders are worth in contexts as well known
+as these; what the successors leave is the escape to order 0. The weights are
+learned by expectation maximisation. The mixed intervals drive a carry-less range
+coder with 64-bit bounds that writes 32-bit words, one an id at most.
+
+A block's ids are dealt to lanes, each a stretch of the block with its own range
+coder, so that both directions run as array operations over all lanes at once, and
+a lane learns from all. Counts, successors and weights are adapted after each of
+the first time steps of the lanes, and then after every sixth part of the steps so
+far, from the ids alone, so the reader adapts alike. Every block begins from nothing,
+ends with its own checksum, and holds whole documents. Arithmetic on probabilities is of
+integers and of single operations on doubles, so any machine reads what another wrote.
 
 Blocks are rows of a Parquet table (part, block, documents, ids, doc_ids, counts,
 data), so any store that Spark reads will do, and a failed task leaves nothing.
 Rows are in ascending doc_id order by (part, block). Defined results: a null text
 is an empty text and has the end id alone; null doc_ids come first; repeated rows
-are documents each; an empty table gives no blocks; ids are under 2 ** 19.
+are documents each, rows that share a doc_id are ordered by text; an empty table gives no blocks; ids are under 2 ** 19.
 """
 
 from __future__ import annotations
@@ -31,70 +36,169 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.bpe import BYTE_PATTERN, Codec, read_spec
+from loomtext.llm.bpe import byte_alphabet, read_spec
 from loomtext.llm.kernels import blocks, text_buffer
 from loomtext.session import materialise
 
-#: Ids after which a block ends with the document; ids of a step; lanes of a block at most.
-BLOCK_IDS, STEP, LANES = 1 << 20, 1 << 16, 2048
-TOTAL, MIX = 20, 10
+#: Ids after which a block ends with the document; ids of a lane, about; lanes of a block at most.
+BLOCK_IDS, LANE_IDS, LANES = 1 << 20, 256, 4096
+#: Successors that a context of order 1 and of order 2 holds; slots of the contexts of order 2.
+SUCCESSORS1, SUCCESSORS2, SLOTS2 = 3, 2, 1 << 18
+#: Bits of an order-0 frequency, of a weight, and of a successor's share; a weight that order 0 has at least.
+TOTAL, MIX, SHARE, FLOOR = 20, 10, 12, 16
+#: A chunk of time steps is this part of those before it.
+PART = 6
 U = np.uint64
-_WORD, _BOTTOM, _ORDER2 = U(32), U(1) << U(32), 1 << 18
+_WORD, _BOTTOM = U(32), U(1) << U(32)
+_SCALE = MIX + SHARE
+_FINE = TOTAL + MIX - _SCALE
+
+
+class _Order:
+    """The most frequent successors of each context with their counts, those of greater counts first."""
+
+    def __init__(self, contexts: int, successors: int, start: int, levels: list[int]):
+        self.ids = np.full((successors, contexts), start, np.int32)
+        self.counts = np.zeros((successors, contexts), np.int32)
+        self.held = np.zeros(contexts, np.int8)
+        self.total = np.zeros(contexts, np.int32)
+        #: What predictions read: successor and its share of the context; how well the context is known.
+        self.packed = np.full((successors, contexts), start << SHARE, np.uint32)
+        self.known = np.zeros(contexts, np.uint8)
+        self.levels = levels
+
+    def read(self, context: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for table in self.packed:
+            row = table[context]
+            out.append(((row >> np.uint32(SHARE)).view(np.int32), (row & np.uint32((1 << SHARE) - 1)).view(np.int32)))
+        return out
+
+    def learn(self, context: np.ndarray, ids: np.ndarray) -> None:
+        key = np.sort(context.astype(np.int64) << TOTAL | ids)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        times = np.diff(np.append(first, len(key))).astype(np.int32)
+        key = key[first]
+        at, x = key >> TOTAL, (key & ((1 << TOTAL) - 1)).astype(np.int32)
+        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        touched = at[begins]
+        total = self.total[touched] + np.add.reduceat(times, begins)
+        self.total[touched] = total
+        new = np.ones(len(at), bool)
+        for own, counts in zip(self.ids, self.counts):
+            hit = np.flatnonzero(own[at] == x)
+            counts[at[hit]] += times[hit]
+            new[hit] = False
+        new = np.flatnonzero(new)
+        self._admit(at[new], x[new], times[new])
+        for k in range(len(self.ids) - 1, 0, -1):
+            rising = touched[self.counts[k][touched] > self.counts[k - 1][touched]]
+            for table in (self.ids, self.counts):
+                table[k - 1][rising], table[k][rising] = table[k][rising], table[k - 1][rising]
+        scale, top = float(1 << SHARE) / total, float((1 << SHARE) - 1)
+        for own, counts, packed in zip(self.ids, self.counts, self.packed):
+            share = np.minimum(counts[touched] * scale, top).astype(np.uint32)
+            packed[touched] = own[touched].view(np.uint32) << np.uint32(SHARE) | share
+        self.known[touched] = sum((total >= n).view(np.uint8) for n in self.levels)
+
+    def _admit(self, at: np.ndarray, x: np.ndarray, times: np.ndarray) -> None:
+        """A new successor takes a free place, or that of the rarest if it came no more often, and else lowers its count."""
+        last = len(self.ids) - 1
+        for _ in self.ids:
+            if not len(at):
+                return
+            more = np.append(False, at[1:] == at[:-1])
+            now = np.flatnonzero(~more)
+            a, n = at[now], times[now]
+            place = self.held[a]
+            full = place > last
+            rarest = self.counts[last][a]
+            enters = ~full | (rarest <= n)
+            if not enters.all():
+                self.counts[last][a[~enters]] -= 1
+                now, a, n, place = now[enters], a[enters], n[enters], place[enters]
+            place = np.minimum(place, last)
+            self.ids[place, a], self.counts[place, a] = x[now], n
+            self.held[a] = place + 1
+            if len(more) == len(full):
+                return
+            at, x, times = at[more], x[more], times[more]
 
 
 class _Model:
-    """What both directions know after the steps so far."""
+    """What both directions know after the chunks so far."""
 
     def __init__(self, alphabet: int):
         self.alphabet = alphabet
         self.counts = np.zeros(alphabet, np.int64)
-        self.one = np.full(alphabet + 1, -1, np.int32)
-        self.two = np.full(_ORDER2, -1, np.int32)
-        self.right = np.tile(np.array([0.4, 0.3, 0.3]), (8, 1))
+        self.one = _Order(alphabet + 1, SUCCESSORS1, alphabet, [1, 4, 32, 256])
+        self.two = _Order(SLOTS2, SUCCESSORS2, alphabet, [1, 2, 4, 16])
+        #: By how well the contexts of orders 2 and 1 are known: what each order was worth.
+        self.worth = np.tile(np.array([4.0, 3.0, 3.0]), (25, 1))
         self.prepare()
 
     def prepare(self) -> None:
-        """Integer frequencies for the coming step."""
-        spare = (1 << TOTAL) - self.alphabet
-        total = int(self.counts.sum())
-        self.freq = 1 + (self.counts * spare // total if total else np.full(self.alphabet, spare // self.alphabet))
+        """Integer frequencies of order 0 and weights for the coming chunk."""
+        n, unseen = int(self.counts.sum()), int((self.counts == 0).sum())
+        share = ((self.counts == 1).sum() + 1) / (n + 2) if unseen else 0.0
+        rare = max(1, int((1 << TOTAL) * share) // max(unseen, 1)) if n else (1 << TOTAL) // self.alphabet
+        spare = (1 << TOTAL) - rare * unseen - (self.alphabet - unseen)
+        if spare < 0:
+            rare, spare = 1, (1 << TOTAL) - self.alphabet
+        self.freq = np.where(self.counts > 0, 1 + self.counts * spare // max(n, 1), rare)
         self.freq[int(np.argmax(self.freq))] += (1 << TOTAL) - int(self.freq.sum())
-        self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]])
-        kinds = np.arange(8)
-        has2, has1, same = (kinds & 1) > 0, (kinds & 2) > 0, (kinds & 4) > 0
-        share = self.right / self.right.sum(axis=1, keepdims=True)
-        q2 = np.where(has2, np.clip(np.rint(share[:, 0] * (1 << MIX)), 1, (1 << MIX) - 2), 0).astype(np.int64)
-        q1 = np.where(has1 & ~same, np.clip(np.rint(share[:, 1] * (1 << MIX)), 1, (1 << MIX) - 1 - q2), 0).astype(np.int64)
-        #: By kind: where the shares of order 1 and of order 0 begin, the widths of orders 2 and 1, and the scale of order 0.
-        self.first, self.edge = q2 << TOTAL, (q2 + q1) << TOTAL
-        self.wide2, self.wide1, self.q0 = q2 << TOTAL, q1 << TOTAL, (1 << MIX) - q2 - q1
+        self.cum = np.cumsum(self.freq) - self.freq
+        parts = self.worth / (self.worth[:, :1] + self.worth[:, 1:2] + self.worth[:, 2:])
+        self.weight2 = np.rint(parts[:, 0] * ((1 << MIX) - FLOOR)).astype(np.int32)
+        self.weight1 = np.minimum(np.rint(parts[:, 1] * ((1 << MIX) - FLOOR)), (1 << MIX) - FLOOR - self.weight2).astype(np.int32)
 
     @staticmethod
     def slot(before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
         return (before2.astype(np.uint32) * np.uint32(0x9E3779B1) + before1.astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
 
-    def predict(self, slot: np.ndarray, before1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        two, one = self.two[slot], self.one[before1]
-        known = (two >= 0).view(np.uint8)
-        return two, one, known | (one >= 0).view(np.uint8) << 1 | ((two == one).view(np.uint8) & known) << 2
-
-    def adapt(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray, two, one, kind) -> None:
-        hit2 = ids == two
-        outcome = 2 - (ids == one).view(np.uint8)
-        outcome[hit2] = 0
-        self.right += np.bincount(kind * np.uint8(3) + outcome, minlength=24).reshape(8, 3)
-        self.counts += np.bincount(ids, minlength=self.alphabet)
-        self.one[before1] = ids
-        self.two[slot] = ids
+    def predict(self, slot: np.ndarray, before1: np.ndarray):
+        """Successors with their mixed masses, what they leave to order 0, and what the mixture was made of."""
+        one, two = self.one.read(before1), self.two.read(slot)
+        known = self.two.known[slot] * np.uint8(5) + self.one.known[before1]
+        weight1, weight2 = self.weight1[known], self.weight2[known]
+        masses = [weight1 * share for _, share in one]
+        own = []
+        for name, share in two:
+            mass = weight2 * share
+            alone = mass.copy()
+            for k, (other, _) in enumerate(one):
+                same = other == name
+                masses[k] += mass * same
+                alone *= ~same
+            own.append(alone)
+        masses += own
+        left = np.full_like(masses[0], 1 << _SCALE)
+        for m in masses:
+            left -= m
+        return [name for name, _ in one + two], masses, left, (known, weight1, weight2, one, two)
+
+    def adapt(self, ids: np.ndarray, slot: np.ndarray, before1: np.ndarray) -> None:
+        """Learn from a chunk of ids, (time, lanes); the weights from every eighth step."""
+        x, s, b = ids[::8].ravel(), slot[::8].ravel(), before1[::8].ravel()
+        _, _, left, (known, weight1, weight2, one, two) = self.predict(s, b)
+        shares = [weight * sum(share * (name == x) for name, share in found) for weight, found in ((weight2, two), (weight1, one))]
+        shares.append(left * self.freq[x] / (1 << TOTAL))
+        total = shares[0] + shares[1] + shares[2]
+        for k, own in enumerate(shares):
+            self.worth[:, k] += np.bincount(known, own / total, 25)
+        flat = ids.ravel()
+        self.counts += np.bincount(flat, minlength=self.alphabet)
+        self.one.learn(before1.ravel(), flat)
+        self.two.learn(slot.ravel(), flat)
         self.prepare()
 
 
-def _before(x: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two ids before each of ``x`` (time, lanes); at a lane's begin the id ``start``."""
-    one, two = np.full_like(x, start), np.full_like(x, start)
-    one[1:] = x[:-1]
-    two[2:] = x[:-2]
-    return two, one
+def _chunks(steps: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < steps:
+        end = min(steps, at + max(1, at // PART))
+        yield at, end
+        at = end
 
 
 def _ready(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,102 +220,116 @@ def encode_block(ids: np.ndarray) -> bytes:
     alphabet = int(ids.max()) + 1 if n else 1
     if alphabet > 1 << 19:
         raise ValueError("ids must be under 2 ** 19")
-    lanes = int(np.clip(n // 64, 1, LANES))
+    lanes = int(np.clip(n // LANE_IDS, 1, LANES))
+    steps = -(-n // lanes)
+    padded = np.concatenate([ids.astype(np.int32), np.zeros(steps * lanes - n, np.int32)])
+    x = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    one, two = np.full_like(x, alphabet), np.full_like(x, alphabet)
+    one[1:], two[2:] = x[:-1], x[:-2]
+    slot = _Model.slot(two, one)
     model = _Model(alphabet)
     low, size = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1))
     words: list[np.ndarray] = []
     owners: list[np.ndarray] = []
-    for at in range(0, n, STEP):
-        part = ids[at : at + STEP].astype(np.int32)
-        length = -(-len(part) // lanes)
-        x = np.concatenate([part, np.zeros(length * lanes - len(part), np.int32)]).reshape(lanes, length).T
-        x = np.ascontiguousarray(x)
-        two_before, one_before = _before(x, alphabet)
-        slot = model.slot(two_before, one_before)
-        two, one, kind = model.predict(slot, one_before)
-        hit2 = x == two
-        hit1 = ~hit2 & (x == one)
-        q0 = model.q0[kind]
-        start = np.where(hit2, 0, np.where(hit1, model.first[kind], model.edge[kind] + model.cum[x] * q0)).astype(U)
-        freq = np.where(hit2, model.wide2[kind], np.where(hit1, model.wide1[kind], model.freq[x] * q0)).astype(U)
-        for t in range(length):
+    for begin, end in _chunks(steps):
+        here = x[begin:end]
+        names, masses, left, _ = model.predict(slot[begin:end], one[begin:end])
+        scale = (left >> (TOTAL - _FINE)).astype(np.int64)
+        start = ((np.int64(1) << _SCALE) - left << _FINE) + model.cum[here] * scale
+        freq = model.freq[here] * scale
+        acc = np.zeros_like(left)
+        for name, mass in zip(names, masses):
+            wide = mass.astype(np.int64) << _FINE
+            better = (name == here) & (wide > freq)
+            np.copyto(start, acc.astype(np.int64) << _FINE, where=better)
+            np.copyto(freq, wide, where=better)
+            acc += mass
+        start, freq = start.view(U), freq.view(U)
+        for t in range(end - begin):
             size >>= U(TOTAL + MIX)
             low += start[t] * size
             size *= freq[t]
-            ready, own, left = _ready(low, size)
+            ready, own, rest = _ready(low, size)
             if len(ready):
                 words.append((own >> _WORD).astype(np.uint32))
                 owners.append(ready.astype(np.uint16))
                 low[ready] = own << _WORD
-                size[ready] = left << _WORD
-        flat = x.ravel()
-        model.adapt(flat, slot.ravel(), one_before.ravel(), two.ravel(), one.ravel(), kind.ravel())
-    for shift in (32, 0):
-        words.append((low >> U(shift)).astype(np.uint32))
-        owners.append(np.arange(lanes, dtype=np.uint16))
+                size[ready] = rest << _WORD
+        model.adapt(here, slot[begin:end], one[begin:end])
+    # The least multiple of 2 ** 32 in the interval: one word, as the interval is at least that wide.
+    words.append((low + (_BOTTOM - U(1)) >> _WORD).astype(np.uint32))
+    owners.append(np.arange(lanes, dtype=np.uint16))
     owner = np.concatenate(owners)
     stream = np.concatenate(words)[np.argsort(owner, kind="stable")]
     sizes = np.bincount(owner, minlength=lanes).astype(np.uint32)
     head = np.array([n, alphabet, lanes, zlib.crc32(ids.tobytes())], np.uint32)
-    return b"LTB2" + head.tobytes() + sizes.tobytes() + stream.tobytes()
+    return b"LTB3" + head.tobytes() + sizes.tobytes() + stream.tobytes()
 
 
 def decode_block(data: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it is damaged."""
-    if data[:4] != b"LTB2" or len(data) < 20:
+    if data[:4] != b"LTB3" or len(data) < 20:
         raise ValueError("not a block")
     n, alphabet, lanes, check = (int(v) for v in np.frombuffer(data, np.uint32, 4, 4))
-    if alphabet > 1 << 19 or len(data) < 20 + 4 * lanes:
+    if alphabet > 1 << 19 or not 1 <= lanes <= LANES or len(data) < 20 + 4 * lanes:
         raise ValueError("the block is damaged")
     sizes = np.frombuffer(data, np.uint32, lanes, 20).astype(np.int64)
-    if len(data) != 20 + 4 * lanes + 4 * sizes.sum():
+    if len(data) != 20 + 4 * lanes + 4 * sizes.sum() or sizes.min() < 1:
         raise ValueError("the block is cut short")
-    stream = np.concatenate([np.frombuffer(data, np.uint32, -1, 20 + 4 * lanes), np.zeros(4, np.uint32)]).astype(U)
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    code = stream[at] << _WORD | stream[at + 1]
+    steps = -(-n // lanes)
+    if steps > 2 * BLOCK_IDS * LANE_IDS:
+        raise ValueError("the block is damaged")
+    stream = np.concatenate([np.frombuffer(data, np.uint32, -1, 20 + 4 * lanes), np.zeros(2, np.uint32)]).astype(U)
+    ends = np.cumsum(sizes)
+    at = ends - sizes
+
+    def word(k: np.ndarray, lane) -> np.ndarray:
+        return np.where(k < ends[lane], stream[np.minimum(k, ends[lane])], U(0))
+
+    every = np.arange(lanes)
+    code = word(at, every) << _WORD | word(at + 1, every)
     at += 2
-    last = len(stream) - 1
     model = _Model(alphabet)
     low, size = np.zeros(lanes, U), np.full(lanes, U(2**64 - 1))
-    out = np.empty(n, np.uint32)
+    x, one = np.empty((steps, lanes), np.int32), np.empty((steps, lanes), np.int32)
+    slot = np.empty((steps, lanes), np.uint32)
+    before1 = before2 = np.full(lanes, alphabet, np.int32)
     top = U((1 << (TOTAL + MIX)) - 1)
-    for begin in range(0, n, STEP):
-        count = min(STEP, n - begin)
-        length = -(-count // lanes)
+    for begin, end in _chunks(steps):
         symbols = np.repeat(np.arange(alphabet, dtype=np.int32), model.freq)
-        x, two, one = (np.empty((length, lanes), np.int32) for _ in range(3))
-        slot, kind = np.empty((length, lanes), np.uint32), np.empty((length, lanes), np.uint8)
-        before1 = before2 = np.full(lanes, alphabet, np.int32)
-        for t in range(length):
-            slot[t] = model.slot(before2, before1)
-            two[t], one[t], kind[t] = model.predict(slot[t], before1)
-            k = kind[t]
-            edge, q0 = model.edge[k], model.q0[k]
+        for t in range(begin, end):
+            one[t], slot[t] = before1, model.slot(before2, before1)
+            names, masses, left, _ = model.predict(slot[t], before1)
+            scale = (left >> (TOTAL - _FINE)).astype(np.int64)
+            edge = (np.int64(1) << _SCALE) - left
             size >>= U(TOTAL + MIX)
             value = np.minimum((code - low) // size, top).astype(np.int64)
             # Exact in doubles: the dividend is under 2 ** 30 and the divisor at most 2 ** 10.
-            own = symbols[(np.maximum(value - edge, 0) / q0).astype(np.int32)]
-            start, freq = edge + model.cum[own] * q0, model.freq[own] * q0
-            high = np.flatnonzero(value < edge)
-            if len(high):
-                first = model.first[k[high]]
-                hit2 = value[high] < first
-                own[high] = np.where(hit2, two[t, high], one[t, high])
-                start[high] = np.where(hit2, 0, first)
-                freq[high] = np.where(hit2, model.wide2[k[high]], model.wide1[k[high]])
-            low += start.astype(U) * size
-            size *= freq.astype(U)
-            ready, mine, left = _ready(low, size)
+            place = (np.maximum(value - (edge << _FINE), 0) / scale).astype(np.int32)
+            own = symbols[np.minimum(place, (1 << TOTAL) - 1)]
+            start, freq = (edge << _FINE) + model.cum[own] * scale, model.freq[own] * scale
+            coarse = (value >> _FINE).astype(np.int32)
+            acc = np.zeros(lanes, np.int32)
+            for name, mass in zip(names, masses):
+                hit = np.flatnonzero((coarse >= acc) & (coarse < acc + mass))
+                own[hit] = name[hit]
+                start[hit] = acc[hit].astype(np.int64) << _FINE
+                freq[hit] = mass[hit].astype(np.int64) << _FINE
+                acc += mass
+            low += start.view(U) * size
+            size *= freq.view(U)
+            ready, mine, rest = _ready(low, size)
             if len(ready):
                 low[ready] = mine << _WORD
-                size[ready] = left << _WORD
-                code[ready] = code[ready] << _WORD | stream[np.minimum(at[ready], last)]
+                size[ready] = rest << _WORD
+                code[ready] = code[ready] << _WORD | word(at[ready], ready)
                 at[ready] += 1
             x[t] = own
             before2, before1 = before1, own
-        out[begin : begin + count] = x.T.ravel()[:count]
-        _, one_before = _before(x, alphabet)
-        model.adapt(x.ravel(), slot.ravel(), one_before.ravel(), two.ravel(), one.ravel(), kind.ravel())
+        if (x[begin:end] >= alphabet).any():
+            raise ValueError("the block is damaged")
+        model.adapt(x[begin:end], slot[begin:end], one[begin:end])
+    out = np.ascontiguousarray(x.T).ravel()[:n].astype(np.uint32)
     if zlib.crc32(out.tobytes()) != check:
         raise ValueError("the block's checksum differs")
     return out
@@ -220,25 +338,34 @@ def decode_block(data: bytes) -> np.ndarray:
 class Encoder:
     """Ids of texts under a byte-level BPE file of the tokenizers library.
 
-    The file's vocabulary is run by tiktoken, whose ids are the same and which is
-    several times faster; a text that it refuses goes to :class:`Codec`.
+    The file's vocabulary is run by tiktoken, whose ids are the same and which takes
+    a quarter of the time. Its regex engine refuses some very long runs; such a text goes
+    to the tokenizers library itself.
     """
 
+    #: The byte-level pattern with possessive repetition, which matches the same and backtracks less.
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
     def __init__(self, spec: str):
         import tiktoken
+        import tokenizers
 
-        self.codec = Codec(spec)
         file = json.loads(spec)
+        if file["pre_tokenizer"]["type"] != "ByteLevel" or file["normalizer"] is not None or file["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("only byte-level files without a normalizer and a prefix space are read")
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        back = {c: b for b, c in enumerate(self.codec.alphabet)}
-        ranks = {bytes(back[c] for c in token): i for token, i in self.codec.vocab.items() if token not in self.special}
-        self.fast = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        back = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes(back[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
+        self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.library = tokenizers.Tokenizer.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
 
     def __call__(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
-        except Exception:  # the regex engine gives up on some very long runs
-            return self.codec.encode([text])[0].astype(np.uint32)
+        except ValueError:  # the regex engine's backtracking limit
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[int, Encoder] = {}

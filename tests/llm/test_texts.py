@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def test_repetition_is_predicted_and_damage_is_found():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_000, 3000), 100).astype(np.uint32)
     data = tokenfile.encode_block(ids)
     assert len(data) < len(ids)  # under a byte an id
-    for at in (30, 20_000, len(data) // 2):
+    for at in (30, len(data) // 3, len(data) // 2):
         with pytest.raises(ValueError):
             tokenfile.decode_block(data[:at] + bytes([data[at] ^ 8]) + data[at + 1 :])
     with pytest.raises(ValueError):
@@ -69,6 +71,64 @@ def test_repetition_is_predicted_and_damage_is_found():
         tokenfile.encode_block(np.array([1 << 19], np.uint32))
 
 
+@pytest.fixture(scope="module")
+def corpus_ids():
+    """The ids of the sf0.1 texts with the end id after each, as far as the largest block needs them."""
+    own, docs, n = tokenfile.Encoder(bpe.read_spec(queries.tokenizer_path("byte_bpe_50k.json"))), [], 0
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist():
+        docs.append(np.append(own(text or ""), 2).astype(np.uint32))
+        n += len(docs[-1])
+        if n >= 1 << 20:
+            return np.concatenate(docs)
+
+
+@pytest.mark.parametrize("n", [30_000, 65_536, 200_000, 400_000, 1 << 20])
+def test_blocks_of_texts_are_small(corpus_ids, n):
+    ids = corpus_ids[:n]
+    data = tokenfile.encode_block(ids)
+    share = np.bincount(ids)[np.unique(ids)] / n
+    entropy = -(share * np.log2(share)).sum()
+    assert (tokenfile.decode_block(data) == ids).all()
+    assert 8 * len(data) / n < 1.1 * entropy and len(data) < len(zlib.compress(ids.astype(np.uint16).tobytes()))
+
+
+def test_higher_orders_are_mixed():
+    """Ids of equal frequency, each followed by one of three: order 0 alone would need 8 bits."""
+    rng = np.random.default_rng(5)
+    after, ids = rng.integers(0, 256, (256, 3)), [0]
+    for draw in rng.choice(3, 100_000, p=[0.7, 0.2, 0.1]):
+        ids.append(after[ids[-1], draw])
+    assert 8 * len(tokenfile.encode_block(np.array(ids, np.uint32))) / len(ids) < 2
+
+
+def test_token_files_equal_the_library_on_the_whole_table(spark):
+    t = library("byte_bpe_50k.json")
+    rows = {r.doc_id: r for r in queries.QUERIES["op7_token_files"](spark, SF).collect()}
+    docs = sorted(zip(*pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
+    start = 0
+    for (doc, _), e in zip(docs, t.encode_batch([x or "" for _, x in docs], add_special_tokens=False)):
+        ids = np.array([*e.ids, 2], np.uint32)
+        assert (rows[doc].start, rows[doc].n_tokens, rows[doc].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(rows) == len(docs)
+
+
+def test_what_the_fast_encoder_refuses_goes_to_the_library():
+    own = tokenfile.Encoder(bpe.read_spec(queries.tokenizer_path("byte_bpe_50k.json")))
+    text = " " * 1_500_000 + "a"
+    with pytest.raises(ValueError):
+        own.fast.encode_to_numpy(text)
+    assert len(own(text)) == 1_500_000
+
+
+def test_rows_that_share_an_id_are_ordered_by_text(spark):
+    df = spark.createDataFrame([(1, "b b"), (1, "a"), (1, "a"), (1, None)], "doc_id long, text string").repartition(4)
+    rows = tokenfile.through_files(df, queries.tokenizer_path("byte_bpe_50k.json"), 2).orderBy("start").collect()
+    own = library("byte_bpe_50k.json")
+    sums = [zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 2], np.uint32).tobytes()) for t in ("", "a", "a", "b b")]
+    assert [r.ids_crc32 for r in rows] == sums and [r.start for r in rows] == [0, 1, 3, 5]
+
+
 def test_token_files_keep_order_and_offsets(spark, odd, empty, monkeypatch):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     rows = tokenfile.through_files(odd, path, 2).orderBy("start").collect()

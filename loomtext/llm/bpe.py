@@ -9,25 +9,33 @@ bounded cache keeps the ids of words that have been seen in the partition.
 Files of the tokenizers library are read for the vocabulary, the merges and the
 special tokens; the path is a parameter. Two families are supported: byte-level
 BPE over its usual pattern, and lower-cased word BPE whose words have an end
-mark. Defined results: a null text is an empty text; the empty text has no ids.
+mark. No word of the latter holds white space, so a run between white space is
+encoded, and decoded, once for as long as the cache holds it.
+
+Defined results: a null text is an empty text; the empty text has no ids; repeated
+rows are encoded each; columns named like a new one are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from loomtext.llm.kernels import blocks, give_back, text_buffer
 
-#: Words whose ids a worker remembers; when there are more, it begins anew.
+#: Words and runs whose ids and texts a worker remembers; when there are more, it begins anew.
 CACHE_WORDS = 300_000
+#: What Python's split takes for white space and the files' patterns do not.
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -55,15 +63,18 @@ class Codec:
         self.words = regex.compile(pattern).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.alphabet = byte_alphabet()
-        self.merges: dict[int, tuple[int, int]] = {}
-        self.sides: list[tuple[int, int]] = []
+        #: Rank of each pair; left, right and merged id of each rank.
+        self.ranks: dict[int, int] = {}
+        self.rules: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right = self.vocab[a], self.vocab[b]
-            self.sides.append((left, right))
-            self.merges.setdefault(left << 32 | right, (rank, self.vocab[a + b]))
-        self.letters = [self.vocab[c] for c in self.alphabet]
-        self.finals = [self.vocab[c + self.suffix] for c in self.alphabet] if self.suffix else self.letters
+            self.rules.append((left, right, self.vocab[a + b]))
+            self.ranks.setdefault(left << 32 | right, rank)
+        self.letters = np.array([self.vocab[c] for c in self.alphabet], np.int32)
+        self.finals = np.array([self.vocab[c + self.suffix] for c in self.alphabet], np.int32) if self.suffix else self.letters
+        #: Rank of each pair of bytes, or -1, inside a word and at its end.
+        self.first = [np.array([[self.ranks.get(int(x) << 32 | int(y), -1) for y in ends] for x in self.letters]) for ends in (self.letters, self.finals)]
         self.by_id = np.full(max([*self.vocab.values(), *self.special.values()]) + 1, "", dtype=object)
         for token, i in (self.vocab | self.special).items():
             self.by_id[i] = token
@@ -71,7 +82,10 @@ class Codec:
         back = {c: bytes([b]) for b, c in enumerate(self.alphabet)}
         if self.byte_level:
             self.raw = np.array([t.encode() if t in self.special else b"".join(back.get(c, c.encode()) for c in t) for t in self.by_id], dtype=object)
+        self.pieces = self.raw.tolist() if self.byte_level else self.by_id.tolist()
+        #: Ids of each word or run, and what they decode to.
         self.cache: dict[str, bytes] = {}
+        self.texts: dict[str, bytes | str] = {}
 
     def normalise(self, text: str) -> str:
         if not self.lowered:
@@ -83,35 +97,36 @@ class Codec:
         return text.lower()
 
     def learn(self, words: list[str]) -> None:
-        """Put the ids of ``words`` into the cache, by the pair occurrence index."""
-        merges, letters, finals = self.merges, self.letters, self.finals
-        ids: list[int] = []
-        stops: list[int] = []
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            ids.extend([letters[b] for b in raw[:-1]])
-            ids.append(finals[raw[-1]])
-            stops.append(len(ids))
-        after = list(range(1, len(ids) + 1))
-        before = list(range(-1, len(ids) - 1))
-        at = 0
-        for stop in stops:
-            before[at] = -1
-            after[stop - 1] = -1
-            at = stop
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (found := merges.get(ids[p] << 32 | ids[q])):
-                index.setdefault(found[0], []).append(p)
-        active = list(index)
-        heapq.heapify(active)
+        """Put the ids of ``words`` and their texts into the cache, by the pair occurrence index."""
+        encoded = [w.encode("utf-8", "surrogatepass") for w in words]
+        data = np.frombuffer(b"".join(encoded), np.uint8)
+        stops = np.cumsum([len(e) for e in encoded])
+        last = stops - 1
+        end = np.zeros(len(data), bool)
+        end[last] = True
+        start = self.letters[data]
+        start[last] = self.finals[data[last]]
+        near, far = data[:-1], data[1:]
+        rank = np.where(end[1:], self.first[1][near, far], self.first[0][near, far])
+        rank[end[:-1]] = -1
+        places = np.flatnonzero(rank >= 0)
+        places = places[np.argsort(rank[places], kind="stable")]
+        found, cuts = np.unique(rank[places], return_index=True)
+        index = {r: own.tolist() for r, own in zip(found.tolist(), np.split(places, cuts[1:]))} if len(found) else {}
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[last] = -1
+        before[stops[:-1]] = -1
+        before[:1] = -1
+        ids, after, before = start.tolist(), after.tolist(), before.tolist()
+        ranks, rules, push, pop = self.ranks.get, self.rules, heapq.heappush, heapq.heappop
+        active = list(index)  # ascending, so it is a heap
         while active:
-            rank = heapq.heappop(active)
-            left, right = self.sides[rank]
-            new = merges[left << 32 | right][1]
-            places = index.pop(rank)
-            places.sort()
-            for p in places:
+            current = pop(active)
+            left, right, new = rules[current]
+            ahead = new << 32
+            own = index.pop(current)
+            own.sort()
+            for p in own:
                 q = after[p]
                 if ids[p] != left or q < 0 or ids[q] != right:
                     continue
@@ -119,48 +134,92 @@ class Codec:
                 r = after[p] = after[q]
                 if r >= 0:
                     before[r] = p
-                    if found := merges.get(new << 32 | ids[r]):
-                        if found[0] not in index:
-                            index[found[0]] = []
-                            heapq.heappush(active, found[0])
-                        index[found[0]].append(p)
+                    other = ranks(ahead | ids[r])
+                    if other is not None:
+                        if other in index:
+                            index[other].append(p)
+                        else:
+                            index[other] = [p]
+                            push(active, other)
                 o = before[p]
-                if o >= 0 and (found := merges.get(ids[o] << 32 | new)):
-                    if found[0] not in index:
-                        index[found[0]] = []
-                        heapq.heappush(active, found[0])
-                    index[found[0]].append(o)
+                if o >= 0:
+                    other = ranks(ids[o] << 32 | new)
+                    if other is not None:
+                        if other in index:
+                            index[other].append(o)
+                        else:
+                            index[other] = [o]
+                            push(active, other)
         flat = np.array(ids, dtype=np.int32)
+        stays = flat >= 0
+        flat, ends = flat[stays], np.cumsum(stays)[last].tolist()
+        packed, tokens, join, piece = flat.tobytes(), flat.tolist(), (b"" if self.byte_level else " ").join, self.pieces.__getitem__
         at = 0
-        for word, stop in zip(words, stops):
-            own = flat[at:stop]
-            self.cache[word] = own[own >= 0].tobytes()
+        for word, stop in zip(words, ends):
+            self.cache[word] = packed[4 * at : 4 * stop]
+            self.texts[word] = join(map(piece, tokens[at:stop]))
             at = stop
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the tokenizers library gives without special tokens added."""
-        parts: list[list[str] | list[list[str] | bytes]] = []
+    def _runs(self, piece: str) -> list[str]:
+        """Parts of a normalised text that are encoded each by itself."""
+        return self.words(piece) if self.byte_level or _ODD_SPACE.search(piece) else piece.split()
+
+    def _parts(self, texts: list[str]) -> list[list[str]]:
+        """The runs and special tokens of each text, all of which the cache then holds."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+            self.texts.clear()
+        parts: list[list[str]] = []
         wanted: set[str] = set()
         for text in texts:
             if self.split and "<|" in text:
-                pieces: list[list[str] | bytes] = []
+                own: list[str] = []
                 for k, piece in enumerate(self.split(text)):
                     if k % 2:
-                        pieces.append(np.array([self.special[piece]], np.int32).tobytes())
+                        own.append(self._special(piece))
                     elif piece:
-                        pieces.append(self.words(self.normalise(piece)))
-                        wanted.update(pieces[-1])
-                parts.append(pieces)
+                        own += self._runs(self.normalise(piece))
             else:
-                words = self.words(self.normalise(text))
-                wanted.update(words)
-                parts.append([words])
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if new := [w for w in wanted if w not in self.cache]:
-            self.learn(new)
+                own = self._runs(self.normalise(text))
+            parts.append(own)
+            wanted.update(own)
+        new = [r for r in wanted if r not in self.cache]
+        if self.byte_level:
+            words = new
+        else:
+            split = {r: self.words(r) for r in new if not (r.isascii() and r.isalpha())}
+            words = list({w for r in new for w in split.get(r, (r,)) if w not in self.cache})
+        if words:
+            self.learn(words)
+        if not self.byte_level:
+            for r, own in split.items():
+                if len(own) > 1:
+                    self.cache[r] = b"".join([self.cache[w] for w in own])
+                    self.texts[r] = " ".join([self.texts[w] for w in own])
+        return parts
+
+    def _special(self, token: str) -> str:
+        """The name under which the cache has a special token; no run holds white space before a letter."""
+        name = f"\n{token}"
+        if name not in self.cache:
+            i = self.special[token]
+            self.cache[name], self.texts[name] = np.array([i], np.int32).tobytes(), self.pieces[i]
+        return name
+
+    def _ids(self, parts: list[list[str]]) -> list[np.ndarray]:
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in pieces]), np.int32) for pieces in parts]
+        return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in parts]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as the tokenizers library gives without special tokens added."""
+        return self._ids(self._parts(texts))
+
+    def round_trip(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of each text, and what they decode to, from the runs' ids and texts."""
+        parts, get = self._parts(texts), self.texts.__getitem__
+        if self.byte_level:
+            return self._ids(parts), [b"".join(map(get, own)).decode("utf-8", "replace") for own in parts]
+        return self._ids(parts), [" ".join(map(get, own)) for own in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens kept; ids outside the vocabulary are skipped."""
@@ -190,31 +249,47 @@ def _shared(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(read_spec(path))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Add the ids of each row's text; other columns pass through. A column named like ``into`` is replaced."""
+def _mapped(df: DataFrame, path: str, text: str, into: list[StructField], keep: list[str] | None, run) -> DataFrame:
+    """Add the columns that ``run`` makes of a codec and a list of texts."""
     spec = _shared(df, path)
-    kept = [c for c in df.columns if c != into]
-    place = kept.index(text)
-    frame = df.select(*kept)
-    schema = StructType([*frame.schema.fields, StructField(into, ArrayType(IntegerType()))])
+    names = [f.name for f in into]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in names]
+    read = df.select(*kept, F.col(text).alias("_".join(["", *kept, "text"])))
+    schema = StructType([*read.schema.fields[:-1], *into])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec.value)
         for batch in batches:
-            column = batch.column(place)
+            column = batch.column(len(kept))
             _, offsets = text_buffer(column)
             for a, b in blocks(offsets, 1 << 20):
-                part = batch.slice(a, b - a)
-                ids = own.encode([t or "" for t in part.column(place).to_pylist()])
-                ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=ends[1:])
-                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*part.columns, listed], names=[*kept, into])
-        own.cache.clear()  # the worker lives on, and what the next task does may not need words
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], *run(own, texts)], names=schema.names)
         give_back()
 
-    return frame.mapInArrow(run, schema)
+    return read.mapInArrow(each, schema)
+
+
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """Add the ids of each row's text to the columns ``keep``, or to all."""
+    fields = [StructField(into, ArrayType(IntegerType()))]
+    return _mapped(df, path, text, fields, keep, lambda own, texts: [_listed(own.encode(texts))])
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Add, in one pass, the ids of each row's text and the text that they decode to, to the columns ``keep``, or to all."""
+
+    def run(own: Codec, texts: list[str]) -> list[pa.Array]:
+        found, back = own.round_trip(texts)
+        return [_listed(found), pa.array(back, pa.string())]
+
+    return _mapped(df, path, text, [StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())], keep, run)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

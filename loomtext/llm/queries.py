@@ -26,7 +26,7 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    both = bpe.round_trip(docs, path, keep=["doc_id"])
     return both.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -34,6 +34,26 @@ def test_ids_and_texts_are_those_of_the_library(name):
     for text, ids, want in zip(texts, own.encode(texts), t.encode_batch(texts, add_special_tokens=False)):
         assert ids.tolist() == want.ids, text
         assert own.decode(ids) == t.decode(want.ids, skip_special_tokens=False), text
+    for text, ids, back in zip(texts, *own.round_trip(texts)):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and back == t.decode(want, skip_special_tokens=False), text
+
+
+def test_a_full_cache_begins_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    own, fresh = (bpe.Codec(bpe.read_spec(queries.tokenizer_path("word_bpe_49k.json"))) for _ in range(2))
+    for text in odd_texts()[:200]:
+        assert own.encode([text])[0].tolist() == fresh.encode([text])[0].tolist()
+
+
+def test_bpe_query_equals_the_library_on_the_whole_table(spark):
+    t = library("word_bpe_49k.json")
+    rows = {r.doc_id: r for r in queries.QUERIES["op2_bpe"](spark, SF).collect()}
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    for doc, e in zip(docs["doc_id"], t.encode_batch([x or "" for x in docs["text"]], add_special_tokens=False)):
+        own = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, e.ids)), t.decode(e.ids, skip_special_tokens=False))]
+        assert [rows[doc].n_tokens, rows[doc].ids_sha256, rows[doc].decoded_sha256] == [len(e.ids), *own]
+    assert len(rows) == len(docs["doc_id"])
 
 
 def test_fast_encoder_is_the_library():
@@ -44,7 +64,9 @@ def test_fast_encoder_is_the_library():
 
 def test_bpe_of_odd_rows(spark, odd, empty):
     path = queries.tokenizer_path("word_bpe_49k.json")
+    both = bpe.round_trip(odd, path)
     out = bpe.decode(bpe.encode(odd, path), path)
+    assert sorted(map(str, both.select(out.columns).collect())) == sorted(map(str, out.collect())) and bpe.round_trip(empty, path, keep=["doc_id"]).columns == ["doc_id", "ids", "decoded"]
     assert out.columns == [*(c for c in odd.columns if c != "ids"), "ids", "decoded"]
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[3].ids == [] and rows[3].decoded == "" and rows[1].ids == rows[2].ids and out.count() == odd.count()

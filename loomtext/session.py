@@ -28,16 +28,18 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "loomtext")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; on a single machine where that is unset, as in tests, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file:///tmp/checkpoints/loomtext"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there is removed when the driver's Python ends."""
+    """A new path in the shared folder; what is written there is removed by ``release``, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_all)
@@ -54,18 +56,39 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what ``materialise`` wrote for these tables, which nothing reads any more."""
+    for table_ in tables:
+        own = (table_.sparkSession, table_._written)
+        _remove(*own)
+        _written.remove(own)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _remove_all() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    for own in _written:
+        _remove(*own)
     _written.clear()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as no column has."""
+    low = {c.lower() for c in columns}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

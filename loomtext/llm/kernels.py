@@ -123,7 +123,7 @@ def minwise(values: np.ndarray, multipliers: np.ndarray, addends: np.ndarray) ->
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Pieces of a sorted stream in which the key columns do not change.
+    """Pieces of a sorted stream in which the key columns, of integers, do not change.
 
     A group longer than a batch comes in several pieces, one after another.
     """
@@ -134,9 +134,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
         change = np.zeros(n - 1, dtype=bool)
         for c in columns:
+            if c.null_count:
+                valid = c.is_valid().to_numpy(zero_copy_only=False)
+                change |= valid[1:] != valid[:-1]
+                c = c.fill_null(0)  # integers stay integers, so ids beyond 2 ** 53 stay apart
             values = c.to_numpy(zero_copy_only=False)
-            if values.dtype.kind == "f":
-                values = np.nan_to_num(values, nan=-1.5)
             change |= values[1:] != values[:-1]
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):

@@ -26,7 +26,8 @@ Signatures decide only which pairs are confirmed: a pair is passed over when its
 estimate lies 4.5 standard deviations under the threshold.
 
 Defined results: texts without words are null sets, link with nothing and are
-kept; rows that share a doc_id are one document; a null doc_id has no component
+kept; rows that share a doc_id and differ in text are documents each, whose components
+may differ though they bear that one id; a null doc_id has no component
 and is kept; an empty table gives an empty result. Sets are of 64-bit hashes.
 """
 
@@ -38,12 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from loomtext.llm.graph import components
+from loomtext.llm.graph import BROADCAST_ROWS, beside, components
 from loomtext.llm.kernels import document_shingles, give_back, minwise, runs
-from loomtext.session import materialise
+from loomtext.session import materialise, unused
 
 FUNCTIONS, LEVELS = 64, 5
 #: Share of the pairs at the threshold that the trees may miss, whatever depth their nodes reach.
@@ -52,21 +54,21 @@ MISS = 1e-10
 SMALL, BLOCK = 64, 256
 #: Pairs that meet one document in one task of the confirmation.
 CHUNK = 256
-#: Rows of two longs that may be broadcast, about 16 MB; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Shingles of a block of sets that are compared exactly, about, unless a single set has more.
+WEIGHT = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig, brief): of each set its size, a digest, its minima and their low bytes."""
+    """(doc_id, x, n_shingles, digest, sig, brief): a hash of the text; of its set the size, a digest, its minima and their low bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             rows: list[tuple] = []
-            for own in document_shingles(batch.column(1), k):
+            for own in document_shingles(batch.column(2), k):
                 own = np.unique(own)
                 if not len(own):
                     rows.append((0, None, None, None))
@@ -75,20 +77,20 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 rows.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), low.view(np.int32), low.astype(np.uint8).tobytes()))
             n, digest, sig, brief = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(brief, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "sig", "brief"],
+                [ids, batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(brief, pa.binary())],
+                names=["doc_id", "x", "n_shingles", "digest", "sig", "brief"],
             )
         give_back()
 
-    frame = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
-    return frame.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sig array<int>, brief binary")
+    frame = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("x"), F.col("text"))
+    return frame.mapInArrow(run, "doc_id bigint, x bigint, n_shingles bigint, digest binary, sig array<int>, brief binary")
 
 
 def _similar(pairs: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree in a share of at least ``least``."""
     frame = (
-        pairs.join(briefs.select(F.col("doc_id").alias("b"), F.col("brief").alias("y")), "b")
-        .join(briefs.select(F.col("doc_id").alias("a"), F.col("brief").alias("x")), "a")
+        pairs.join(briefs.select(F.col("doc").alias("b"), F.col("brief").alias("y")), "b")
+        .join(briefs.select(F.col("doc").alias("a"), F.col("brief").alias("x")), "a")
         .select("a", "b", "x", "y")
     )
 
@@ -103,21 +105,20 @@ def _similar(pairs: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
     return frame.mapInArrow(run, "a bigint, b bigint")
 
 
-def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Join rows with the text of their ``doc``; the rows are broadcast if few, else both sides are shuffled."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").filter("doc is not null")
     return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge"), "doc")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union, as (u, v).
 
     The pairs of one ``a`` are cut into chunks, so that its set is built once a
     chunk and a document with very many partners is spread over many tasks.
     """
-    degrees = pairs.groupBy("a").agg(F.count("*").alias("d"))
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / CHUNK))
-    dealt = materialise(pairs.join(degrees, "a").select("a", "b", F.xxhash64("a", salt).alias("g")), "pairs")
+    degrees = materialise(pairs.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK))
+    dealt = materialise(beside(pairs, degrees, "a").select("a", "b", F.xxhash64("a", salt).alias("g")), "pairs")
     one = dealt.select("g", F.col("a").alias("doc"), F.lit(0).alias("role")).distinct()
     both = materialise(one.union(dealt.select("g", F.col("b").alias("doc"), F.lit(1).alias("role"))), "members")
 
@@ -142,7 +143,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([first] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["u", "v"])
 
-    rows = _with_texts(both, docs).select("g", "doc", "role", "text")
+    rows = _with_texts(both, texts).select("g", "doc", "role", "text")
     return rows.repartition("g").sortWithinPartitions("g", "role", "doc").mapInArrow(run, "u bigint, v bigint")
 
 
@@ -200,19 +201,18 @@ def _near(members: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
         adjacent = np.stack([(x == row).sum(axis=1) >= least * FUNCTIONS for row in x])
         return _joined(adjacent & (labels[:, None] != labels), labels)
 
-    frame = members.join(briefs.select(F.col("doc_id").alias("doc"), "brief"), "doc").select("g", "doc", "label", "brief")
+    frame = members.join(briefs, "doc").select("g", "doc", "label", "brief")
     return frame.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
 
 
 def _dealt(members: DataFrame, size: int) -> DataFrame:
-    """(g, doc, label) for (g, doc, label, settled): groups cut into blocks, each pair of blocks a group of its own.
+    """(g, doc, label) for (g, doc, label, settled, w): groups cut into blocks, each pair of blocks a group of its own.
 
-    Two blocks of settled members need not meet, so the work is the number of open members times that of all.
+    A block has about ``size`` members and weight WEIGHT. Two blocks of settled members need not meet, so the work is the number of open members times that of all.
     """
-    sides = members.groupBy("g").agg(F.count_if(~F.col("settled")).alias("open"), F.count_if("settled").alias("rest"))
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / size), F.when(F.col(n) > 0, 1).otherwise(0)).cast("int")
-    sized = members.join(sides, "g").select("g", "doc", "label", "settled", blocks("open").alias("a"), blocks("rest").alias("b"))
-    sized = sized.filter("a > 0")
+    part = lambda rest: F.greatest(F.ceil(F.count_if(rest) / size), F.ceil(F.coalesce(F.sum(F.when(rest, F.col("w"))), F.lit(0)) / WEIGHT)).cast("int")
+    sides = members.groupBy("g").agg(part(~F.col("settled")).alias("a"), part(F.col("settled")).alias("b"), F.count("*").alias("n"))
+    sized = beside(members, materialise(sides.filter("a > 0"), "sides"), "g")
     whole = (F.col("a") <= 1) & (F.col("b") <= 1)
     own = F.when(F.col("settled"), F.col("a") + F.pmod(F.xxhash64("doc"), F.greatest("b", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc"), F.col("a"))).cast("int")
     last = F.when(F.col("settled"), F.col("a") - 1).otherwise(F.col("a") + F.col("b") - 1)
@@ -222,7 +222,7 @@ def _dealt(members: DataFrame, size: int) -> DataFrame:
     return pairs.select(key.alias("g"), "doc", "label")
 
 
-def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _exact(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges (u, v) that join the labels in each group ``g`` of (g, doc, label), by all intersections of full sets.
 
     A group is two blocks at most. Its intersections are one product of a matrix
@@ -249,7 +249,7 @@ def _exact(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
         similar = 100 * both >= percent * (sizes[:, None] + sizes - both)
         return _joined(similar & (both > 0) & (labels[:, None] != labels), labels)
 
-    rows = _with_texts(members, docs).select("g", "doc", "label", "text")
+    rows = _with_texts(members, texts).select("g", "doc", "label", "text")
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
 
 
@@ -267,35 +267,42 @@ def plan_trees(threshold: float) -> tuple[int, int]:
     return trees, math.ceil(math.log(below) / math.log(1 - threshold**LEVELS))
 
 
-def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Components (node, component) of the representatives (doc_id, sig, brief); nodes named by themselves are left out."""
+def link(texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Components (node, component) of the sets (doc, n_shingles, sig, brief); nodes named by themselves are left out.
+
+    ``texts``: (doc, text), at least those of the sets.
+    """
     threshold = percent / 100
     least = max(0.0, threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / FUNCTIONS))
-    briefs = reps.select("doc_id", "brief")
+    briefs = reps.select("doc", "brief")
     trees, copies = plan_trees(threshold)
     first = F.array(*[F.xxhash64(F.lit(t), F.col("sig")[(t * 5) % FUNCTIONS]) for t in range(trees)])
-    nodes = reps.select(F.col("doc_id").alias("doc"), F.explode(first).alias("node"))
-    live = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "nodes")
+    nodes = reps.select("doc", F.explode(first).alias("node"))
+    sizes = materialise(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    live = materialise(beside(nodes, sizes, "node"), "nodes")
     if live.isEmpty():
         return None
     central = live.groupBy("doc").agg(F.sum("n").alias("s"))
     scored = live.join(central, "doc")
-    pivots = scored.groupBy("node").agg(F.max(F.struct("s", -F.col("doc"))).alias("best")).select("node", (-F.col("best")["col2"]).alias("a"))
-    stars = live.join(pivots, "node").filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    best = F.max(F.struct("s", -F.col("doc"))).alias("best")
+    pivots = materialise(scored.groupBy("node").agg(best, F.count("*").alias("n")).select("node", (-F.col("best")["col2"]).alias("a"), "n"), "pivots")
+    rooted = materialise(beside(live.drop("n"), pivots, "node").select("node", "doc", F.col("a").alias("pivot")), "rooted")
+    stars = rooted.filter("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     stars = materialise(_similar(stars, briefs, least), "stars")
-    edges = materialise(confirm(stars, docs, k, percent), "edges")
+    edges = materialise(confirm(stars, texts, k, percent), "edges")
     groups = components(edges)
 
     # Clusters of sets that may be similar though their components differ: by stars, and by estimates in the nodes.
-    labels = reps.select(F.col("doc_id").alias("doc"), "sig").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
-    labels = materialise(labels.select("doc", F.coalesce("component", "doc").alias("label"), "sig"), "labels")
+    labels = reps.select("doc", "n_shingles", "sig").join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+    labels = materialise(labels.select("doc", F.coalesce("component", "doc").alias("label"), "sig", F.col("n_shingles").alias("w")), "labels")
     near = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    members = live.join(pivots, "node").select("node", "doc", F.col("a").alias("pivot"))
+    members = rooted
     small = None
     for level in range(LEVELS + 1):
-        rows = members.join(labels, "doc") if level == 0 else members
-        kinds = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("node", "n")
-        rows = materialise(rows.join(kinds, "node").select("node", "doc", "label", "pivot", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
+        rows = members.join(labels.drop("w"), "doc") if level == 0 else members
+        kinds = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        kinds = materialise(kinds.select("node", "n"), "kinds")
+        rows = materialise(beside(rows, kinds, "node").select("node", "doc", "label", "pivot", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
         part = rows.filter(F.col("n") <= SMALL).select(F.col("node").alias("g"), "doc", "label")
         small = part if small is None else small.unionAll(part)
         large = rows.filter(F.col("n") > SMALL)
@@ -305,7 +312,7 @@ def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
             # A member near the pivot of its first node is in the pivot's cluster already.
             known = near.select(F.col("u").alias("pivot"), F.col("v").alias("doc"), F.lit(True).alias("known"))
             settled = F.coalesce("known", F.col("doc") == F.col("pivot"))
-            stuck = large.join(known, ["pivot", "doc"], "left").select(F.col("node").alias("g"), "doc", "label", settled.alias("settled"))
+            stuck = large.join(known, ["pivot", "doc"], "left").select(F.col("node").alias("g"), "doc", "label", settled.alias("settled"), F.lit(0).alias("w"))
             small = small.unionAll(_dealt(stuck, BLOCK))
             break
         if level == 0:
@@ -316,28 +323,74 @@ def link(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     near = materialise(near.unionAll(_near(small, briefs, least)), "near")
     clusters = components(near)
     clusters = clusters.select(F.col("node").alias("doc"), F.col("component").alias("g")).unionAll(clusters.select(F.col("component").alias("doc"), F.col("component").alias("g")).distinct())
-    mixed = materialise(clusters.join(labels.select("doc", "label"), "doc"), "clusters")
+    mixed = materialise(clusters.join(labels.select("doc", "label", "w"), "doc"), "clusters")
 
     # Exact comparison in each cluster of what is not in its largest component.
     sizes = mixed.groupBy("g", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("g").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    opened = mixed.join(largest.select("g", F.col("most")["label"].alias("most")), "g").select("g", "doc", "label", (F.col("label") == F.col("most")).alias("settled"))
-    more = materialise(_exact(materialise(_dealt(opened, BLOCK), "blocks"), docs, k, percent), "edges")
+    largest = sizes.groupBy("g").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1")
+    largest = materialise(largest.select("g", F.col("most")["label"].alias("most"), "n"), "largest")
+    opened = beside(mixed, largest, "g").select("g", "doc", "label", (F.col("label") == F.col("most")).alias("settled"), "w")
+    more = materialise(_exact(materialise(_dealt(opened, BLOCK), "blocks"), texts, k, percent), "edges")
     return groups if more.isEmpty() else components(edges.unionAll(more))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``."""
+def _grouped_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, x, n_shingles, digest, place, component_id) of every row; ``place`` names its component apart from all others."""
     own = materialise(profile(docs, k), "profile")
     full = own.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).select("doc_id", "sig", "brief")
-    reps = materialise(reps.dropDuplicates(["doc_id"]), "reps")
-    groups = link(docs, reps, k, percent)
-    out = own.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    if groups is not None:
-        out = out.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "x")).alias("first")).select("digest", F.col("first")["doc_id"].alias("rep"), F.col("first")["x"].alias("x"))
+    plain = full.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").isEmpty()
+    # Where an id has one set, it names its class, and no text need be moved; else classes are numbered and their texts written.
+    classes = materialise(classes.withColumn("doc", F.col("rep") if plain else F.monotonically_increasing_id()), "classes")
+    keyed = classes.withColumnRenamed("rep", "doc_id")
+    reps = full.join(keyed, ["digest", "doc_id", "x"]).select("doc", "n_shingles", "sig", "brief").dropDuplicates(["doc"])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("x"), "text")
+    if plain:
+        texts = texts.select(F.col("doc_id").alias("doc"), "text").filter("doc is not null")
     else:
-        out = out.withColumn("component", F.lit(None).cast("bigint"))
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        texts = materialise(texts.join(keyed, ["doc_id", "x"]).select("doc", "text").dropDuplicates(["doc"]), "texts")
+    groups = link(texts, materialise(reps, "reps"), k, percent)
+    out = own.select("doc_id", "x", "n_shingles", "digest").join(classes.select("digest", "doc", "rep"), "digest", "left")
+    if groups is None:
+        return out.select("doc_id", "x", "n_shingles", "digest", F.col("doc").alias("place"), F.coalesce("rep", "doc_id").alias("component_id"))
+    if not plain:
+        named = classes.select("doc", "rep").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        groups = named.select(F.col("doc").alias("node"), "component").join(named.groupBy("component").agg(F.min("rep").alias("name")), "component")
+    else:
+        groups = groups.withColumn("name", F.col("component"))
+    out = out.join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+    return out.select("doc_id", "x", "n_shingles", "digest", F.coalesce("component", "doc").alias("place"), F.coalesce("name", "rep", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``."""
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return _grouped_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component, that of the least doc_id, and then text.
+
+    All columns stay. Rows without an id or without words all stay, but of equal rows (doc_id, text) one.
+    """
+    found = materialise(_grouped_rows(docs, k, percent), "rows")
+    x, n = unused("x", docs.columns), unused("n", docs.columns)
+    gone = materialise(found.filter("component_id <> doc_id").select("doc_id", F.col("x").alias(x)).distinct(), "gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.withColumn(x, F.xxhash64("text"))
+    rows = rows.join(F.broadcast(gone) if few else gone.hint("merge"), ["doc_id", x], "left_anti")
+    # Of what is left only rows that share an id may still be of one component.
+    again = found.filter("doc_id is not null and coalesce(component_id = doc_id, true)")
+    shared = materialise(again.groupBy("doc_id").agg(F.count("*").alias("count")).filter("count > 1").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return rows.select(*docs.columns)
+    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = F.broadcast(shared) if few else shared.hint("merge")
+    places = again.join(side, "doc_id", "left_semi").select("doc_id", F.col("x").alias(x), F.coalesce("place", "x").alias(n)).distinct()
+    window = Window.partitionBy("doc_id", n).orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text") and _orders(docs.schema[c])))
+    one = rows.join(places, ["doc_id", x]).withColumn(x, F.row_number().over(window)).filter(F.col(x) == 1)
+    return rows.join(side, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def _orders(field) -> bool:
+    return not isinstance(field.dataType, (MapType, VariantType))

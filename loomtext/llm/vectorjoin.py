@@ -4,8 +4,8 @@ Unit vectors of cosine c have the squared distance 2 - 2c. The vectors are rotat
 by a fixed random orthogonal matrix and split into blocks of few dimensions. If the
 squared distance of two vectors is at most D, then in one block at least theirs is
 at most D times the block's share of the dimensions. So every block is range-joined
-under that budget, and the union of the candidates is verified in double precision:
-no link is missed and none is added.
+under that budget, and the union of the candidates is verified in double precision
+on the vectors as given: no link is missed and none is added.
 
 In a block, vectors are dealt into cells by the signs of their first coordinates. To
 reach a cell of other signs a vector must cross zero in these coordinates, which
@@ -18,7 +18,9 @@ Cells of many vectors are cut into chunks that all visitors of the cell meet in
 Equal vectors are one class and joined once. Defined results: vectors that are
 null, empty, zero or hold null or non-finite components, and rows without vec_id,
 link with nothing and are kept; vectors of different lengths do not link; repeated
-rows count once; an empty table gives an empty result; labels are not looked at.
+rows count once; rows that share a vec_id and differ in vector are vectors each, whose
+components may differ though they bear that one id; an empty table gives an empty result;
+labels are not looked at.
 """
 
 from __future__ import annotations
@@ -33,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import components
-from loomtext.llm.kernels import runs
+from loomtext.llm.kernels import U64, mix64, runs
 from loomtext.session import materialise
 
 BLOCK = 16
-#: Vectors of a cell that one task holds; sign coordinates of a block at most, so counts have at most 2 ** SIGNS rows a block.
-CHUNK, SIGNS = 4_096, 12
+#: Vectors of a cell that one task holds; sign coordinates of a block at most. Cells grow in number with the
+#: vectors up to 2 ** SIGNS a block, all signs of its coordinates; beyond, cells are cut into chunks.
+CHUNK, SIGNS = 4_096, BLOCK
 
 
 @lru_cache(maxsize=8)
@@ -98,10 +101,15 @@ def _prepare(vectors: DataFrame, kind: np.dtype) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id bigint, v binary, digest binary")
 
 
-def _units(raw: list[bytes], kind: np.dtype) -> np.ndarray:
+def _doubles(raw: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in double precision, each times a power of two, which rounds nothing, and their norms."""
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def _rotated(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    return (x / norms[:, None]) @ rotation(x.shape[1])
 
 
 def _by_length(batch: pa.RecordBatch, kind: np.dtype, column: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -121,7 +129,7 @@ def links(vectors: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
     def dealt(batch: pa.RecordBatch):
         raw = batch.column(1).to_pylist()
         for dim, rows in _by_length(batch, kind, 1):
-            y = _units([raw[i] for i in rows], kind) @ rotation(dim)
+            y = _rotated(*_doubles([raw[i] for i in rows], kind))
             for b, (lo, hi) in enumerate(spans(dim)):
                 own, reach = cells(y[:, lo:hi], budget((lo, hi), dim, cosine), signs)
                 yield dim, b, rows, own, reach
@@ -140,12 +148,12 @@ def links(vectors: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = part.column(0).to_numpy()
+                dealt_to = mix64(part.column(0).to_numpy().astype(np.int64).view(U64))
                 for dim, b, rows, own, reach in dealt(part):
                     take, code, chunk, role = [], [], [], []
                     for i, o, others in zip(rows.tolist(), own.tolist(), reach):
                         n = chunks.get((dim, b, o), 1)
-                        mine = int(ids[i] % n)
+                        mine = int(dealt_to[i] % U64(n))
                         for c in range(mine, n):
                             take.append(i), code.append(o), chunk.append(c), role.append(int(c != mine))
                         for o2 in others.tolist():
@@ -164,7 +172,11 @@ def links(vectors: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
             key = (dim, b, code, chunk)
             if key != now:
                 now, held, home = key, [], None
-            side = lambda p: (p.column(5).to_numpy(), p.column(6).to_numpy(), _units(p.column(7).to_pylist(), kind) @ rotation(dim))
+
+            def side(p: pa.RecordBatch):
+                x, norms = _doubles(p.column(7).to_pylist(), kind)
+                return p.column(5).to_numpy(), p.column(6).to_numpy(), _rotated(x, norms), x, norms
+
             if role == 0:
                 for at in range(0, piece.num_rows, 1024):
                     new = side(piece.slice(at, 1024))
@@ -176,7 +188,7 @@ def links(vectors: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
             if not held:
                 continue
             if home is None:
-                home = tuple(np.concatenate([h[i] for h in held]) for i in range(3))
+                home = tuple(np.concatenate([h[i] for h in held]) for i in range(5))
             for at in range(0, piece.num_rows, 1024):
                 yield from _compare(home, side(piece.slice(at, 1024)), dim, b, cosine, False)
 
@@ -187,8 +199,8 @@ def links(vectors: DataFrame, kind: np.dtype, cosine: float) -> DataFrame:
 
 
 def _compare(x, y, dim: int, b: int, cosine: float, same: bool) -> Iterator[pa.RecordBatch]:
-    """Links between two sets of rotated unit vectors that meet in block ``b``."""
-    (ids, weights, p), (ids2, weights2, q) = x, y
+    """Links between two sets of vectors (ids, weights, rotated unit vectors, vectors, norms) that meet in block ``b``."""
+    (ids, weights, p, given, norms), (ids2, weights2, q, given2, norms2) = x, y
     every = spans(dim)
     lo, hi = every[b]
     limit = budget((lo, hi), dim, cosine)
@@ -202,10 +214,11 @@ def _compare(x, y, dim: int, b: int, cosine: float, same: bool) -> Iterator[pa.R
         first, second = first[first < second], second[first < second]
     good = np.zeros(len(first), bool)
     for at in range(0, len(first), 20_000):
-        a, c = p[first[at : at + 20_000]], q[second[at : at + 20_000]]
-        squares = (a - c) ** 2
+        i, j = first[at : at + 20_000], second[at : at + 20_000]
+        squares = (p[i] - q[j]) ** 2
         met = np.stack([squares[:, l:h].sum(axis=1) <= budget((l, h), dim, cosine) for l, h in every[: b + 1]])
-        good[at : at + 20_000] = met[b] & ~met[:b].any(axis=0) & ((a * c).sum(axis=1) >= cosine - 1e-15)
+        cosines = (given[i] * given2[j]).sum(axis=1) / (norms[i] * norms2[j])
+        good[at : at + 20_000] = met[b] & ~met[:b].any(axis=0) & (cosines >= cosine)
     first, second = first[good], second[good]
     good = ids[first] != ids2[second]
     first, second = first[good], second[good]
@@ -232,14 +245,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     frame = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>" if kind == np.float32 else "array<double>"))
     own = materialise(_prepare(frame, kind), "vectors")
     valid = own.filter("digest is not null")
-    classes = valid.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"))
-    classes = materialise(classes, "classes")
-    reps = valid.join(classes.withColumnRenamed("rep", "vec_id"), ["digest", "vec_id"]).select("vec_id", "v", "weight").dropDuplicates(["vec_id"])
-    found = materialise(links(materialise(reps, "reps"), kind, cosine), "links")
-    degree = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
+    classes = materialise(valid.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight")), "classes")
+    # A class is named by its least vec_id, unless that names another too.
+    plain = classes.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    classes = materialise(classes.withColumn("node", F.col("rep") if plain else F.monotonically_increasing_id()), "classes")
+    reps = valid.join(classes.withColumnRenamed("rep", "vec_id"), ["digest", "vec_id"]).dropDuplicates(["digest"])
+    reps = materialise(reps.select(F.col("node").alias("vec_id"), "v", "weight"), "reps")
+    found = materialise(links(reps, kind, cosine), "links")
+    degree = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "node")
     groups = components(found.filter("least <> vec_id").select(F.col("vec_id").alias("u"), F.col("least").alias("v")).distinct())
-    out = own.select("vec_id", "digest").join(classes, "digest", "left").join(degree, "rep", "left")
-    out = out.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not plain:
+        least = named.groupBy("component").agg(F.min("rep").alias("name"))
+        named = named.join(least, "component").withColumn("component", F.col("name"))
+    out = own.select("vec_id", "digest").join(named.join(degree, "node", "left").select("digest", "component", "links", "weight"), "digest", "left")
+    component = F.coalesce("component", "vec_id")
     n = F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1
     return out.select("vec_id", n.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

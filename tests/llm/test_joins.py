@@ -71,10 +71,73 @@ def test_set_join_equals_brute_force(spark, groups, size, length, edits):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def rows_by_brute_force(ids, near):
+    """Component names of rows of which some share an id: the least id reachable from the row."""
+    root = roots(len(ids), near)
+    least = {}
+    for i, r in zip(ids, root):
+        least[r] = min(i, least.get(r, i))
+    return sorted((i, least[r]) for i, r in zip(ids, root))
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (4, a), (4, "other words here"), (0, b + " y")]
+    got = setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (1, 1), (2, 1), (4, 1), (4, 4)]
+    left = setjoin.keep_first(spark.createDataFrame([*rows, (1, a), (9, None), (9, None), (None, a)], "doc_id long, text string"), 3, 85).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(0, b + " y"), (1, a), (4, "other words here"), (9, None), (None, a)], key=str)
+    rng = random.Random(4)
+    texts = near_copies(rng, 20, 4, 50, 5)
+    ids = [rng.randint(0, 30) for _ in texts]
+    sets = sets_of(texts, 3)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.component_id) for r in setjoin.near_duplicates(df, 3, 85).collect()) == rows_by_brute_force(ids, pairs)
+
+
+def test_vectors_that_share_an_id_keep_their_links(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 32))
+    x = np.concatenate([c + rng.normal(size=(5, 32)) * 0.1 for c in centres])
+    x[7] = x[3]
+    ids = rng.integers(0, 20, len(x)).tolist()
+    ids[7] = 77
+    near = brute_vectors(x, 0.95)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    got = vectorjoin.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.component_id) for r in got) == rows_by_brute_force(ids, np.argwhere(near).tolist())
+    assert sorted((r.vec_id, r.n_links) for r in got) == sorted(zip(ids, near.sum(axis=1).tolist()))
+
+
+def test_no_link_under_the_threshold(spark):
+    """Vectors whose cosine is as near to the threshold as doubles allow, on both sides."""
+    rows, want = [], {}
+    for i in range(60):
+        y = np.sqrt(1 - 0.95**2) * (1 + (i - 30) * 2e-16 / 0.3)
+        v = np.array([0.95, y, 0, 0])
+        rows += [(2 * i, [1.0, 0.0, 0.0, 0.0] + [0.0] * i), (2 * i + 1, v.tolist() + [0.0] * i)]
+        want[2 * i] = int(0.95 / np.sqrt((v * v).sum()) >= 0.95)
+    got = {r.vec_id: r.n_links for r in vectorjoin.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {k: got[k] for k in want} == want and 0 < sum(want.values()) < 60
+
+
+def test_strided_ids_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(vectorjoin, "CHUNK", 8)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(64, 16)) * 0.05
+    df = spark.createDataFrame([(64 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    near = brute_vectors(x, 0.95)
+    got = {r.vec_id // 64: r.n_links for r in vectorjoin.near_duplicates(df).collect()}
+    assert [got[i] for i in range(64)] == near.sum(axis=1).tolist()
+
+
 def test_clusters_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "SMALL", 8)
     monkeypatch.setattr(setjoin, "BLOCK", 16)
     monkeypatch.setattr(setjoin, "CHUNK", 8)
+    monkeypatch.setattr(setjoin, "WEIGHT", 500)
+    monkeypatch.setattr(graph, "HOT", 5)
     test_set_join_equals_brute_force(spark, 1, 120, 80, 8)
 
 

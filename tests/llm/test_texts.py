@@ -178,6 +178,13 @@ def test_chat_reads_back_and_masks(spark):
     assert chat.digest(chat.parse_pieces(chat.format_turns(df.limit(0)))).count() == 0
 
 
+def test_conversations_beside_null_ids_stay_apart(spark):
+    rows = [(2**53, 0, "user", "a", 1), (2**53 + 1, 0, "user", "b", 2), (None, 0, "user", "c", 3), (None, 1, "user", "d", 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, piece long").coalesce(1).withColumn("parts", chat.text_parts(F.col("text")))
+    got = {r.conv_id: r.n_turns for r in chat.digest(chat.parse_pieces(chat.format_turns(df))).collect()}
+    assert got == {2**53: 1, 2**53 + 1: 1, None: 2}
+
+
 def test_chat_parts_become_placeholders(spark):
     parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "i.png", 28, 29, None, None), ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 3), ("odd", None, "o", None, None, None, None), None]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "user", None)], f"conv_id long, turn int, role string, parts {chat.PARTS}")

@@ -3,43 +3,38 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written
 as Parquet and read again as the next stage's ``docs``. All stages but the last
 return the columns of ``docs``. Defined results, besides those of the operators:
-rows with a null text are kept by the filters unless their score rejects them, rows
-that share a doc_id leave the near-dedup as one row, and rows without a doc_id pass it.
+rows with a null text are kept by the filters unless their score rejects them; equal
+rows (doc_id, text) leave the near-dedup as one row, rows that share a doc_id but differ in
+text are documents each, and rows without a doc_id pass it. No column of the documents is overwritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, decontamination, quality, setjoin, toxicity
 from loomtext.llm.queries import tokenizer_path
-from loomtext.session import materialise, table
+from loomtext.session import materialise, table, unused
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose toxicity is a half or more."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model, into="__score").filter("__score < 0.5").select(*docs.columns)
+    own = unused("toxicity", docs.columns)
+    return toxicity.score(docs, model, into=own).filter(F.col(own) < 0.5).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality is under a half."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, model, into="__score").filter("__score >= 0.5").select(*docs.columns)
+    own = unused("quality", docs.columns)
+    return quality.score(docs, model, into=own).filter(F.col(own) >= 0.5).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    found = setjoin.near_duplicates(docs, k=5, percent=80)
-    gone = materialise(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= setjoin.BROADCAST_ROWS else gone.hint("merge")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.filter("__n = 1").select(*docs.columns))
+    return setjoin.keep_first(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,31 +3,33 @@
 For each language a raw-content zstandard dictionary is gathered from training
 texts. A text is cut into blocks, each block is compressed with every dictionary,
 and the language whose compressed sizes add up to the least is chosen. Where the
-least and the next differ by too small a share, ``identify`` rejects.
+least and the next differ by a few bytes only, sizes with shorter matches are added.
+Where they differ by too small a share, ``identify`` marks the row as rejected.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-languages that tie are ordered by name; without training rows all is ``und``.
-Texts are read whole; only the dictionaries come from a bounded sample.
+Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected;
+languages that tie are ordered by name; without training rows all is ``und``; repeated
+training rows count once, repeated rows are identified each. Texts are read whole; only the dictionaries come from a bounded
+sample of rows, which are taken whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-#: Bounds of the training sample: rows a language, characters of each from a drawn place, bytes of a dictionary.
-FIT_ROWS, FIT_CHARS, DICTIONARY = 400, 300, 60_000
+#: Bounds of the training sample of each language: rows that are drawn, about, and the bytes of those that its dictionary takes.
+FIT_ROWS, DICTIONARY = 256, 120_000
 BLOCK = 8_192
-#: Bytes by which two languages may differ for a short text to be compressed again with shorter matches.
+#: Bytes by which two languages may differ for a text to be compressed again with shorter matches.
 CLOSE = 2
-#: Margin at which the score is a half.
-HALF = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+#: Margin at which the score is a half, and margin under which a row is rejected.
+HALF, REJECT = 0.01, 0.002
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Model:
@@ -68,42 +70,46 @@ class Model:
         sizes = sorted((sum(len(usual(p)) for p in pieces), name) for name, usual, _ in self._compressors())
         if len(sizes) == 1:
             return sizes[0][1], 1.0
-        if sizes[1][0] - sizes[0][0] <= CLOSE and len(pieces) == 1:
+        if sizes[1][0] - sizes[0][0] <= CLOSE:
             first = dict((name, size) for size, name in sizes)
-            sizes = sorted((first[name] + len(slow(data)), name) for name, _, slow in self._compressors())
+            sizes = sorted((first[name] + sum(len(slow(p)) for p in pieces), name) for name, _, slow in self._compressors())
         return sizes[0][1], (sizes[1][0] - sizes[0][0]) / max(1, sizes[0][0])
 
 
 def _gather(rows: list[tuple[str, str]]) -> dict[str, bytes]:
+    """Of each language the rows, in order, that still fit into its dictionary."""
     out: dict[str, bytes] = {}
     for lang, text in rows:
-        out[lang] = (out.get(lang, b"") + b"\n" + text.lower().encode("utf-8", "replace"))[:DICTIONARY]
+        data = b"\n" + text.lower().encode("utf-8", "replace")
+        if len(out.get(lang, b"")) + len(data) <= DICTIONARY:
+            out[lang] = out.get(lang, b"") + data
     return out
 
 
 def fit(docs: DataFrame, training: Column, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
-    """Gather dictionaries from at most about ``FIT_ROWS`` rows a language.
+    """Gather dictionaries from about ``FIT_ROWS`` rows a language at most, drawn by a hash of key and text.
 
-    After a first gathering, sampled rows that a dictionary of another language
-    compresses better are left out, which cleans mistaken labels.
+    Rows that are longer than a dictionary cannot be taken. After a first gathering, sampled rows that a dictionary
+    of another language compresses better are left out, which cleans mistaken labels.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).filter(training)
-    rows = rows.filter("l is not null and t is not null")
-    counts = rows.groupBy("l").count().select(F.col("l"), (F.lit(FIT_ROWS * 65536) / F.greatest(F.col("count"), F.lit(FIT_ROWS))).alias("below"))
-    picked = rows.join(F.broadcast(counts), "l").filter(F.pmod(F.xxhash64("k"), F.lit(65536)) < F.col("below"))
-    place = (1 + F.pmod(F.xxhash64("k", F.lit("place")), F.greatest(F.char_length("t") - FIT_CHARS + 1, F.lit(1)))).cast("int")
-    sample = sorted((r.l, r.k, r.t) for r in picked.select("l", F.coalesce(F.col("k").cast("string"), F.lit("")).alias("k"), F.substring(F.col("t"), place, F.lit(FIT_CHARS)).alias("t")).toLocalIterator())
-    pairs = [(lang, text) for lang, _, text in sample]
+    rows = rows.filter("l is not null and t is not null").filter(F.octet_length("t") < DICTIONARY)
+    drawn = rows.withColumn("h", F.xxhash64("k", "t"))
+    counts = drawn.groupBy("l").count().select("l", (F.lit(float(FIT_ROWS)) / F.greatest(F.col("count"), F.lit(FIT_ROWS)) * (1 << 40)).alias("below"))
+    picked = drawn.join(F.broadcast(counts), "l").filter(F.pmod("h", F.lit(1 << 40)) < F.col("below"))
+    sample = picked.select("l", "h", "t").dropDuplicates(["l", "h"]).collect()
+    pairs = [(r.l, r.t) for r in sorted(sample, key=lambda r: (r.l, r.h))]
     first = Model(_gather(pairs))
     agreed = [(lang, text) for lang, text in pairs if first.predict(text)[0] in (lang, "und")]
     return Model(_gather(pairs) | _gather(agreed))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.002) -> DataFrame:
-    """Add ``lang_pred``, ``score`` and ``margin``; margins under ``reject`` give ``und``. Other columns pass through."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin")]
+def identify(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """Add ``lang_pred``, ``score``, ``margin`` and ``rejected``: whether the margin is under ``reject``. Other columns pass through."""
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()), StructField("rejected", BooleanType())]
+    kept = [c for c in docs.columns if c not in [f.name for f in added]]
     frame, place = docs.select(*kept), kept.index(text)
-    schema = StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType())])
+    schema = StructType([*frame.schema.fields, *added])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +118,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", reject: float =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [own.predict(t) for t in part.column(place).to_pylist()]
-                names = ["und" if margin < reject else name for name, margin in found]
-                scores = [margin / (margin + HALF) for _, margin in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([m for _, m in found], pa.float64())],
-                    names=schema.names,
-                )
+                margins = [m for _, m in found]
+                made = [pa.array([name for name, _ in found], pa.string()), pa.array([m / (m + HALF) for m in margins], pa.float64()), pa.array(margins, pa.float64()), pa.array([m < reject for m in margins])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
     return frame.mapInArrow(run, schema)

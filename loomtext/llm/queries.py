@@ -60,8 +60,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out(5, 0)
     model = language.fit(docs, ~held_out(5, 0, "k"))
-    found = language.identify(docs.drop("lang"), model, reject=0.0)
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    found = language.identify(docs.drop("lang"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A document is cut into clauses. The lexicon maps every word of a clause to the
-symbols that it carries: insult (learned words, and stems that stand for all words
+symbols that it carries: insult (words, and stems that stand for all words
 that begin so), threat, target, negation and reported speech. A transducer that
-reads the clause from its end marks words with a target ahead. Five small weighted
+reads the clause from its end marks words with a target or reported speech ahead. Five weighted
 transducers (insult, threat, target, negation, reported speech) are composed into
 one machine, which reads the marked clause from its begin: its arcs multiply the
 weight of each match, more where it is aimed at a target, less where it is negated
-or reported. A document's score is a logistic function of its clause weights. The
-insult lexicon with its weights, and the logistic function, are learned from a
-bounded sample of labelled rows.
+or reported. A document's score is a logistic function of its clause weights.
+
+The insults, further threats (words that toxic rows aim at targets and others do not),
+further targets (words that gather around insults) and the logistic function are
+learned from a bounded sample of labelled rows. Contractions with "not" are one word;
+colons, commas and quotation marks do not end a clause, so speech is reported across them.
 
 Defined results: null and empty texts match nothing and get the score of a
-document without matches; without toxic labels nothing matches and every score is 0.05; texts are read
-whole. Repeated rows are scored each.
+document without matches; without toxic labels nothing but the given threats matches and every score is 0.05; texts are read
+whole. Repeated rows are scored each, and contradicting labels of one id count as toxic.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import bisect
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -34,27 +37,45 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from loomtext.llm.fitting import labelled, logistic, sigmoid
 from loomtext.llm.kernels import give_back
 
-#: Labelled rows that the fit looks at, and learned patterns, at most.
-FIT_ROWS, PATTERNS = 20_000, 3_000
-STEM = range(3, 9)
+#: Labelled rows that the fit looks at, at most, about.
+FIT_ROWS = 20_000
+#: Letters of a stem; log odds of toxic against other rows from which a pattern is learned.
+STEM, ODDS = range(3, 9), 3.0
+#: A target is so much oftener near insults than words are, and so often for each toxic row.
+LIFT, TARGETED = 3.0, 0.05
 TARGET = frozenset("you your youre u he him his she her they them their this these those du dich dir ihr sie er tu toi vous il ils elle elles tú usted ustedes él ella ellos".split())
-NEGATION = frozenset("not no never neither nor dont isnt arent wasnt cannot nicht kein keine nie ne pas jamais nunca ni".split())
-REPORTED = frozenset("said says say called calls calling wrote writes quoted quote claims sagte schrieb nannte dit disait appelle dijo llamó escribió".split())
-THREAT = frozenset("kill hurt destroy murder stab shoot strangle töten umbringen tuer frapper matar golpear".split())
+NEGATION = frozenset("not no never neither nor dont isnt arent wasnt werent cannot cant wont couldnt wouldnt shouldnt doesnt didnt hasnt havent hadnt aint nicht kein keine nie ne pas jamais nunca ni".split())
+REPORTED = frozenset("said says say saying told tells called calls calling wrote writes quoted quote claims claimed sagte sagt schrieb nannte dit disait appelle dijo dice llamó escribió".split())
+THREAT = frozenset(
+    "kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying murder murders murdered murdering stab stabs stabbed stabbing "
+    "shoot shoots shot shooting strangle strangles strangled strangling töten töte tötet getötet umbringen umgebracht tuer tue tué tuerai "
+    "frapper frappe frappé matar mato mata matado mataré golpear golpeo golpeado".split()
+)
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _MARKS = str.maketrans("“”‘’«»¿¡—–…„", " " * 12)
 _WIDE = re.compile("[“”‘’«»¿¡—–…„]")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_NOT = re.compile("(?<=n)['’](?=t(?![a-z]))")
+_CLAUSE = re.compile(r"[.!?;\n]+")
+
 
+def lowered(text: str) -> str:
+    """The lower-cased text, with "n't" as one word with what is before it."""
+    low = text.lower()
+    return _NOT.sub("", low) if "'t" in low or "’t" in low else low
 
-def spaced(text: str) -> str:
-    """The lower-cased text with every character between words as a space, of the same length as ``text.lower()``."""
-    low = text.lower().encode("utf-8", "replace").translate(_TABLE).decode("utf-8")
+
+def spaced(low: str) -> str:
+    """``low`` with every character between words as a space, of the same length."""
+    low = low.encode("utf-8", "replace").translate(_TABLE).decode("utf-8")
     return low.translate(_MARKS) if _WIDE.search(low) else low
 
 
+def clauses(low: str) -> list[list[str]]:
+    return [spaced(c).split() for c in _CLAUSE.split(low)]
+
+
 #: Symbols of a word, as bits: what the lexicon gives, the marks of the transducer from the end, and what the composed machine writes.
-INSULT, THREATENING, AIM, NEGATOR, REPORT, AHEAD, SOON, MATCH, MENACE = (1 << i for i in range(9))
+INSULT, THREATENING, AIM, NEGATOR, REPORT, AHEAD, SOON, TOLD, MATCH, MENACE = (1 << i for i in range(10))
 #: Arc weights; words over which a target and a negation reach; least weight of a threat.
 AIMED, NEGATED, QUOTED, NEAR, NEGATION_REACH, MENACE_WEIGHT = 1.3, 0.5, 0.7, 4, 3, 3.0
 
@@ -67,44 +88,51 @@ def transducer(states: int, arc: Callable[[int, int], tuple[int, int, float]]) -
 
 
 def compose(first: Machine, second: Machine) -> Machine:
-    """The machine that hands what ``first`` writes to ``second``; weights multiply."""
-    n = len(second)
-
-    def arc(q: int, x: int) -> tuple[int, int, float]:
-        p, y, w = first[q // n][x]
-        r, z, v = second[q % n][y]
-        return p * n + r, z, w * v
-
-    return transducer(len(first) * n, arc)
+    """The machine that hands what ``first`` writes to ``second``, of the states that can be reached; weights multiply."""
+    places, out = {(0, 0): 0}, []
+    todo = [(0, 0)]
+    for p, q in todo:
+        row = []
+        for r, y, w in first[p]:
+            s, z, v = second[q][y]
+            if (r, s) not in places:
+                places[r, s] = len(places)
+                todo.append((r, s))
+            row.append((places[r, s], z, w * v))
+        out.append(row)
+    return out
 
 
 @lru_cache(maxsize=1)
 def grammar_machines() -> tuple[Machine, Machine]:
     """The transducer that reads from the end, and the composition of the five that read from the begin."""
     down = lambda q: max(0, q - 1)
-    ahead = transducer(NEAR + 1, lambda q, x: (NEAR if x & AIM else down(q), x | (AHEAD if q else 0) | (SOON if q >= NEAR - 1 else 0), 1.0))
+    aim = lambda q, x: NEAR if x & AIM else down(q)
+    marks = lambda q, x: x | (AHEAD if q // 2 else 0) | (SOON if q // 2 >= NEAR - 1 else 0) | (TOLD if q % 2 else 0)
+    ahead = transducer(2 * NEAR + 2, lambda q, x: (2 * aim(q // 2, x) + (1 if x & REPORT else q % 2), marks(q, x), 1.0))
     insult = transducer(1, lambda q, x: (0, x | MATCH if x & INSULT else x, 1.0))
-    threat = transducer(1, lambda q, x: (0, x | MATCH | MENACE if x & THREATENING and x & SOON else x, 1.0))
-    target = transducer(NEAR + 1, lambda q, x: (NEAR if x & AIM else down(q), x, AIMED if x & MATCH and (q or x & AHEAD) else 1.0))
+    threat = transducer(NEAR + 1, lambda q, x: (aim(q, x), x | MATCH | MENACE if x & THREATENING and (q or x & SOON) else x, 1.0))
+    target = transducer(NEAR + 1, lambda q, x: (aim(q, x), x, AIMED if x & MATCH and (q or x & AHEAD) else 1.0))
     negation = transducer(NEGATION_REACH + 1, lambda q, x: (NEGATION_REACH if x & NEGATOR else down(q), x, NEGATED if x & MATCH and q else 1.0))
-    reported = transducer(2, lambda q, x: (1 if x & REPORT else q, x, QUOTED if x & MATCH and q else 1.0))
+    reported = transducer(2, lambda q, x: (1 if x & REPORT else q, x, QUOTED if x & MATCH and (q or x & TOLD) else 1.0))
     return ahead, reduce(compose, (insult, threat, target, negation, reported))
 
 
 class Grammar:
     """The lexicon and the composed machine."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], threats: dict[str, float] | None = None, targets: frozenset[str] = frozenset()):
         import ahocorasick
 
         self.words, self.stems = words, stems
+        self.threats, self.targets = dict.fromkeys(THREAT, MENACE_WEIGHT) | (threats or {}), TARGET | targets
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         machine = ahocorasick.Automaton()
         for w in words:
             machine.add_word(f" {w} ", len(w) + 1)
         for s in stems:
             machine.add_word(f" {s}", len(s))
-        for t in THREAT:
+        for t in self.threats:
             machine.add_word(f" {t} ", len(t) + 1)
         machine.make_automaton()
         self.machine = machine if len(machine) else None
@@ -121,7 +149,7 @@ class Grammar:
             return NEGATOR
         if word in REPORTED:
             return REPORT
-        return (INSULT if weight else 0) | (THREATENING if word in THREAT else 0) | (AIM if word in TARGET else 0)
+        return (INSULT if weight else 0) | (THREATENING if word in self.threats else 0) | (AIM if word in self.targets else 0)
 
     def clause(self, words: list[str]) -> float:
         """Weight of a clause: the sum over its matches of what their arcs multiply to."""
@@ -132,21 +160,22 @@ class Grammar:
         for i in range(len(words) - 1, -1, -1):
             q, marked[i], _ = ahead[q][marked[i]]
         q, total = 0, 0.0
-        for x, weight in zip(marked, weights):
+        for word, x, weight in zip(words, marked, weights):
             q, out, factor = forward[q][x]
             if out & MATCH:
-                total += factor * (max(weight, MENACE_WEIGHT) if out & MENACE else weight)
+                total += factor * (max(weight, self.threats[word]) if out & MENACE else weight)
         return total
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
         """Of the clauses that matched: total, greatest, number, and total a hundred words; logarithms of one more than each."""
         if not text or self.machine is None:
             return 0.0, 0.0, 0.0, 0.0
-        flat = f" {spaced(text)} "
+        low = lowered(text)
+        flat = f" {spaced(low)} "
         places = [end - back for end, back in self.machine.iter(flat)]
         if not places:
             return 0.0, 0.0, 0.0, 0.0
-        cuts = [m.start() + 1 for m in _CLAUSE.finditer(text.lower())]
+        cuts = [m.start() + 1 for m in _CLAUSE.finditer(low)]
         scores, done = [], -1
         for place in sorted(places):
             k = bisect.bisect_right(cuts, place)
@@ -161,20 +190,17 @@ class Grammar:
 
 
 class Model:
-    def __init__(self, words: dict[str, float], stems: dict[str, float], weights: np.ndarray):
-        self.words, self.stems, self.weights = words, stems, weights
+    def __init__(self, words: dict[str, float], stems: dict[str, float], threats: dict[str, float], targets: frozenset[str], weights: np.ndarray):
+        self.words, self.stems, self.threats, self.targets, self.weights = words, stems, threats, targets, weights
         self._grammar = None
 
     def __getstate__(self):
-        return self.words, self.stems, self.weights, None
-
-    def __setstate__(self, state):
-        self.words, self.stems, self.weights, self._grammar = state
+        return self.__dict__ | {"_grammar": None}
 
     @property
     def grammar(self) -> Grammar:
         if self._grammar is None:
-            self._grammar = Grammar(self.words, self.stems)
+            self._grammar = Grammar(self.words, self.stems, self.threats, self.targets)
         return self._grammar
 
     def features(self, texts) -> np.ndarray:
@@ -184,48 +210,87 @@ class Model:
         return sigmoid(self.features(texts) @ self.weights[:-1] + self.weights[-1])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each word, and each stem (marked by a star)."""
-    seen: tuple[Counter, Counter] = Counter(), Counter()
-
-    def flush():
-        names = list(seen[0] | seen[1])
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(names), pa.array([seen[1][n] for n in names], pa.int64()), pa.array([seen[0][n] for n in names], pa.int64())],
-            names=["pattern", "toxic", "clean"],
-        )
-        for c in seen:
-            c.clear()
-        return out
-
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(spaced(text or "").split())
-            own = set(words)
-            for w in words:
-                own.update([w[:n] + "*" for n in STEM if len(w) > n])
-            seen[1 if label else 0].update(own)
-            if len(seen[0]) + len(seen[1]) > 100_000:
-                yield flush()
-    if seen[0] or seen[1]:
-        yield flush()
-    give_back()
+def _counted(rows: DataFrame, patterns: Callable[[str], Iterable[str]]) -> DataFrame:
+    """(pattern, toxic, clean): how often the rows of either label hold each pattern."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def flush():
+            names = list(seen[0] | seen[1])
+            counts = [pa.array([c[n] for n in names], pa.int64()) for c in (seen[1], seen[0])]
+            for c in seen:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["pattern", "toxic", "clean"])
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[1 if label else 0].update(patterns(lowered(text or "")))
+                if len(seen[0]) + len(seen[1]) > 100_000:
+                    yield flush()
+        if seen[0] or seen[1]:
+            yield flush()
+        give_back()
+
+    return rows.mapInArrow(run, "pattern string, toxic bigint, clean bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _patterns(low: str) -> set[str]:
+    """Words, stems (word and star), and words near a target, as a threat is (word and angle)."""
+    words = set(spaced(low).split())
+    own = set(words)
+    for w in words:
+        own.update([w[:n] + "*" for n in STEM if len(w) > n])
+    if not words.isdisjoint(TARGET):
+        for clause in clauses(low):
+            for i, w in enumerate(clause):
+                if w in TARGET:
+                    own.update([x + ">" for x in clause[max(0, i - 2) : i] + clause[i + 1 : i + NEAR + 1] if x not in TARGET])
+    return own
+
+
+def _around(grammar: Grammar) -> Callable[[str], list[str]]:
+    """Every word of the text, and again each that is near an insult (word and angle)."""
+
+    def patterns(low: str) -> list[str]:
+        own: list[str] = []
+        for clause in clauses(low):
+            own += clause
+            for i, w in enumerate(clause):
+                if grammar.insult(w):
+                    own += [x + ">" for x in clause[max(0, i - NEAR) : i] + clause[i + 1 : i + NEAR + 1]]
+        return own
+
+    return patterns
 
 
 def fit(docs: DataFrame, labels: DataFrame, training, bound: int = FIT_ROWS) -> Model:
-    """Learn the insult lexicon and the logistic function from at most about ``bound`` labelled rows."""
+    """Learn the lexicons and the logistic function from at most about ``bound`` labelled rows.
+
+    A pattern is learned if enough toxic rows hold it and its odds are high, so the
+    lexicons are bounded by the sample; none of those that qualify is left out.
+    """
     rows = labelled(docs, labels, "toxic", training, bound).select("label", "text")
     sizes = {r.label > 0: r["count"] for r in rows.groupBy("label").count().collect()}
     n, m = sizes.get(True, 0), sizes.get(False, 0)
-    least = max(5, math.ceil(0.004 * n))  # fewer would let in words that are toxic by chance
-    counted = rows.mapInArrow(_counts, "pattern string, toxic bigint, clean bigint").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.1) / (n + 1.0)) - F.log((F.col("clean") + 0.5) / (m + 1.0))
-    best = counted.filter(F.col("toxic") >= least).withColumn("odds", odds).filter("odds >= 3").orderBy(F.desc("toxic"), "pattern").limit(PATTERNS).collect()
-    words = {r.pattern: min(r.odds, 8.0) / 4 for r in best if not r.pattern.endswith("*")}
-    stems = {r.pattern[:-1]: min(r.odds, 8.0) / 4 for r in best if r.pattern.endswith("*")}
-    model = Model(words, stems, np.array([0.0, 0.0, 0.0, 0.0, math.log(0.05 / 0.95)]))
+    model = Model({}, {}, {}, frozenset(), np.array([0.0, 0.0, 0.0, 0.0, math.log(0.05 / 0.95)]))
     if not n:
         return model  # nothing was shown to be toxic, so nothing is
+    least = max(5, math.ceil(0.004 * n))  # fewer would let in words that are toxic by chance
+    odds = F.log((F.col("toxic") + 0.1) / (n + 1.0)) - F.log((F.col("clean") + 0.5) / (m + 1.0))
+    found = _counted(rows, _patterns).filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= ODDS).collect()
+    learned = {r.pattern: min(r.odds, 8.0) / 4 for r in found}
+    model.words = {w: x for w, x in learned.items() if w[-1] not in "*>"}
+    model.stems = {w[:-1]: x for w, x in learned.items() if w[-1] == "*"}
+    # A word that is toxic anywhere is an insult; a threat is toxic where it meets a target.
+    insults = Grammar(model.words, model.stems)
+    model.threats = {w[:-1]: x for w, x in learned.items() if w[-1] == ">" and not insults.insult(w[:-1])}
+    near = _counted(rows, _around(insults)).select(F.regexp_replace("pattern", ">$", "").alias("word"), F.endswith("pattern", F.lit(">")).alias("near"), (F.col("toxic") + F.col("clean")).alias("n"))
+    sums = near.groupBy("word").agg(F.sum(F.when(F.col("near"), F.col("n"))).alias("near"), F.sum(F.when(~F.col("near"), F.col("n"))).alias("n"))
+    hits, every = sums.agg(F.coalesce(F.sum("near"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = hits / max(every, 1)
+    close = sums.filter((F.col("near") >= max(least, TARGETED * n)) & (F.col("near") >= LIFT * share * F.col("n"))).select("word").collect()
+    model.targets = frozenset(r.word for r in close if not insults.insult(r.word) and r.word not in NEGATION | REPORTED)
     schema = StructType([StructField("label", DoubleType()), *(StructField(f"f{i}", DoubleType()) for i in range(4))])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

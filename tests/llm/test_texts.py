@@ -224,18 +224,26 @@ def test_slots_of_many_buckets(spark):
     assert all(sorted(v) == list(range(1000)) for v in got.values())
 
 
-def accuracy(spark, name, column):
-    rows = queries.QUERIES[name](spark, SF).filter("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
-    return rows.agg(F.avg((F.col("predicted") == F.col(column)).cast("int"))).first()[0]
+def held_out_counts(spark, sf, name, column):
+    """(true positives, false positives, false negatives, true negatives) of the held-out rows."""
+    rows = queries.QUERIES[name](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = {(r.predicted, r[column]): r["count"] for r in rows.groupBy("predicted", column).count().collect()}
+    return [n.get(k, 0) for k in ((1, 1), (1, 0), (0, 1), (0, 0))]
 
 
-def test_held_out_accuracy(spark):
-    assert accuracy(spark, "op4_quality", "quality") > 0.97
-    assert accuracy(spark, "op8_toxicity", "toxic") > 0.9  # on 36 toxic training rows
+def test_held_out_quality_and_language(spark):
+    hit, wrong, missed, none = held_out_counts(spark, SF, "op4_quality", "quality")
+    assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97 and none / (none + wrong) > 0.9
     rows = queries.QUERIES["op6_language"](spark, SF).filter("held_out").join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id")
     assert rows.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0] > 0.95
 
 
+def test_held_out_toxicity(spark):
+    """A few labels of the table are wrong: rows marked as toxic without any insult."""
+    hit, wrong, missed, none = held_out_counts(spark, "/root/testdata/sf0.1", "op8_toxicity", "toxic")
+    assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.9 and none / (none + wrong) > 0.99
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     odds, change = rng.normal(size=6).tolist(), rng.normal(size=(2, 2))
@@ -274,6 +282,66 @@ def test_grammar_weighs_clauses():
 LANGUAGES = {"a": b"lorem ipsum dolor sit amet consectetur " * 20, "b": b"zwei drei vier funf sechs sieben acht " * 20}
 
 
+SENTENCES = ["I killed him", "I am killing you", "you will be killed", "we will kill you"]
+
+
+def test_grammar_reads_contractions_reports_and_threats():
+    g = toxicity.Grammar({"idiot": 1.0}, {})
+    total = lambda t: np.expm1(g.features(t)[0])
+    plain = total("you are an idiot")
+    assert total("you idiot") == plain == total("YOU'RE an idiot") > total("an idiot")
+    for denied in ("you aren't an idiot", "you aren’t an idiot", "you are not an idiot"):
+        assert total(denied) == pytest.approx(toxicity.NEGATED * plain)
+    for told in ("he said: you are an idiot", 'he said: "you are an idiot"', "he said, «you are an idiot»", '"you are an idiot", he said'):
+        assert total(told) == pytest.approx(toxicity.QUOTED * plain)
+    assert total("he said nothing. you are an idiot") == plain
+    assert all(total(t) > 0 for t in SENTENCES) and total("time to kill") == total("he was here. kill time") == 0
+
+
+def test_clauses_weigh_as_their_rules_say():
+    """The composed machine against the rules, read directly for every word."""
+    g, rng = toxicity.Grammar({"idiot": 1.0, "scum": 1.5}, {"mor": 0.7}, {"wreck": 2.0}, frozenset(["folk"])), random.Random(8)
+    words = "idiot scum moron mor kill wreck you folk not said a b c d e f".split()
+    for _ in range(3000):
+        clause = [rng.choice(words) for _ in range(rng.randint(1, 14))]
+        aims = [w in ("you", "folk") for w in clause]
+        total = 0.0
+        for i, w in enumerate(clause):
+            behind, ahead = any(aims[max(0, i - 4) : i]), aims[i + 1 : i + 5]
+            weight = {"idiot": 1.0, "scum": 1.5, "moron": 0.7}.get(w, 0.0)
+            if w in ("kill", "wreck") and (behind or any(ahead[:2])):
+                weight = {"kill": toxicity.MENACE_WEIGHT, "wreck": 2.0}[w]
+            weight *= toxicity.AIMED if behind or any(ahead) else 1.0
+            weight *= toxicity.NEGATED if "not" in clause[max(0, i - 3) : i] else 1.0
+            total += weight * (toxicity.QUOTED if "said" in clause else 1.0)
+        assert g.clause(clause) == pytest.approx(total)
+
+
+def test_threats_and_targets_are_learned(spark):
+    """Toxic rows flay him or call grue drek; others flay fish, meet him, and rarely name grue."""
+    rng = random.Random(1)
+    filler = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows, labels = [], []
+    for i in range(600):
+        kind = {0: ["flay", "him"], 4: ["grue", "drek"]}.get(i % 8) or [["flay", "fish"], ["him"], ["grue"]][(0, 1, 1, 1, 0, 1, 1, 1, 2)[i % 9]]
+        own = [rng.choice(filler) for _ in range(30)]
+        own[10:10] = kind
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert set(model.words) == {"drek"} and set(model.threats) == {"flay"} and model.targets == {"grue"}
+    learned = model.grammar.features
+    assert learned("flay them")[0] > 0 == learned("flay fish")[0] and learned("grue drek")[0] > learned("drek")[0]
+
+
+def test_patterns_are_not_capped(spark):
+    """More patterns than any fixed limit would hold: all that qualify are learned."""
+    names = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klmnprstvz"]
+    rows = [(i, " ".join(names)) for i in range(6)] + [(i, "plain words") for i in range(6, 60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int"), F.lit(True))
+    assert set(names) <= set(model.words)
+
+
 def test_languages_are_those_of_least_size():
     """Against a compressor that is made anew for every language and text."""
     model, rng = language.Model(LANGUAGES), random.Random(3)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.session import materialise
+
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key is never held out."""
@@ -13,17 +15,20 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, training: Column, bound: int) -> DataFrame:
-    """(label, text) of about ``bound`` labelled training rows at most, chosen by the hash of doc_id.
+    """(doc_id, label, text) of about ``bound`` labelled training rows at most, chosen by the hash of doc_id.
 
     The sampled labels are bounded by construction, so they are broadcast and
-    the documents are only scanned. Contradicting labels count as their maximum.
+    the documents are only scanned. Contradicting labels count as their maximum; of
+    documents that share a doc_id one is taken, that of least hash. The sample is written.
     """
     rows = labels.select("doc_id", F.col(target).cast("int").alias("label")).filter(training & F.col("label").isNotNull())
     share = bound / max(rows.count(), bound)
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(share * (1 << 24)))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    one = found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return materialise(one.select("doc_id", "label", F.col("first")["text"].alias("text")), "sample")
 
 
 def sigmoid(x):

@@ -8,16 +8,16 @@ of a document that is bad, and a logistic function of it the document's score.
 
 Labels are of documents. The fit begins with each line labelled as its document,
 and then twice relabels the lines of bad documents by their marginals. It looks
-at a bounded sample of labelled rows and of lines a row; scoring reads whole texts.
+at all lines of a bounded sample of labelled rows; scoring reads whole texts.
 
 Defined results: a null or empty text is one empty line; repeated rows are
-scored each; without labelled rows every score is a half.
+scored each, and of those that share an id one is learned from; contradicting labels
+of one id count as good; without labelled rows every score is a half.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +29,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from loomtext.llm.fitting import labelled, logistic, sigmoid
 from loomtext.llm.kernels import give_back
 
-#: Labelled rows, and lines in a row of each, from a drawn place, that the fit looks at, at most.
-FIT_ROWS, FIT_LINES = 4_000, 64
+#: Labelled rows that the fit looks at, at most, about; lines that the fit takes for one chain, longer texts being several.
+FIT_ROWS, CHAIN = 4_000, 64
 _KINDS = 8
 _KIND = np.full(256, 7, np.uint8)
 for _k, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\v\f", "#$%&*@^~<>=+_/\\{}[]", "|", "!?"]):
@@ -159,51 +159,46 @@ def _train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, emission: np.ndarray,
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat, lengths = [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+        for text in batch.column(2).to_pylist():
             x, sizes = line_features(text)
-            at = zlib.crc32(str(doc).encode()) % max(1, len(x) - FIT_LINES + 1)
-            flat.append(x[at : at + FIT_LINES].ravel())
-            lengths.append(sizes[at : at + FIT_LINES])
+            flat.append(x.ravel().astype(np.float32))
+            lengths.append(sizes.astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.float64()))],
+            [batch.column(0), batch.column(1), pa.array(flat, pa.list_(pa.float32())), pa.array(lengths, pa.list_(pa.float32()))],
             names=["doc_id", "label", "x", "sizes"],
         )
 
 
 def fit(docs: DataFrame, labels: DataFrame, training, bound: int = FIT_ROWS) -> Model:
-    """Learn from at most about ``bound`` labelled rows, and at most ``FIT_LINES`` lines of each."""
+    """Learn from all lines of at most about ``bound`` labelled rows."""
     rows = labelled(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), labels, "quality", training, bound)
-    found = rows.mapInArrow(_measure, "doc_id bigint, label int, x array<double>, sizes array<double>").collect()
-    found.sort(key=lambda r: (r.doc_id, r.label, len(r.x)))
-    if not found:
+    found = rows.mapInArrow(_measure, "doc_id bigint, label int, x array<float>, sizes array<float>").toArrow().sort_by("doc_id")
+    if not found.num_rows:
         return Model(np.zeros(LINE), np.ones(LINE), np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(3))
-    raw = [np.array(r.x).reshape(-1, LINE) for r in found]
+    raw, sizes = ([v.values.to_numpy() for v in found.column(name)] for name in ("x", "sizes"))
+    raw = [r.reshape(-1, LINE).astype(float) for r in raw]
+    bad_doc = found.column("label").to_numpy() == 0
     every = np.concatenate(raw)
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-    t = max(2, max(len(r) for r in raw))
-    x, mask, y = np.zeros((len(raw), t, FEATURES), np.float32), np.zeros((len(raw), t)), np.zeros((len(raw), t))
-    bad_doc = np.array([r.label == 0 for r in found])
-    for i, r in enumerate(raw):
-        x[i, : len(r)] = neighbourhood((r - mean) / scale)
-        mask[i, : len(r)] = 1
-        y[i, : len(r)] = bad_doc[i]
+    own = [neighbourhood((r - mean) / scale).astype(np.float32) for r in raw]
+    chains = [(d, at) for d, r in enumerate(raw) for at in range(0, len(r), CHAIN)]
+    t = max(2, min(CHAIN, max(len(r) for r in raw)))
+    x, mask, y = np.zeros((len(chains), t, FEATURES), np.float32), np.zeros((len(chains), t)), np.zeros((len(chains), t))
+    for i, (d, at) in enumerate(chains):
+        n = min(CHAIN, len(raw[d]) - at)
+        x[i, :n], mask[i, :n], y[i, :n] = own[d][at : at + n], 1, bad_doc[d]
     emission, change = np.zeros(FEATURES), np.zeros((2, 2))
-    model = Model(mean, scale, emission, change, None)
-
-    def each_marginal():
-        return [np.array(marginals((x[i, : len(r)] @ emission).tolist(), change)) for i, r in enumerate(raw)]
-
     for again in range(3):
         emission, change = _train(x, y, mask, emission, change, 60 if again == 0 else 30)
-        p = each_marginal()
+        p = [np.array(marginals((r @ emission).tolist(), change)) for r in own]
         if again < 2:
-            for i in np.flatnonzero(bad_doc):
-                y[i, : len(p[i])] = (p[i] > 0.5) | (p[i] == p[i].max())
-    model.emission, model.change = emission, change
-    weights = [np.maximum(np.array(r.sizes), 1) for r in found]
+            for i, (d, at) in enumerate(chains):
+                if bad_doc[d]:
+                    here = p[d][at : at + CHAIN]
+                    y[i, : len(here)] = (here > 0.5) | (here == p[d].max())
+    weights = [np.maximum(s, 1) for s in sizes]
     share = np.array([float(np.dot(a, w) / w.sum()) for a, w in zip(p, weights)])
-    model.link = logistic(_links(share), (~bad_doc).astype(float))
-    return model
+    return Model(mean, scale, emission, change, logistic(_links(share), (~bad_doc).astype(float)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

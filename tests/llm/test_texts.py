@@ -1,6 +1,8 @@
 """Tokens, chat, token files, sharding and classifiers: library parity, round trips, laws and held-out accuracy."""
 
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -10,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, chat, language, quality, queries, sharding, tokenfile, toxicity
+from loomtext.llm import bpe, chat, fitting, language, quality, queries, sharding, tokenfile, toxicity
 
 SF = "/root/testdata/sf0.01"
 CHARS = "aàÀßİΣσς́éﬁ'sStRE12²½٣ \t\n\r\x1c\x85\xa0​　!?#中文😀👍🏽नेपाली‍‌<|>_-"
@@ -257,6 +259,63 @@ def test_marginals_equal_enumeration():
     assert np.allclose(quality.marginals(odds, change), total / norm)
 
 
+def test_quality_scores_equal_enumeration():
+    """Features by hand, all labellings of the lines enumerated, and the logistic function."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=quality.LINE) * 0.1, 1 + rng.random(quality.LINE), rng.normal(size=quality.FEATURES) * 0.3, rng.normal(size=(2, 2)), np.array([-2.0, -0.5, 1.0]))
+    for text in ("", None, "One line here", "A b\n\nA b\n12 ## |x| é!\nword word word word", "\n", "x\ny\nx\nx"):
+        lines = (text or "").split("\n")
+        x, sizes = quality.line_features(text)
+        kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\v\f", "#$%&*@^~<>=+_/\\{}[]", "|", "!?"]
+        for line, row, size in zip(lines, x, sizes):
+            raw = line.encode()
+            shares = [sum(chr(b) in k for b in raw if b < 128) for k in kinds]
+            shares[1] += sum(b >= 128 for b in raw)
+            assert size == len(raw) and np.allclose(row[:7], np.array(shares) / max(1, len(raw))) and row[-1] == (not raw)
+        z = [(r - model.mean) / model.scale for r in x]
+        odds = []
+        for i in range(len(lines)):
+            before, after = (z[j] if 0 <= j < len(z) else np.zeros(quality.LINE) for j in (i - 1, i + 1))
+            odds.append(np.concatenate([z[i], before, after, [i > 0, i + 1 < len(z), 1.0]]) @ model.emission)
+        total, norm = np.zeros(len(lines)), 0.0
+        for y in itertools.product((0, 1), repeat=len(lines)):
+            w = math.exp(sum(o * v for o, v in zip(odds, y)) + sum(model.change[a][b] for a, b in zip(y, y[1:])))
+            norm, total = norm + w, total + w * np.array(y)
+        weights = np.maximum(sizes, 1)
+        share = float(np.clip((total / norm) @ weights / weights.sum(), 1e-3, 1 - 1e-3))
+        want = 1 / (1 + math.exp(-(-2.0 * share - 0.5 * math.log(share / (1 - share)) + 1.0)))
+        assert model.score([text])[0] == pytest.approx(want)
+
+
+def test_the_field_is_trained_to_its_optimum():
+    """At the end the likelihood, by enumeration of all labellings, has no slope left but that of the penalty."""
+    rng = np.random.default_rng(1)
+    x, mask = rng.normal(size=(6, 4, 3)), np.ones((6, 4))
+    mask[0, 3] = mask[1, 2:] = 0
+    y = (x[:, :, 0] + rng.normal(size=(6, 4)) > 0) * mask
+    emission, change = quality._train(x, y, mask, np.zeros(3), np.zeros((2, 2)), 3000)
+
+    def likelihood(params):
+        e, c, out = params[:3], params[3:].reshape(2, 2), -0.5e-4 * params @ params
+        for xs, ys, m in zip(x, y, mask):
+            n = int(m.sum())
+            odds = xs[:n] @ e
+            score = lambda v: sum(o * k for o, k in zip(odds, v)) + sum(c[a][b] for a, b in zip(v, v[1:]))  # noqa: B023, E731
+            out += (score(ys[:n].astype(int)) - np.log(sum(np.exp(score(v)) for v in itertools.product((0, 1), repeat=n)))) / mask.sum()
+        return out
+
+    best = np.concatenate([emission, change.ravel()])
+    slope = [(likelihood(best + h) - likelihood(best - h)) / 2e-4 for h in np.eye(7) * 1e-4]
+    assert np.abs(slope).max() < 2e-3
+
+
+def test_labelled_rows_are_bounded_by_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    rows = fitting.labelled(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(1, 1), (2, 0)]
+
+
 def test_classifiers_of_odd_rows(spark, odd, empty, labels, no_labels):
     for module, name in ((toxicity, "toxic"), (quality, "quality")):
         for own in (labels, no_labels):

@@ -7,7 +7,8 @@ weight, and a change of one weight moves keys only into or out of the subtree
 whose weight changed: all other draws stay as they were.
 
 Defined results: a null key draws as the text ``null``; a null text has no bytes
-(size 16) and the checksum 0; repeated rows get slots of their own; an empty
+(size 16) and the checksum 0; rows of one key are ordered by their other columns, so
+a rerun deals the same slots, and repeated rows get slots of their own; an empty
 table gives an empty result; further columns of the input are not looked at.
 """
 
@@ -17,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: Rows that one numbering task should hold, about.
 SLOT_ROWS = 20_000
@@ -85,7 +87,8 @@ def slots(placed: DataFrame, key: str = "doc_id", shard: str = "shard", buckets:
     counts = placed.groupBy(shard, "__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(_window(shard, "__bucket")) - F.col("__n")
     counts = counts.select(F.col(shard).alias("__s"), F.col("__bucket").alias("__b"), before.alias("__before"))
-    own = F.row_number().over(_window([shard, "__bucket"], key))
+    ties = [f.name for f in placed.schema.fields if f.name not in (key, shard, "__bucket") and isinstance(f.dataType, AtomicType)]
+    own = F.row_number().over(_window([shard, "__bucket"], [key, *ties]))
     return (
         placed.withColumn("__own", own)
         .join(counts, (F.col(shard) == F.col("__s")) & (F.col("__bucket") == F.col("__b")))

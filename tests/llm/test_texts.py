@@ -218,6 +218,12 @@ def test_a_changed_weight_moves_rows_only_into_its_subtree(spark):
     assert moved and all(r.new // 8 == 0 for r in moved)
 
 
+def test_rows_of_one_key_get_the_same_slots_again(spark):
+    df = spark.createDataFrame([(1, f"text {i % 7}") for i in range(40)], "doc_id long, text string")
+    runs = [sorted((r.slot, r.text_crc32) for r in sharding.assign(df.repartition(n, "text"), 40).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and [s for s, _ in runs[0]] == list(range(40))
+
+
 def test_slots_of_many_buckets(spark):
     df = spark.range(3_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("shard"))
     got = {}

@@ -8,6 +8,8 @@ text nor a hot line meets in one task as it would in a window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def digest(c: Column | str) -> Column:
 def keep_first(df: DataFrame, key: Column, order: Sequence[str], always: Column | None = None) -> DataFrame:
     """Rows whose key does not occur earlier; rows where ``always`` holds are kept besides.
 
-    ``order`` must tell rows apart. Rows with a null key are kept once.
+    ``order`` must tell rows apart; a null in it comes first. Rows with a null key are kept once.
     """
     keyed = df.withColumn("__key", key)
     if always is not None:
@@ -30,8 +32,9 @@ def keep_first(df: DataFrame, key: Column, order: Sequence[str], always: Column
         once = keyed.filter(~F.col("__always"))
     else:
         once = keyed
-    first = once.groupBy("__key").agg(F.min(F.struct(*order)).alias("__first")).select("__first.*")
-    kept = once.join(first, list(order), "left_semi")
+    first = once.groupBy("__key").agg(F.min(F.struct(*order)).alias("__first"))
+    first = first.select(*(F.col("__first")[c].alias(f"__first_{c}") for c in order))
+    kept = once.join(first, reduce(and_, (once[c].eqNullSafe(first[f"__first_{c}"]) for c in order)), "left_semi")
     if always is not None:
         kept = kept.unionByName(keyed.filter("__always")).drop("__always")
     return kept.drop("__key").select(*df.columns)

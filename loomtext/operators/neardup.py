@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -158,7 +159,7 @@ def look_back(lines: DataFrame, by: Sequence[str], order: Sequence[str], column:
             for own, line in zip(frame[keys].itertuples(index=False, name=None), frame[column]):
                 if own != now:
                     now, kept, seen = own, [], set()
-                line_key = hash(line)
+                line_key = blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if all_duplicates:
                     ok = line_key not in seen and not any(near(line, k) for k in kept)
                 else:

@@ -87,7 +87,7 @@ def byte_budget(docs: DataFrame, budget: int, seed: int = 42, key: str = "doc_id
         rest = rest.filter(F.col("running") > used).drop("running")
     if taken is None:
         return docs.limit(0)
-    return docs.join(taken.withColumnRenamed("k", key), key, "left_semi").select(*docs.columns)
+    return docs.join(taken, docs[key].eqNullSafe(taken["k"]), "left_semi")
 
 
 def merge_corpora(corpora: Mapping[str, DataFrame], budgets: Mapping[str, int] | None = None, seed: int = 42, tag: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

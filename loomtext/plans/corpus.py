@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import filters as fl
 from loomtext.functions import html, text as tx
 from loomtext.operators import dedup, metrics, neardup, sampling
-from loomtext.plans.registry import FIXTURE, LINES, fixture, lines_of, query, table
+from loomtext.plans.registry import EVERY, FIXTURE, LINES, every_line, fixture, lines_of, query, table
 from loomtext.sources import readers, sinks
 
 # --- sources and sinks ------------------------------------------------------------------------------
@@ -21,9 +21,7 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s2_blank_line_documents",
-    """WITH joined AS (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS body FROM documents WHERE doc_id < 200 AND false GROUP BY source)
-    SELECT 0::BIGINT AS doc_id, 0::BIGINT AS pos, '' AS text WHERE false UNION ALL
-    SELECT doc_id, (unnest(range(0, len(ps))))::BIGINT, unnest(ps) FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10) || '+'),
+    """SELECT doc_id, (unnest(range(0, len(ps))))::BIGINT AS pos, unnest(ps) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10) || '+'),
       lambda x: trim(x, chr(10))), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL)""",
 )
 def s2(spark: SparkSession, d: str) -> DataFrame:
@@ -158,9 +156,9 @@ def n18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.first_number("text").alias("n"))
 
 
-@query("n19_without_native", f"SELECT pos::BIGINT AS pos, coalesce(nullif(trim(regexp_replace(line, '[\\x{{0900}}-\\x{{097F}}]+', '', 'g')), ''), line) AS line FROM {FIXTURE}")
+@query("n19_without_native", f"{EVERY} SELECT kind, doc_id, pos, coalesce(nullif(trim(regexp_replace(line, '[\\x{{0900}}-\\x{{097F}}]+', '', 'g')), ''), line) AS line FROM every")
 def n19(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark).select("pos", tx.without_devanagari("line").alias("line"))
+    return every_line(spark, d).select("kind", "doc_id", "pos", tx.without_devanagari("line").alias("line"))
 
 
 @query("n20_language_tag", "SELECT doc_id, '__LANG_' || upper(lang) || '__' || chr(10) || text AS text FROM documents WHERE lang = 'en'")
@@ -168,7 +166,7 @@ def n20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", tx.tagged("text", "en").alias("text"))
 
 
-@query("n21_human_size", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.1f B', strlen(text)::DOUBLE) ELSE printf('%.1f KB', strlen(text) / 1024.0::DOUBLE) END AS size FROM documents WHERE text IS NOT NULL AND strlen(text) < 1048576")
+@query("n21_human_size", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN printf('%.1f B', strlen(text)::DOUBLE) WHEN strlen(text) < 1048576 THEN printf('%.1f KB', strlen(text) / 1024.0::DOUBLE) WHEN strlen(text) < 1073741824 THEN printf('%.1f MB', strlen(text) / 1048576.0::DOUBLE) ELSE printf('%.1f GB', strlen(text) / 1073741824.0::DOUBLE) END AS size FROM documents WHERE text IS NOT NULL")
 def n21(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", tx.human_size(F.octet_length("text")).alias("size"))
 
@@ -193,19 +191,15 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flag(name: str, predicate, sql: str | None) -> None:
-    """A filter over the fixture: each line with whether it matches."""
+    """A filter over lines of every kind: each with whether it matches."""
 
-    @query(name, f"SELECT pos::BIGINT AS pos, line, ({sql}) AS flag FROM {FIXTURE}" if sql else None)
+    @query(name, f"{EVERY} SELECT kind, doc_id, pos, ({sql}) AS flag FROM every")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return fixture(spark).select("pos", "line", predicate("line").alias("flag"))
+        return every_line(spark, d).select("kind", "doc_id", "pos", predicate("line").alias("flag"))
 
 
-def _any(patterns) -> str:
-    return " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in patterns)
-
-
-def _re2(patterns) -> str:
-    return _any(p.replace("'", "''") for p in patterns)
+def _found(pattern: str) -> str:
+    return f"regexp_matches(line, '(?i){pattern}')"
 
 
 _ASCII_SHARE = "length(regexp_replace(line, '[^\\x00-\\x7f]+', '', 'g')) / greatest(length(line), 1)"
@@ -224,15 +218,20 @@ _flag(
     lambda w: length(w) >= 4 AND length(regexp_replace(w, '[^aeiouAEIOU]', '', 'g')) / length(w) < 0.25)) / greatest(len({_SPLIT}), 1) > 0.25""",
 )
 _flag("f6_mixed_in_word", fl.mixed_in_word, f"regexp_matches(line, '[A-Za-z]{_DEV}|{_DEV}[A-Za-z]')")
-_flag("f7_filler", fl.filler, _re2(fl.FILLER))
-_flag("f8_listener", fl.listener, None)
-_flag("f9_reaction", fl.reaction, _re2(fl.REACTION))
-_flag("f10_vague_english", fl.vague_english, _re2(fl.VAGUE))
-_flag("f11_devotional", fl.devotional, _re2(fl.DEVOTIONAL))
+_flag("f7_filler", fl.filler, _found(r"^good\s*(morning|evening|night|afternoon)|^(jay|jai|jy)\s+nepal|^me\s+(the\s+)?regular|^i\s+am\s+(watching|listening)|^(hello|hi|hey|hlo|hii)\b|^(lol|haha|hehe|wow|nice|great|cool|ok|okay)\b|^(nepal\s+)?zindabad|jay\s+nepal\s*$|^jy\s+\w"))
+_flag(
+    "f8_listener",
+    fl.listener,
+    _found(r"\b(sunxu|herxu|herne|sunchhu)\b.*\b(bata|jilla)\b|\bbata\b.*\b(herxu|sunxu)\b|\b(herxu|sunxu)\b.*\bregular\b|\bdainik\s+herne\b|\bregular\s+(listener|viewer|sunxu|herxu)\b|\bma\s+dainik\b|\bwatching\s+(from|live)\b")
+    + " OR " + _found(r"बाट\s*दैनिक\s*हेर्ने|नगरपालिका.*दैनिक|bata\s+dainik|(^|[^\x{0900}-\x{0903}\x{093A}-\x{094F}\w])रेगुलर($|[^\x{0900}-\x{0903}\x{093A}-\x{094F}\w])|न\s*पा\s+बाट\s+रेगुलर|\bpa\s+bata\s+regular\b"),
+)
+_flag("f9_reaction", fl.reaction, _found(r"^(hoho|haha|lol|wow|finally)\b|\bjel\s+(kochnu|haal|halnu)\b|^sabai\s+\w+\s+(lai\s+)?jel\b|^\w+\s+le\s+thik\s+bhan|^\w{1,15}\s+sir\s+please\b|kunai\s+pani\s+parti\s+ko.*baputi"))
+_flag("f10_vague_english", fl.vague_english, _found(r"^if\s+\w+\s+(come|win|lose|get|become)|^if\s+u\s+|^just\s+look\s+(at|in|what)|^(see|look|watch)\s+what\s+happen|baputi\s+banera\s+basdainan"))
+_flag("f11_devotional", fl.devotional, _found(r"\b(radhe\s+radhe|om\s+shanti|jay\s+shree\s+ram|jay\s+shri\s+ram|sadh\s+guru|hari\s+om|om\s+namah|bhagwan\s+jay|jay\s+mata|jai\s+shree)\b"))
 _flag("f12_rhetorical", fl.rhetorical, f"ends_with(trim(line), '?') AND len({_SPLIT}) <= CASE WHEN {_count('line', _DEV)} > 5 THEN 10 ELSE 8 END")
-_flag("f13_low_content", fl.low_content, _re2(fl.LOW_CONTENT[2]))
-_flag("f13_off_topic_english", fl.off_topic_english, f"{_ASCII_SHARE} >= 0.70 AND NOT regexp_matches(line, '(?i)\\b({'|'.join(fl._TOPICS)})\\b')")
-_flag("f14_keyword", fl.has_keyword, _re2(fl.KEYWORDS))
+_flag("f13_low_content", fl.low_content, _found(r"जे मन लाग्यो|तेही भन्न लाग्यो|सुभकामना.*अनुरोध|अनैतिक काम.*अनुरोध|^kina\s+aadha\b|^kina\s+\w+\s+matra\b|charmari\s+la\s+garda|vaster\s+vaiko|^samachar\s+ko\s+kura\s+matra\s+gar|doctor\s+hoinau\s+bujheu|बुढो\s+मान्छेको\s+पुरानै\s+सोच|\bchintai\s+chinta\b|\bbisram\s+linu\s+hosh\b|प्वाँख\s+पलाएको|अचम्म\s+लाग्छ|बिरालोले\s+मुसा\s+मर्दैन|धेरै\s+मन्त्री\s+काम\s+छैन|बालेन\s+(लाई\s+)?नै\s+(प्राधान|प्रधान)\s+मन्त्री\s+दिनु\s+पर्छ|आधा\s+आधा\s+कार्यकाल|बालेन\s+नै\s+हुनुपर्छ|५\s*वर्षसम्म\s+बालेन"))
+_flag("f13_off_topic_english", fl.off_topic_english, f"{_ASCII_SHARE} >= 0.70 AND NOT " + _found(r"\b(nepal|nepali|balen|rabi|sarkar|sarkaar|congress|kangres|kangren|kangresh|amale|uml|maoist|mawobadi|maobadi|communist|government|minister|vote|election|rastriya|sambidhan|prachanda|deuba|oli|koirala|madhes|janajati|province|pradesh|kathmandu|pokhara|rsp|ncp|girija|sushila|karki|bikalpa|desh|janta|janata|bikas)\b"))
+_flag("f14_keyword", fl.has_keyword, _found("instagram|facebook|twitter|tiktok|snapchat|telegram|discord|whatsapp|onlyfans|patreon|ko-fi|buff"))
 _flag("f16_latin_bearing", fl.latin_bearing, "regexp_matches(line, '[A-Za-z0-9]')")
 _flag("f17_not_blank", fl.not_blank, "trim(line) <> ''")
 _flag("f18_latin_surface", fl.latin_surface, "regexp_matches(line, '^[A-Za-z0-9]+$')")
@@ -256,14 +255,14 @@ def f19(spark: SparkSession, d: str) -> DataFrame:
 _LANG = f"CASE WHEN regexp_matches(line, '[A-Za-z]') AND regexp_matches(line, '{_DEV}') THEN 'mixed' WHEN regexp_matches(line, '[A-Za-z]') THEN 'eng' WHEN regexp_matches(line, '{_DEV}') THEN 'nep' ELSE 'none' END"
 
 
-@query("f20_line_language", f"SELECT pos::BIGINT AS pos, {_LANG} AS lang FROM {FIXTURE}")
+@query("f20_line_language", f"{EVERY} SELECT kind, doc_id, pos, {_LANG} AS lang FROM every")
 def f20(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark).select("pos", fl.line_language("line").alias("lang"))
+    return every_line(spark, d).select("kind", "doc_id", "pos", fl.line_language("line").alias("lang"))
 
 
-@query("f23_english_words", f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM {FIXTURE}) SELECT word, (regexp_matches(word, '^https?://|^www\\.|\\.(com|edu|net|org)$') OR contains(word, '@') OR (regexp_matches(word, '^[!-~]+$') AND NOT contains(word, '!'))) AS flag FROM words")
+@query("f23_english_words", f"{EVERY}, words AS (SELECT DISTINCT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM every) SELECT word, (regexp_matches(word, '^https?://|^www\\.|\\.(com|edu|net|org)$') OR contains(word, '@') OR (regexp_matches(word, '^[!-~]+$') AND NOT contains(word, '!'))) AS flag FROM words")
 def f23(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.word_counts(fixture(spark)).select("word", fl.english_word("word").alias("flag"))
+    return metrics.word_counts(every_line(spark, d)).select("word", fl.english_word("word").alias("flag"))
 
 
 # --- dedup ------------------------------------------------------------------------------------------------
@@ -426,16 +425,16 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return metrics.word_profile(metrics.word_counts(lines_of(spark, d))).withColumn("longest", F.col("longest").cast("bigint"))
 
 
-@query("a18_script_profile", """SELECT pos::BIGINT AS pos, len(regexp_extract_all(line, '[\\x{0900}-\\x{097F}]'))::BIGINT AS dev, len(regexp_extract_all(line, '[A-Za-z]'))::BIGINT AS latin,
-len(regexp_extract_all(line, '\\p{Nd}'))::BIGINT AS digit, len(regexp_extract_all(line, '[^\\pL\\pN]'))::BIGINT AS not_alnum FROM """ + FIXTURE)
+@query("a18_script_profile", EVERY + """ SELECT kind, doc_id, pos, len(regexp_extract_all(line, '[\\x{0900}-\\x{097F}]'))::BIGINT AS dev, len(regexp_extract_all(line, '[A-Za-z]'))::BIGINT AS latin,
+len(regexp_extract_all(line, '\\p{Nd}'))::BIGINT AS digit, len(regexp_extract_all(line, '[^\\pL\\pN]'))::BIGINT AS not_alnum FROM every""")
 def a18(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark).select("pos", metrics.script_profile("line").alias("s"))
-    return rows.select("pos", *[F.col(f"s.{n}").cast("bigint").alias(n) for n in ("dev", "latin", "digit", "not_alnum")])
+    rows = every_line(spark, d).select("kind", "doc_id", "pos", metrics.script_profile("line").alias("s"))
+    return rows.select("kind", "doc_id", "pos", *[F.col(f"s.{n}").cast("bigint").alias(n) for n in ("dev", "latin", "digit", "not_alnum")])
 
 
-@query("a19_language_mix", f"WITH k AS (SELECT {_LANG} AS k FROM {FIXTURE}) SELECT count(*) AS lines, " + ", ".join(f"round(100.0::DOUBLE * sum(CASE WHEN k = '{k}' THEN 1 ELSE 0 END) / greatest(count(*), 1), 6) AS {k}_pct" for k in ("eng", "nep", "mixed")) + " FROM k")
+@query("a19_language_mix", f"{EVERY}, k AS (SELECT {_LANG} AS k FROM every) SELECT count(*) AS lines, " + ", ".join(f"round(100.0::DOUBLE * sum(CASE WHEN k = '{k}' THEN 1 ELSE 0 END) / greatest(count(*), 1), 6) AS {k}_pct" for k in ("eng", "nep", "mixed")) + " FROM k")
 def a19(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.language_mix(fixture(spark))
+    out = metrics.language_mix(every_line(spark, d))
     return out.select("lines", *[F.round(f"{k}_pct", 6).alias(f"{k}_pct") for k in ("eng", "nep", "mixed")])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import html
 from loomtext.operators import qa, translit
-from loomtext.plans.registry import FIXTURE, fixture, lines_of, query, table
+from loomtext.plans.registry import EVERY, FIXTURE, every_line, fixture, lines_of, query, table
 
 _GOLD = "(VALUES ('बस', 'basa'), ('बस्', 'bas' || chr(92)), ('कर्म', 'karma'), ('कृपा', 'kri^paa'), ('क्षेत्र', 'kshetra'), ('षड्यन्त्र', 'ShaDyantra'), ('ॐ', 'om')) AS t(native, roman)"
 
@@ -29,22 +29,49 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark).select("pos", translit.as_column(lambda t: translit.to_devanagari(translit.to_roman(t)), "line").alias("back"), "line")
 
 
-@query("r4_lines_to_roman", f"SELECT pos::BIGINT AS pos, CASE WHEN trim(line) = '' THEN '' ELSE line END AS roman FROM {FIXTURE} WHERE NOT regexp_matches(line, '[\\x{{0900}}-\\x{{097F}}]')")
+# The Roman spelling of the letters and signs in which lines of the documents are written (see EVERY).
+_CONSONANTS = {"ब": "b", "च": "ch", "द": "d", "फ": "ph", "ग": "g", "ह": "h", "ज": "j", "क": "k", "ल": "l", "म": "m", "न": "n", "प": "p", "ठ": "Th", "र": "r", "स": "s", "त": "t", "व": "w", "ष": "Sh", "य": "y", "झ": "jh"}
+_SIGNS = {"ा": "aa", "े": "e", "ि": "i", "ो": "o", "ु": "u", "ौ": "au"}
+
+
+def _spelled(w: str) -> str:
+    """SQL: a consonant has its inherent vowel unless a sign follows, a sign is read after a consonant only, all else stays."""
+    consonants, signs = ("MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}" for pairs in (_CONSONANTS, _SIGNS))
+    c, v = (f"'{''.join(pairs)}'" for pairs in (_CONSONANTS, _SIGNS))
+    return f"""array_to_string(list_transform(range(1, length({w}) + 1), lambda i: CASE WHEN contains({c}, {w}[i]) THEN {consonants}[{w}[i]] || CASE WHEN i < length({w}) AND contains({v}, {w}[i + 1]) THEN '' ELSE 'a' END
+    WHEN i > 1 AND contains({v}, {w}[i]) AND contains({c}, {w}[i - 1]) THEN {signs}[{w}[i]] ELSE {w}[i] END), '')"""
+
+
+_ROMAN = f"{EVERY}, roman AS (SELECT kind, doc_id, pos, CASE WHEN trim(line) = '' THEN '' ELSE array_to_string(list_transform(string_split(line, ' '), lambda w: {_spelled('w')}), ' ') END AS roman FROM every WHERE kind IN ('plain', 'native'))"
+#: Word by word: links and addresses stay.
+_MIXED = f"""{EVERY}, mixed AS (SELECT kind, doc_id, pos, line, CASE WHEN trim(line) = '' THEN '' ELSE array_to_string(list_transform(string_split(line, ' '), lambda w:
+CASE WHEN contains(w, '@') OR regexp_matches(w, '^https?://|^www\\.|\\.(com|edu|net|org)$') THEN w ELSE {_spelled('w')} END), ' ') END AS converted FROM every WHERE kind IN ('plain', 'native'))"""
+
+
+def _both_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the documents in Latin and in Devanagari characters."""
+    return every_line(spark, d).filter(F.col("kind").isin("plain", "native"))
+
+
+@query("r4_lines_to_roman", f"{_ROMAN} SELECT kind, doc_id, pos, roman FROM roman")
 def r4(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark).filter(~F.col("line").rlike("[ऀ-ॿ]"))
-    return rows.select("pos", translit.as_column(translit.lines_to_roman, "line").alias("roman"))
+    return _both_scripts(spark, d).select("kind", "doc_id", "pos", translit.as_column(translit.lines_to_roman, "line").alias("roman"))
 
 
-@query("r5_mixed_to_roman", "SELECT * FROM (VALUES ('फाइनल', 'final'), ('स्कुलमा', 'schoolmaa'), ('see http://x.np', 'see http://x.np'), ('कम्प्युटर ok', 'computer ok')) t(line, converted)")
+@query("r5_mixed_to_roman", f"{_MIXED} SELECT kind, doc_id, pos, converted FROM mixed")
 def r5(spark: SparkSession, d: str) -> DataFrame:
+    return translit.convert_lines(_both_scripts(spark, d)).select("kind", "doc_id", "pos", "converted")
+
+
+@query("r5_loanwords", "SELECT * FROM (VALUES ('फाइनल', 'final'), ('स्कुलमा', 'schoolmaa'), ('see http://x.np', 'see http://x.np'), ('कम्प्युटर ok', 'computer ok')) t(line, converted)")
+def r5_loanwords(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x in ("फाइनल", "स्कुलमा", "see http://x.np", "कम्प्युटर ok")], "line string")
     return translit.convert_lines(rows)
 
 
-@query("r6_a24_conversion_statistics", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT count(*) AS lines, sum(length(line))::BIGINT AS chars_in, sum(CASE WHEN line <> '' THEN 1 ELSE 0 END)::BIGINT AS lines_in FROM l")
+@query("r6_a24_conversion_statistics", f"{_MIXED} SELECT count(*) AS lines, sum(length(line))::BIGINT AS chars_in, sum(length(converted))::BIGINT AS chars_out, sum(CASE WHEN line <> '' THEN 1 ELSE 0 END)::BIGINT AS lines_in, sum(CASE WHEN converted <> '' THEN 1 ELSE 0 END)::BIGINT AS lines_out FROM mixed")
 def r6(spark: SparkSession, d: str) -> DataFrame:
-    out = translit.conversion_statistics(translit.convert_lines(lines_of(spark, d).select("line")))
-    return out.select("lines", "chars_in", "lines_in")
+    return translit.conversion_statistics(translit.convert_lines(_both_scripts(spark, d).select("line")))
 
 
 @query("g1_type_schedule", "SELECT i AS slot, ['answerable','answerable','unavailable','answerable','multi_part','unavailable','answerable','short_learning','multi_part','unavailable'][i % 10 + 1] AS question_type FROM range(1000) t(i)")

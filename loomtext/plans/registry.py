@@ -54,4 +54,29 @@ def fixture(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT cast(pos AS bigint) AS pos, line FROM {FIXTURE}")
 
 
+#: What stands for a Latin letter where a line of the documents is written in Devanagari characters.
+_LATIN, _NATIVE = "abcdefghijklmnopqrstuvwxyz", "ाबचदेफगहिजकलमनोपठरसतुवौषयझ"
+
+#: Lines of every kind: those of the documents, the same in Devanagari characters, the same beside a line of the fixture, and the fixture.
+EVERY = f"""{LINES}, fixture AS (SELECT pos::BIGINT AS pos, line FROM {FIXTURE}),
+every AS (SELECT 'plain' AS kind, doc_id, pos::BIGINT AS pos, line FROM lines
+UNION ALL SELECT 'native', doc_id, pos::BIGINT, translate(line, '{_LATIN}', '{_NATIVE}') FROM lines
+UNION ALL SELECT 'phrase', doc_id, lines.pos::BIGINT, CASE WHEN lines.pos % 2 = 0 THEN fixture.line || ' ' || lines.line ELSE lines.line || ' ' || fixture.line END FROM lines JOIN fixture ON fixture.pos = (doc_id + lines.pos) % 30
+UNION ALL SELECT 'fixture', -1, pos, line FROM fixture)"""
+
+
+def every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, doc_id, pos, line) as in :data:`EVERY`."""
+    lines, own = lines_of(spark, sf_dir), fixture(spark)
+    few = F.broadcast(own.select(F.col("pos").alias("k"), F.col("line").alias("phrase")))  # thirty rows, a literal
+    beside = lines.join(few, F.expr("(doc_id + pos) % 30 = k"))
+    parts = [
+        lines.select(F.lit("plain").alias("kind"), "doc_id", "pos", "line"),
+        lines.select(F.lit("native"), "doc_id", "pos", F.translate("line", _LATIN, _NATIVE)),
+        beside.select(F.lit("phrase"), "doc_id", "pos", F.expr("if(pos % 2 = 0, concat_ws(' ', phrase, line), concat_ws(' ', line, phrase))")),
+        own.select(F.lit("fixture"), F.lit(-1).cast("bigint"), "pos", "line"),
+    ]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
 from loomtext.plans import corpus, files, generation, streams, tokens  # noqa: E402, F401

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from loomtext.functions import filters as fl
 from loomtext.functions import text as tx
 from loomtext.operators import metrics
-from loomtext.plans.registry import FIXTURE, LINES, fixture, lines_of, query, table
+from loomtext.plans.registry import EVERY, LINES, every_line, fixture, lines_of, query, table
 from loomtext.tokenizer import codec as cd
 from loomtext.tokenizer import train as tr
 from loomtext.tokenizer import vocab as vb
 
+#: Aksharas in SQL: letters of Devanagari joined by viramas, closed by a sign; or any character alone.
+_L, _S = "[\\x{0915}-\\x{093D}\\x{094E}-\\x{095F}\\x{0964}-\\x{097F}]", "[\\x{0900}-\\x{0903}\\x{093E}-\\x{094C}\\x{0962}\\x{0963}]"
+_AKSHARA_SQL = f"{_L}(?:\\x{{094D}}+{_L}?)*{_S}?|(?:\\x{{094D}}+{_L}?)+{_S}?|."
 FOLDS = {"सङ्ग": "संग", "सँग": "संग"}
 SEEDS = ["गा.वि.स.", "ने.क.पा.ए.मा.ले.", "सन्", "2020", "को", "मा", "हरू", "निर्णय"]
 
@@ -35,13 +38,12 @@ def trained(spark: SparkSession, d: str, native: int = 40, latin: int = 400) ->
     return tr.train_bilingual(lines, vocab, len(vocab) + native, latin, theta=2, least=2, normalizer=vb.Normalizer(FOLDS))
 
 
-@query("t1_script_classes", f"""WITH c AS (SELECT DISTINCT unnest(string_split(line, '')) AS ch FROM {FIXTURE}) SELECT ch, CASE WHEN regexp_matches(ch, '[A-Za-z0-9]') THEN 'LAT'
-WHEN regexp_matches(ch, '[!-/:-@\\[-`{{-~\\x{{0964}}\\x{{0965}}]') THEN 'PUN' WHEN regexp_matches(ch, '[\\x{{0900}}-\\x{{097F}}]') THEN 'DEV' ELSE 'MAL' END AS script FROM c WHERE ch <> ''""")
+@query("t1_script_classes", f"""{EVERY}, c AS (SELECT unnest(string_split(line, '')) AS ch FROM every) SELECT ch, CASE WHEN regexp_matches(ch, '[A-Za-z0-9]') THEN 'LAT'
+WHEN regexp_matches(ch, '[!-/:-@\\[-`{{-~\\x{{0964}}\\x{{0965}}\\x{{2010}}-\\x{{2015}}\\x{{2018}}-\\x{{201F}}\\x{{2026}}]') THEN 'PUN' WHEN regexp_matches(ch, '[\\x{{0900}}-\\x{{097F}}]') THEN 'DEV' ELSE 'MAL' END AS script, count(*) AS n
+FROM c WHERE ch <> '' GROUP BY ch""")
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    chars = fixture(spark).select(F.explode(F.split("line", "")).alias("ch")).filter("ch <> ''").distinct()
-    c = F.col("ch")
-    own = F.when(c.rlike("[A-Za-z0-9▂]"), "LAT").when(c == vb.NON_JOINER, "FMT").when(c.rlike(r"[!-/:-@\[-`{-~।॥‐-―‘-‟…]"), "PUN")
-    return chars.select("ch", own.when(c.rlike("[ऀ-ॿ▁]"), "DEV").otherwise("MAL").alias("script"))
+    chars = every_line(spark, d).select(F.explode(F.split("line", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    return chars.select("ch", cd.script_column("ch").alias("script"), "n")
 
 
 @query("t2_marked_lines", f"{LINES} SELECT doc_id, pos, regexp_replace(regexp_replace(' ' || line, ' ([A-Za-z0-9])', '▂\\1', 'g'), ' ', '▁', 'g') AS marked FROM lines")
@@ -67,10 +69,11 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "pos", (codec.decode("ids") == F.col("norm")).alias("same"))
 
 
-@query("t7_abbreviations")
+@query("t7_abbreviations", f"""{EVERY} SELECT kind, doc_id, pos, contains(line, 'गा.वि.स.') AS flag FROM every""")
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark)
-    return rows.select("pos", cd.ColumnCodec(rows, base_vocab()).pieces("line").alias("pieces"))
+    rows = every_line(spark, d)
+    pieces = cd.ColumnCodec(rows, base_vocab()).pieces("line")
+    return rows.select("kind", "doc_id", "pos", F.array_contains(pieces, "गा.वि.स.").alias("flag"))
 
 
 @query("t9_bytes_round_trip", "SELECT doc_id, strlen(text)::BIGINT AS n, true AS same FROM documents WHERE text IS NOT NULL")
@@ -146,21 +149,26 @@ def t26(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.array_join(cd.script_ids("scripts").cast("array<string>"), " ").alias("ids"))
 
 
-# --- statistics over tokens: a base vocabulary spells Latin text letter by letter, which SQL can count ------------
+# --- statistics over tokens: the base vocabulary spells these texts letter by letter, and other letters by their bytes ------
 
 
 def _spelled(spark: SparkSession, d: str) -> DataFrame:
-    lines = lines_of(spark, d).filter(F.col("line").rlike("^[ -~]+$"))
-    return lines.select("line", cd.ColumnCodec(lines, base_vocab()).encode("line").alias("ids"))
+    lines = lines_of(spark, d)
+    return lines.select("doc_id", "pos", "line", cd.ColumnCodec(lines, base_vocab()).encode("line").alias("ids"))
+
+
+def _tokens(c: str) -> str:
+    """SQL of the tokens of a text without Devanagari: a mark, and its bytes in normal form, the seed 2020 being one."""
+    return f"strlen(nfc_normalize({c})) + 1 - 3 * (len(string_split({c}, '2020')) - 1)"
 
 
-_SPELLED = f"{LINES}, e AS (SELECT line, length(line) + 1 AS t, len(regexp_extract_all(line, '[^\\s]+')) AS w FROM lines WHERE regexp_matches(line, '^[ -~]+$') AND NOT contains(line, '2020')), n2 AS (SELECT line, length(line) + 1 AS t, len(regexp_extract_all(line, '[^\\s]+')) AS w FROM lines WHERE false)"
+_SPELLED = f"{LINES}, e AS (SELECT doc_id, pos, line, {_tokens('line')} AS t, len(regexp_extract_all(line, '[^\\s]+')) AS w FROM lines)"
 
 
 @query("a4_fertility_by_line", f"""{_SPELLED}, k AS (SELECT CASE WHEN regexp_matches(line, '[A-Za-z0-9]') THEN 'latin_or_digit' ELSE 'native_only' END AS kind, t, w FROM e), g AS (SELECT coalesce(kind, 'ALL') AS kind, count(*) AS lines, sum(w)::BIGINT AS words, sum(t)::BIGINT AS tokens FROM k GROUP BY ROLLUP (kind))
 SELECT kind, lines, words, tokens, round(tokens::DOUBLE / greatest(words, 1), 6) AS fertility, round(100.0::DOUBLE * lines / (SELECT max(lines) FROM g), 6) AS pct FROM g""")
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.fertility_by_line(_spelled(spark, d).filter(~F.col("line").contains("2020")))
+    out = metrics.fertility_by_line(_spelled(spark, d))
     return out.select("kind", "lines", "words", "tokens", F.round("fertility", 6).alias("fertility"), F.round("pct", 6).alias("pct"))
 
 
@@ -168,11 +176,11 @@ _WC = "CASE WHEN regexp_matches(word, '[A-Za-z]') THEN 'latin' WHEN regexp_match
 
 
 def _spelled_words(spark: SparkSession, d: str) -> DataFrame:
-    words = metrics.word_counts(lines_of(spark, d)).filter(F.col("word").rlike("^[!-~]+$") & ~F.col("word").contains("2020"))
+    words = metrics.word_counts(lines_of(spark, d))
     return words.withColumn("ids", cd.ColumnCodec(words, base_vocab()).encode("word"))
 
 
-_SPELLED_WORDS = f"{LINES}, words AS (SELECT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM lines), w AS (SELECT word, count(*) AS n, length(word) + 1 AS t FROM words WHERE regexp_matches(word, '^[!-~]+$') AND NOT contains(word, '2020') GROUP BY word)"
+_SPELLED_WORDS = f"{LINES}, words AS (SELECT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM lines), w AS (SELECT word, count(*) AS n, {_tokens('word')} AS t FROM words GROUP BY word)"
 
 
 @query("a5_fertility_by_word_class", f"{_SPELLED_WORDS} SELECT {_WC} AS word_class, sum(n)::BIGINT AS words, sum(n * t)::BIGINT AS tokens, round(sum(n * t)::DOUBLE / sum(n), 6) AS fertility FROM w GROUP BY 1")
@@ -194,20 +202,20 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a8_sample_summary", f"{_SPELLED} SELECT count(*) AS rows, round(avg(t::DOUBLE / greatest(w, 1)), 6) AS mean_ratio, round(median(t::DOUBLE / greatest(w, 1)), 6) AS median_ratio, round(sum(t)::DOUBLE / greatest(sum(w), 1), 6) AS micro_ratio FROM e")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.sample_summary(_spelled(spark, d).filter(~F.col("line").contains("2020")))
+    out = metrics.sample_summary(_spelled(spark, d))
     return out.select("rows", *[F.round(c, 6).alias(c) for c in ("mean_ratio", "median_ratio", "micro_ratio")])
 
 
 @query("a9_a11_benchmark_row", f"{_SPELLED} SELECT 'base' AS tokenizer, sum(t)::BIGINT AS total_tokens, 0.0::DOUBLE AS unk_pct, round(sum(t)::DOUBLE / greatest(sum(w), 1), 6) AS tokens_per_word, round(sum(length(line))::DOUBLE / sum(t), 6) AS chars_per_token, round(sum(strlen(line))::DOUBLE / sum(t), 6) AS bytes_per_token, round(sum(length(line))::DOUBLE / sum(t) / 8 * 100, 6) AS efficiency FROM e")
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    rows = _spelled(spark, d).filter(~F.col("line").contains("2020")).withColumn("tokenizer", F.lit("base"))
+    rows = _spelled(spark, d).withColumn("tokenizer", F.lit("base"))
     out = metrics.benchmark_rows(rows)
     return out.select("tokenizer", "total_tokens", *[F.round(c, 6).alias(c) for c in ("unk_pct", "tokens_per_word", "chars_per_token", "bytes_per_token", "efficiency")])
 
 
-@query("a10_validation_summary", f"{_SPELLED} SELECT round(sum(t)::DOUBLE / greatest(sum(w), 1), 6) AS fertility, 0.0::DOUBLE AS unk_rate, 0::BIGINT AS round_trip_failures FROM e")
+@query("a10_validation_summary", f"{_SPELLED} SELECT round(sum(t)::DOUBLE / greatest(sum(w), 1), 6) AS fertility, 0.0::DOUBLE AS unk_rate, sum(CASE WHEN trim(nfc_normalize(line)) <> trim(line) THEN 1 ELSE 0 END)::BIGINT AS round_trip_failures FROM e")
 def a10(spark: SparkSession, d: str) -> DataFrame:
-    rows = _spelled(spark, d).filter(~F.col("line").contains("2020"))
+    rows = _spelled(spark, d)
     rows = rows.withColumn("decoded", cd.ColumnCodec(rows, base_vocab()).decode("ids"))
     out = metrics.validation_summary(rows, "line", "ids", "decoded")
     return out.select(F.round("fertility", 6).alias("fertility"), F.round("unk_rate", 6).alias("unk_rate"), "round_trip_failures")
@@ -261,9 +269,9 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.round(metrics.bits_per_character(F.lit(8.0) * F.octet_length("text"), F.char_length("text")), 6).alias("bpc"))
 
 
-@query("a25_character_set", f"SELECT c, count(*) AS surfaces FROM (SELECT DISTINCT word, unnest(string_split(word, '')) AS c FROM (SELECT DISTINCT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM {FIXTURE})) WHERE c <> '' GROUP BY c")
+@query("a25_character_set", f"{EVERY} SELECT c, count(*) AS surfaces FROM (SELECT DISTINCT word, unnest(string_split(word, '')) AS c FROM (SELECT DISTINCT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM every)) WHERE c <> '' GROUP BY c")
 def a25(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.character_set(metrics.word_counts(fixture(spark)).withColumnRenamed("word", "surface"))
+    return metrics.character_set(metrics.word_counts(every_line(spark, d)).withColumnRenamed("word", "surface"))
 
 
 @query("a25_native_share", "SELECT round(35.0::DOUBLE / 100, 6) AS native_share")
@@ -271,60 +279,10 @@ def a25_share(spark: SparkSession, d: str) -> DataFrame:
     return metrics.native_share(base_vocab().table(spark)).select(F.round("native_share", 6).alias("native_share"))
 
 
-@query("a26_characters_per_token", f"{_SPELLED} SELECT line, round(length(line)::DOUBLE / t, 6) AS ratio FROM e")
+@query("a26_characters_per_token", f"{_SPELLED} SELECT doc_id, pos, round(length(line)::DOUBLE / t, 6) AS ratio FROM e")
 def a26(spark: SparkSession, d: str) -> DataFrame:
-    rows = _spelled(spark, d).filter(~F.col("line").contains("2020"))
-    return rows.select("line", F.round(metrics.characters_per_token("line", "ids"), 6).alias("ratio"))
-
-
-# --- the same statistics over all lines and words, byte fallback included, which SQL cannot spell ------------------
-
-
-def _all_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = lines_of(spark, d)
-    return lines.select("doc_id", "pos", "line", cd.ColumnCodec(lines, base_vocab()).encode("line").alias("ids"))
-
-
-def _all_words(spark: SparkSession, d: str) -> DataFrame:
-    words = metrics.word_counts(lines_of(spark, d))
-    return words.withColumn("ids", cd.ColumnCodec(words, base_vocab()).encode("word"))
-
-
-@query("a4_fertility_by_line_all")
-def a4_all(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.fertility_by_line(_all_lines(spark, d)).select("kind", "lines", "words", "tokens", "fertility", "pct")
-
-
-@query("a5_fertility_by_word_class_all")
-def a5_all(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.fertility_by_word_class(_all_words(spark, d))
-
-
-@query("a7_worst_words_all")
-def a7_all(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.worst_words(_all_words(spark, d)).withColumn("tokens", F.col("tokens").cast("bigint"))
-
-
-@query("a8_sample_summary_all")
-def a8_all(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.sample_summary(_all_lines(spark, d)).select("rows", "mean_ratio", "median_ratio", "micro_ratio")
-
-
-@query("a9_a11_benchmark_row_all")
-def a11_all(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.benchmark_rows(_all_lines(spark, d).withColumn("tokenizer", F.lit("base")))
-
-
-@query("a10_validation_summary_all")
-def a10_all(spark: SparkSession, d: str) -> DataFrame:
-    rows = _all_lines(spark, d)
-    rows = rows.withColumn("decoded", cd.ColumnCodec(rows, base_vocab()).decode("ids"))
-    return metrics.validation_summary(rows, "line", "ids", "decoded")
-
-
-@query("a26_characters_per_token_all")
-def a26_all(spark: SparkSession, d: str) -> DataFrame:
-    return _all_lines(spark, d).select("doc_id", "pos", metrics.characters_per_token("line", "ids").alias("ratio"))
+    rows = _spelled(spark, d)
+    return rows.select("doc_id", "pos", F.round(metrics.characters_per_token("line", "ids"), 6).alias("ratio"))
 
 
 @query("f16_latin_words_before_encoding", f"{LINES}, words AS (SELECT unnest(regexp_extract_all(line, '[^\\s]+')) AS word FROM lines) SELECT count(*) AS words, count(DISTINCT word) AS types FROM words WHERE regexp_matches(word, '[A-Za-z0-9]')")
@@ -333,16 +291,18 @@ def f16(spark: SparkSession, d: str) -> DataFrame:
     return words.agg(F.sum("n").alias("words"), F.count("*").alias("types"))
 
 
-@query("n1_n3_normal_forms", "SELECT 'संग' AS production, 'सँग' AS prototype, 'क' AS mapped")
+@query("n1_n3_normal_forms", f"""{EVERY}, s AS (SELECT kind, doc_id, pos, nfc_normalize(line || ' सङ्ग सँग स' || chr(8205) || 'ंग e' || chr(769)) AS n FROM every)
+SELECT kind, doc_id, pos, replace(replace(replace(n, 'सङ्ग', 'संग'), 'सँग', 'संग'), chr(8205), '') AS production, replace(replace(replace(n, 'सङ्ग', 'सँग'), 'संग', 'सँग'), chr(8205), '') AS prototype,
+replace(replace(n, 'ख', 'क'), chr(8205), '') AS mapped FROM s""")
 def n1(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("सङ्ग",)], "s string")
+    rows = every_line(spark, d).withColumn("s", F.concat("line", F.lit(" सङ्ग सँग स\u200dंग e\u0301")))
     codec = cd.ColumnCodec(rows, base_vocab(), vb.Normalizer(FOLDS))
-    return rows.select(codec.normalize("s").alias("production"), tx.fold_prototype("s").alias("prototype"), tx.fold_characters(F.lit("ख"), {"ख": "क"}).alias("mapped"))
+    return rows.select("kind", "doc_id", "pos", codec.normalize("s").alias("production"), tx.fold_prototype("s").alias("prototype"), tx.fold_characters("s", {"ख": "क"}).alias("mapped"))
 
 
-@query("t4_akshara_split")
+@query("t4_akshara_split", f"""{EVERY} SELECT kind, doc_id, pos, array_to_string(regexp_extract_all(line, '(?s){_AKSHARA_SQL}'), '|') AS aksharas FROM every""")
 def t4(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark).select("pos", _akshara()("line").alias("aksharas"))
+    return every_line(spark, d).select("kind", "doc_id", "pos", F.array_join(_akshara()("line"), "|").alias("aksharas"))
 
 
 @lru_cache(maxsize=1)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import col
-from loomtext.tokenizer.vocab import BYTE_OF, BYTES, DEV, FMT, LAT, LATIN_MARK, NATIVE_MARK, NON_JOINER, PUN, Normalizer, Vocab, script_of
+from loomtext.tokenizer.vocab import BYTE_OF, BYTES, DEV, FMT, LAT, LATIN_MARK, NATIVE_MARK, NON_JOINER, PUN, WIDE_MARKS, Normalizer, Vocab, script_of
 
 
 def mark(text: str) -> str:
@@ -168,6 +168,20 @@ class ColumnCodec:
         return self._udf("string", lambda own, v: own.normalizer(v))(col(c))
 
 
+def script_column(c: Column | str) -> Column:
+    """The script class of each character, as :func:`loomtext.tokenizer.vocab.script_of` gives it."""
+    c = col(c)
+    wide = "".join(WIDE_MARKS)
+    return (
+        F.when(c == NATIVE_MARK, DEV)
+        .when(c.rlike(f"^[A-Za-z0-9{LATIN_MARK}]$"), LAT)
+        .when(c == NON_JOINER, FMT)
+        .when(c.rlike(rf"^[!-/:-@\[-`{{-~।॥{wide}]$"), PUN)
+        .when(c.between("ऀ", "ॿ"), DEV)
+        .otherwise("MAL")
+    )
+
+
 def framed(ids: Column | str, cls: int, sep: int, second: Column | str | None = None) -> Column:
     """Ids, or a pair of them, between their special tokens."""
     parts = [F.array(F.lit(cls)), col(ids), F.array(F.lit(sep))]

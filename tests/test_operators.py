@@ -219,3 +219,29 @@ def test_human_size_query_keeps_long_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.size for r in registry.QUERIES["n21_human_size"](spark, str(tmp_path)).collect()}
     assert got == {1: "1023.0 B", 2: "1.0 KB", 3: "1024.0 KB", 4: "1.0 MB", 5: "2.5 MB", 7: "0.0 B"}
+
+
+def test_null_keys_are_rows_like_others(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "a"), (3, "c")], "doc_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in dedup.exact_documents(df).collect()))) == ["1", "3", "None"]
+    # Each costs a byte and two.
+    assert sampling.byte_budget(df, 6).count() == 2 and sampling.byte_budget(df, 9).count() == 3
+    assert any(r.doc_id is None for n in range(1, 30) for r in sampling.byte_budget(df, 6, seed=n).collect())
+
+
+def test_look_back_tells_lines_apart_by_content(spark):
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(["one line of words", "quite another thing", "one line of words"])], "file string, pos int, line string")
+    assert [r.pos for r in neardup.look_back(lines, ["file"], ["pos"]).collect()] == [0, 1]
+
+
+def test_templates_are_filled_by_type_context_and_places():
+    ask = lambda t, kind, context, **e: qa.filled(t, kind, context, "विषय", e)
+    assert ask("{} को दर?", "answerable", "numerical", thing="ऋण") == "ऋण को ब्याजदर को दर?"
+    assert ask("{} रकम?", "answerable", "numerical") == "विषय को न्यूनतम रकम रकम?" and ask("{}?", "answerable", "numerical") == "विषय?"
+    assert ask("{} {}", "answerable", "numerical", rate="५%") == "विषय ५%" and ask("{} {} {}", "answerable", "procedural", thing="क") == "क विषय विषय"
+    assert ask("कागजात {}", "answerable", "procedural") == "कागजात विषय अपडेट" and ask("{}", "answerable", "procedural") == "विषय सक्रिय"
+    assert ask("{} भन्दा बढी", "answerable", "conditional") == "निश्चित रकम भन्दा बढी" and ask("{} {}", "answerable", "conditional", threshold="१०") == "विषय १०"
+    assert ask("{} {}", "answerable", "comparative") == "पहिलो दोस्रो" and ask("{} {} {}", "answerable", "comparative") == "पहिलो पहिलो पहिलो"
+    assert ask("{} {} {}", "multi_part", "conditional") == "सीमा कागजात विषय" and ask("{} {} {}", "multi_part", "numerical") == "विषय दर जरिवाना"
+    assert ask("{} {} {} {}", "multi_part", "comparative") == "बचत खाता ब्याजदर चल्ती खाता ब्याजदर" and ask("{} {}", "short_learning", "any", term="पद") == "पद पद"
+    assert ask("{} {}", "unavailable", "any") == "विषय विषय" and ask("{} {}", "other", "any") == "विषय विषय" and ask("none", "multi_part", "numerical") == "none"

@@ -159,7 +159,7 @@ def test_statistics_over_all_lines_equal_brute_force(spark, tmp_path):
     w = [len(x.split()) for *_, x in lines]
     chars, size = sum(len(x) for *_, x in lines), sum(len(x.encode()) for *_, x in lines)
 
-    by = {r.kind: r for r in run("a4_fertility_by_line_all")}
+    by = {r.kind: r for r in run("a4_fertility_by_line")}
     latin = [any(c.isascii() and c.isalnum() for c in x) for *_, x in lines]
     for kind, want in (("ALL", [True] * len(lines)), ("latin_or_digit", latin), ("native_only", [not x for x in latin])):
         assert (by[kind].lines, by[kind].words, by[kind].tokens) == (sum(want), sum(b for a, b in zip(want, w) if a), sum(b for a, b in zip(want, n) if a))
@@ -167,16 +167,38 @@ def test_statistics_over_all_lines_equal_brute_force(spark, tmp_path):
     for *_, x in lines:
         for word in x.split():
             counts[word] = counts.get(word, 0) + 1
-    assert sum(r.words for r in run("a5_fertility_by_word_class_all")) == sum(counts.values())
-    assert sum(r.tokens for r in run("a5_fertility_by_word_class_all")) == sum(c * len(own.encode(x)) for x, c in counts.items())
+    assert sum(r.words for r in run("a5_fertility_by_word_class")) == sum(counts.values())
+    assert sum(r.tokens for r in run("a5_fertility_by_word_class")) == sum(c * len(own.encode(x)) for x, c in counts.items())
     worst = sorted(((x, len(own.encode(x)), c) for x, c in counts.items() if len(own.encode(x)) >= 5), key=lambda r: (-r[2], r[0].encode()))[:15]
-    assert [tuple(r) for r in run("a7_worst_words_all")] == worst
-    (r,) = run("a8_sample_summary_all")
+    assert [tuple(r) for r in run("a7_worst_words")] == worst
+    (r,) = run("a8_sample_summary")
     per = [a / max(b, 1) for a, b in zip(n, w)]
     assert r.rows == len(lines) and tuple(r)[1:] == pytest.approx((mean(per), median(per), sum(n) / sum(w)))
-    (r,) = run("a9_a11_benchmark_row_all")
+    (r,) = run("a9_a11_benchmark_row")
     assert tuple(r) == ("base", sum(n), 0.0, *map(pytest.approx, (sum(n) / sum(w), chars / sum(n), size / sum(n), chars / sum(n) / 8 * 100)))
-    (r,) = run("a10_validation_summary_all")
+    (r,) = run("a10_validation_summary")
     failures = sum(own.decode(own.encode(x)).strip() != x.strip() for *_, x in lines)
     assert tuple(r) == (pytest.approx(sum(n) / sum(w)), 0.0, failures)
-    assert {(r.doc_id, r.pos): r.ratio for r in run("a26_characters_per_token_all")} == {(i, p): pytest.approx(len(x) / max(k, 1)) for (i, p, x), k in zip(lines, n)}
+    assert {(r.doc_id, r.pos): r.ratio for r in run("a26_characters_per_token")} == {(i, p): pytest.approx(len(x) / max(k, 1)) for (i, p, x), k in zip(lines, n)}
+
+
+def test_aksharas_follow_the_rule():
+    """Against a walk over the characters: signs close, viramas join, others begin anew."""
+    single, sign = {*range(0x0904, 0x0915), 0x0960, 0x0961}, {*range(0x0900, 0x0904), *range(0x093E, 0x094D), 0x0962, 0x0963}
+    rng = random.Random(0)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([0x0915, 0x0928, 0x094D, 0x094D, 0x093E, 0x0902, 0x0905, 0x0966, 0x61, 0x200C, 0x0A])) for _ in range(rng.randint(0, 12)))
+        cuts = [0]
+        for i in range(1, len(text)):
+            a, b = ord(text[i - 1]), ord(text[i])
+            native = lambda c: 0x0900 <= c <= 0x097F and c not in single
+            joined = native(a) and native(b) and a not in sign and (b in sign or b == 0x094D or a == 0x094D)
+            if not joined:
+                cuts.append(i)
+        want = [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])] if text else []
+        assert vb.akshara_split(text) == want, ascii(text)
+
+
+def test_merges_replay_in_their_order():
+    assert tr.merge_replay(list("aaab"), [("a", "a"), ("aa", "a"), ("a", "b")]) == ["aaa", "b"]
+    assert tr.merge_replay(list("abab"), [("a", "b"), ("ab", "ab")]) == ["abab"] and tr.merge_replay([], [("a", "b")]) == []

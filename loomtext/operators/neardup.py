@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from hashlib import blake2b
@@ -44,20 +45,48 @@ def shingles(c: Column | str, k: int = 5) -> Column:
     return F.array_distinct(F.get(made, F.lit(0)))
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class _Shingles:
+    """Hashes of the shingles of texts as :func:`shingles` takes them, from hashes of their words, which are remembered."""
+
+    def __init__(self, k: int, most: int = 300_000):
+        self.k, self.most = k, most
+        self.cache: dict[str, int] = {}
+        self.blank = re.compile(f"[{WS}]+")
+
+    def __call__(self, text: str) -> np.ndarray:
+        own = [w for w in self.blank.split(text) if w]
+        if len(own) < self.k:
+            plain = text.replace(" ", "")
+            return np.unique(np.array([_hash(plain[i : i + self.k]) for i in range(max(1, len(plain) - self.k + 1))], np.uint64))
+        if len(self.cache) > self.most:
+            self.cache.clear()
+        new = [w for w in set(own) if w not in self.cache]
+        self.cache.update(zip(new, map(_hash, new)))
+        words_ = np.fromiter(map(self.cache.__getitem__, own), np.uint64, len(own))
+        out = words_[: len(own) - self.k + 1].copy()
+        for j in range(1, self.k):
+            out ^= out >> np.uint64(29)
+            out = out * np.uint64(0x9E3779B97F4A7C15) + words_[j : len(own) - self.k + 1 + j]
+        return np.unique(out ^ (out >> np.uint64(32)))
+
+
 def band_keys(items: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
     """(id, keys): one hash a band, over the minima of its hash functions.
 
-    Shingles are hashed to numbers by Spark; the minima over hundreds of functions are an
-    array product a row over Arrow batches, many times faster than nested lambdas, which Spark interprets.
+    Shingles and minima are array products over Arrow batches, many times faster
+    than nested lambdas over arrays of strings, which Spark interprets.
     """
     draws = np.random.Generator(np.random.PCG64(42)).integers(1, 2**63, (2, bands * rows), dtype=np.uint64)
     times, plus = draws[0] * np.uint64(2) + np.uint64(1), draws[1]
 
-    def keys(v) -> np.ndarray:
-        h = np.asarray(v, dtype=np.int64).view(np.uint64)
+    def keys(h: np.ndarray) -> np.ndarray:
         least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(h), 2048):
-            np.minimum(least, (h[at : at + 2048, None] * times + plus).min(axis=0), out=least)
+        for at in range(0, len(h), 512):
+            np.minimum(least, (h[at : at + 512, None] * times + plus).min(axis=0), out=least)
         out = np.arange(1, bands + 1, dtype=np.uint64)
         for column in least.reshape(bands, rows).T:
             out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -65,11 +94,12 @@ def band_keys(items: DataFrame, key: str, text: str, k: int, bands: int, rows: i
         return out.view(np.int64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _Shingles(k)
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "keys": [keys(v) for v in f["hashed"]]})
+            yield pd.DataFrame({"id": f["id"], "keys": [keys(own(t)) for t in f["text"]]})
 
-    hashed = F.transform(shingles(text, k), lambda s: F.xxhash64(s))
-    return items.select(F.col(key).cast("bigint").alias("id"), hashed.alias("hashed")).mapInPandas(run, "id bigint, keys array<bigint>")
+    rows_ = items.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("text is not null")
+    return rows_.mapInPandas(run, "id bigint, keys array<bigint>")
 
 
 def collisions(items: DataFrame, key: str, text: str, threshold: float, permutations: int, k: int = 5, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:

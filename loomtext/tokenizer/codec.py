@@ -4,8 +4,9 @@ A text is marked (a mark for each blank and before the text, chosen by what foll
 cut into runs of one script that do not cross a mark, and each run is matched
 greedily against the surfaces; what is not found is spelled in bytes. Before a run, an
 abbreviation is looked for: a surface of two characters or more, if a full stop or
-danda is near. As that looks past the word, words may not be encoded one by one
-and put together; only whole texts are.
+danda is near. No run and no surface crosses a mark after other characters, so what begins at marks is
+encoded by itself, and remembered; as an abbreviation looks past it, the way to the
+next stop behind it is part of what it is remembered by.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ from loomtext.functions.text import col
 from loomtext.tokenizer.vocab import BYTE_OF, BYTES, DEV, FMT, LAT, LATIN_MARK, NATIVE_MARK, NON_JOINER, PUN, WIDE_MARKS, Normalizer, Vocab, script_of
 
 
+#: Marked words that a worker remembers; when there are more, it begins anew.
+CACHE_WORDS = 200_000
+_BEFORE_LATIN = re.compile(" (?=[A-Za-z0-9])")
+#: Marks and what follows them: an abbreviation may be looked for from one mark to the next.
+_MARKED = re.compile(f"[{NATIVE_MARK}{LATIN_MARK}]+[^{NATIVE_MARK}{LATIN_MARK}]*")
+
+
 def mark(text: str) -> str:
     """The text with its marks: before it and for every blank."""
-    sign = lambda c: LATIN_MARK if c.isascii() and c.isalnum() else NATIVE_MARK
-    following = [*text[1:], ""]
-    return sign(text[:1]) + "".join(sign(n) if c == " " else c for c, n in zip(text, following))
+    return _BEFORE_LATIN.sub(LATIN_MARK, f" {text}").replace(" ", NATIVE_MARK)
 
 
 def mark_column(c: Column | str) -> Column:
@@ -46,6 +52,10 @@ class Codec:
         for s in self.surfaces:
             self.reach[s[:1]] = max(self.reach.get(s[:1], 0), len(s))
         self.spelled = [self.ids.get(b) for b in BYTES]
+        self.raw = [s.encode("utf-8", "surrogatepass") if b is None else bytes([b]) for s, b in zip(self.surfaces, self.bytes)]
+        #: A surface with a mark inside would join what marks part; the trainer makes none.
+        self.joining = any(m in s[1:] for s in self.surfaces for m in (NATIVE_MARK, LATIN_MARK))
+        self.cache: dict[tuple[str, int], list[int]] = {}
 
     def _spell(self, text: str, out: list[int]) -> None:
         out += [i for b in text.encode("utf-8", "surrogatepass") if (i := self.spelled[b]) is not None]
@@ -77,12 +87,32 @@ class Codec:
         return 0
 
     def encode_normalized(self, text: str) -> list[int]:
-        text, out, i = mark(text), [], 0
-        n = len(text)
+        text = mark(text)
+        if self.joining:
+            return self._encode(text, len(text) + self.seed_longest)
+        words, reach = _MARKED.findall(text), self.seed_longest
+        ahead, ways = reach, [reach] * len(words)
+        if reach and ("." in text or "।" in text):
+            for k in range(len(words) - 1, -1, -1):
+                ways[k] = ahead
+                stops = [at for at in (words[k].find("."), words[k].find("।")) if at >= 0]
+                ahead = min(stops) if stops else min(reach, ahead + len(words[k]))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        out: list[int] = []
+        for key in zip(words, ways):
+            found = self.cache.get(key)
+            if found is None:
+                found = self.cache[key] = self._encode(*key)
+            out += found
+        return out
+
+    def _encode(self, text: str, ahead: int) -> list[int]:
+        """Ids of a marked text; ``ahead``: the way from its end to the next stop."""
+        out, i, n = [], 0, len(text)
         scripts = [script_of(c) for c in text]
         near: list[int] = []
-        if self.seed_longest and ("." in text or "।" in text):
-            ahead = n + self.seed_longest
+        if self.seed_longest and (ahead < self.seed_longest or "." in text or "।" in text):
             near = [0] * n
             for k in range(n - 1, -1, -1):
                 ahead = 0 if text[k] in ".।" else ahead + 1
@@ -115,20 +145,9 @@ class Codec:
         return self.encode_normalized(self.normalizer(text))
 
     def decode(self, ids) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            own = self.bytes[i] if 0 <= i < len(self.surfaces) else None
-            if own is not None:
-                held.append(own)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if 0 <= i < len(self.surfaces):
-                out.append(self.surfaces[i])
-        out.append(held.decode("utf-8", "replace"))
-        text = re.sub(f"[{NATIVE_MARK}{LATIN_MARK}]", " ", "".join(out))
-        return text.removeprefix(" ")
+        n = len(self.raw)
+        text = b"".join([self.raw[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
+        return text.replace(NATIVE_MARK, " ").replace(LATIN_MARK, " ").removeprefix(" ")
 
     def pieces(self, text: str) -> list[str]:
         return [self.surfaces[i] for i in self.encode(text)]

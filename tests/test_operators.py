@@ -245,3 +245,13 @@ def test_templates_are_filled_by_type_context_and_places():
     assert ask("{} {} {}", "multi_part", "conditional") == "सीमा कागजात विषय" and ask("{} {} {}", "multi_part", "numerical") == "विषय दर जरिवाना"
     assert ask("{} {} {} {}", "multi_part", "comparative") == "बचत खाता ब्याजदर चल्ती खाता ब्याजदर" and ask("{} {}", "short_learning", "any", term="पद") == "पद पद"
     assert ask("{} {}", "unavailable", "any") == "विषय विषय" and ask("{} {}", "other", "any") == "विषय विषय" and ask("none", "multi_part", "numerical") == "none"
+
+
+def test_shingle_hashes_tell_the_same_shingles_apart(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab  c\n\t") for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["नेपाल " * 7, "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", neardup.shingles("t", 3).alias("s")).collect()
+    own, seen = neardup._Shingles(3, most=5), {}
+    for r in rows:
+        assert len(own(r.t)) == len(set(r.s))
+        assert seen.setdefault(frozenset(r.s), tuple(own(r.t))) == tuple(own(r.t))

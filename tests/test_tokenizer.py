@@ -202,3 +202,11 @@ def test_aksharas_follow_the_rule():
 def test_merges_replay_in_their_order():
     assert tr.merge_replay(list("aaab"), [("a", "a"), ("aa", "a"), ("a", "b")]) == ["aaa", "b"]
     assert tr.merge_replay(list("abab"), [("a", "b"), ("ab", "ab")]) == ["abab"] and tr.merge_replay([], [("a", "b")]) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["गा.वि.स.", "सन्", "2020", "मा", "को", ".", "।", " ", "  ", "a", "the", "é", "ने", "क.पा", "▁", "!"]), max_size=14).map("".join))
+def test_words_are_encoded_as_within_their_text(text):
+    own = cd.Codec(vocabulary("▁सन्", "▂2020", "▁मा", "the", "▂the", seeds=["गा.वि.स.", "ने.क.पा.", "सन्", "2020", "मा", "को"]))
+    marked = cd.mark(text)
+    assert own.encode_normalized(text) == own._encode(marked, len(marked) + own.seed_longest)

@@ -1,7 +1,6 @@
 """Fixed values of the chat filters and the chat cleaner: results depend on every one of them.
 
-Patterns are searched in either case. ``\\b`` beside Devanagari is written as look-arounds,
-as Java's ``\\b`` sees ASCII letters only.
+Patterns are those of Python's ``re``, searched in either case; ``text.java`` puts them into Java's terms.
 """
 
 # Words in which a line is dropped before it is cleaned.
@@ -38,7 +37,7 @@ LISTENER = {
         r"बाट\s*दैनिक\s*हेर्ने",
         r"नगरपालिका.*दैनिक",
         r"bata\s+dainik",
-        r"(?<![ऀ-ःऺ-ॏ\w])रेगुलर(?![ऀ-ःऺ-ॏ\w])",
+        r"\bरेगुलर\b",
         r"न\s*पा\s+बाट\s+रेगुलर",
         r"\bpa\s+bata\s+regular\b",
     ],
@@ -53,7 +52,7 @@ LISTENER = {
         r"बाट\s*दैनिक\s*हेर्ने",
         r"नगरपालिका.*दैनिक",
         r"bata\s+dainik",
-        r"(?<![ऀ-ःऺ-ॏ\w])रेगुलर(?![ऀ-ःऺ-ॏ\w])",
+        r"\bरेगुलर\b",
         r"न\s*पा\s+बाट\s+रेगुलर",
         r"\bpa\s+bata\s+regular\b",
     ],

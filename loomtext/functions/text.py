@@ -55,9 +55,33 @@ def ascii_share(c: Column | str) -> Column:
     return count_class(c, r"\x00-\x7f") / F.greatest(F.char_length(c), F.lit(1))
 
 
+#: The bodies of Java classes for what ``\\w`` and ``\\d`` of Python's ``re`` match: no marks, as Java's would.
+_WORD, _DIGIT = r"\p{L}\p{N}_", r"\p{Nd}"
+_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern of Python's ``re`` for Spark: its white space, digits, letters and boundaries in classes of their own."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        part = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(part)
+        body = {"\\s": WS, "\\w": _WORD, "\\d": _DIGIT}.get(part)
+        if body:
+            out.append(body if inside else f"[{body}]")
+        elif part == "\\S":
+            out.append(f"[^{WS}]")
+        elif part == "\\b":
+            out.append(_EDGE)
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return "".join(out)
+
+
 def any_match(c: Column | str, patterns: Sequence[str]) -> Column:
-    """Whether one of the patterns is found, in either case. Patterns with other flags of their own do not belong here."""
-    return col(c).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns is found, in either case. They are written for Python's ``re``, without flags of their own."""
+    return col(c).rlike("(?iu)" + "|".join(f"(?:{java(p)})" for p in patterns))
 
 
 @lru_cache(maxsize=4)

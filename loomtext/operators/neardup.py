@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import WS, col, words
+from loomtext.operators.dedup import exact_lines
+from loomtext.operators.sampling import numbered
 from loomtext.session import materialise
 
 PERMUTATIONS, THRESHOLD, SHORT = 256, 0.7, 20
@@ -154,6 +156,12 @@ def near_dup(items: DataFrame, key: str = "pos", text: str = "line", threshold:
     return full.filter(F.char_length(text) < SHORT).unionByName(long.join(kept, key, "left_semi").select(*full.columns))
 
 
+def full(lines: DataFrame, order: Sequence[str] = ("file", "pos"), column: str = "line", threshold: float = THRESHOLD) -> DataFrame:
+    """Exact and then near-duplicate removal of lines in order; empty lines are left out."""
+    kept = numbered(exact_lines(lines.filter(F.col(column) != ""), order, column), order, "__n")
+    return near_dup(kept, "__n", column, threshold).drop("__n")
+
+
 def near_dup_statistics(items: DataFrame, kept: DataFrame) -> DataFrame:
     a, b = items.agg(F.count("*").alias("total")), kept.agg(F.count("*").alias("kept"))
     return a.join(b).select("total", "kept", (F.col("total") - F.col("kept")).alias("duplicates"))

@@ -96,11 +96,18 @@ def n6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("n7_clean_chat")
 def n7(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").filter("role = 'user' and text is not null")
-    out = rows.filter(~fl.has_keyword("text")).select("conv_id", "turn", fl.clean_chat("text").alias("line"))
+    rows = every_line(spark, d)
+    out = rows.filter(~fl.has_keyword("line")).select("kind", "doc_id", "pos", fl.clean_chat("line").alias("line"))
     return out.filter(fl.good_chat("line"))
 
 
+@query("n15_without_fences", "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '(^|\\n)\\s*```')")
+def n15(spark: SparkSession, d: str) -> DataFrame:
+    # Each text is put between fences first, so that there are some to drop.
+    rows = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).filter(~F.col("text").rlike(r"(^|\n)\s*```"))
+    return rows.select("conv_id", "turn", tx.without_fences(F.concat(F.lit("```json\n"), "text", F.lit("\n ``` \n```"))).alias("text"))
+
+
 @query("n8_without_urls", "SELECT page_id, trim(regexp_replace(html, 'https?://[^\\s]+|www\\.[^\\s]+', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
 def n8(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.without_urls("html").alias("text"))
@@ -223,7 +230,7 @@ _flag(
     "f8_listener",
     fl.listener,
     _found(r"\b(sunxu|herxu|herne|sunchhu)\b.*\b(bata|jilla)\b|\bbata\b.*\b(herxu|sunxu)\b|\b(herxu|sunxu)\b.*\bregular\b|\bdainik\s+herne\b|\bregular\s+(listener|viewer|sunxu|herxu)\b|\bma\s+dainik\b|\bwatching\s+(from|live)\b")
-    + " OR " + _found(r"बाट\s*दैनिक\s*हेर्ने|नगरपालिका.*दैनिक|bata\s+dainik|(^|[^\x{0900}-\x{0903}\x{093A}-\x{094F}\w])रेगुलर($|[^\x{0900}-\x{0903}\x{093A}-\x{094F}\w])|न\s*पा\s+बाट\s+रेगुलर|\bpa\s+bata\s+regular\b"),
+    + " OR " + _found(r"बाट\s*दैनिक\s*हेर्ने|नगरपालिका.*दैनिक|bata\s+dainik|(^|[^\pL\pN_])रेगुलर($|[^\pL\pN_])|न\s*पा\s+बाट\s+रेगुलर|\bpa\s+bata\s+regular\b"),
 )
 _flag("f9_reaction", fl.reaction, _found(r"^(hoho|haha|lol|wow|finally)\b|\bjel\s+(kochnu|haal|halnu)\b|^sabai\s+\w+\s+(lai\s+)?jel\b|^\w+\s+le\s+thik\s+bhan|^\w{1,15}\s+sir\s+please\b|kunai\s+pani\s+parti\s+ko.*baputi"))
 _flag("f10_vague_english", fl.vague_english, _found(r"^if\s+\w+\s+(come|win|lose|get|become)|^if\s+u\s+|^just\s+look\s+(at|in|what)|^(see|look|watch)\s+what\s+happen|baputi\s+banera\s+basdainan"))
@@ -293,6 +300,11 @@ def d3(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_dup(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
 
 
+@query("d3_full_clean")
+def d3_full(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.full(lines_of(spark, d), ("doc_id", "pos")).select("doc_id", "pos")
+
+
 @query("d3_shingle_counts", """WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws, replace(text, ' ', '') AS j FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
   ELSE list_transform(range(1, greatest(length(j) - 4, 1) + 1), lambda i: substr(j, i, 5)) END))::BIGINT AS n FROM w""")

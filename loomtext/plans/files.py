@@ -36,6 +36,15 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("s6_files_with_header", "SELECT source, true AS headed, count(*) + 1 AS lines FROM documents WHERE source IS NOT NULL GROUP BY source")
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").filter("source is not null").select("source", F.format_string("row %d", "doc_id").alias("value"))
+    rows.repartition("source").write.partitionBy("source").text(path := scratch(spark, "files"))
+    found = readers.with_header(readers.text_files(spark, path, "*.txt", skip="combined_")).withColumn("source", F.regexp_extract("path", "source=([^/]*)/", 1))
+    headed = F.startswith("text", F.format_string("===== FILE: %s =====\nrow ", "name"))
+    return found.groupBy("source").agg(F.min(headed).alias("headed"), F.sum(F.size(F.split("text", "\n"))).alias("lines"))
+
+
 @query("s9_json_pairs", "SELECT lang AS native, source AS english, count(*) AS n FROM documents WHERE lang <> '' AND source <> '' GROUP BY 1, 2")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "documents").select(F.col("lang").alias("native word"), F.col("source").alias("english word"))

@@ -157,6 +157,14 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
     return qa.audit(rows, fix).select("id", "audited")
 
 
+@query("g11_tricky_questions", """WITH t AS (SELECT trim(text) AS context, row_number() OVER (PARTITION BY trim(text) ORDER BY conv_id, turn) AS r, conv_id, turn FROM conversations WHERE regexp_matches(text, '[^\\s]')),
+f AS (SELECT context FROM t WHERE r = 1 ORDER BY conv_id, turn LIMIT 3) SELECT context, 'q' || k AS question, 'a' || k AS answer FROM f, range(3) r(k)""")
+def g11(spark: SparkSession, d: str) -> DataFrame:
+    reply = "Here: [" + ", ".join(f'{{"input": "q{k}", "output": "a{k}"}}' for k in range(3)) + "]"
+    out = qa.tricky(table(spark, d, "conversations").withColumnRenamed("text", "input"), lambda prompts: [reply] * len(prompts), ["conv_id", "turn"])
+    return out.select("context", F.col("sample.input").alias("question"), F.col("sample.output").alias("answer"))
+
+
 @query("h1_faq_pairs", "SELECT page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS question, 'page ' || page_id AS answer FROM pages WHERE trim(url) <> ''")
 def h1(spark: SparkSession, d: str) -> DataFrame:
     # A panel of its own is put before each page's markup, all of which is parsed.

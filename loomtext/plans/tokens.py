@@ -69,6 +69,46 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "pos", (codec.decode("ids") == F.col("norm")).alias("same"))
 
 
+#: A byte as the surface that stands for it, as in t3.
+_BYTE = "chr((CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN b WHEN b <= 32 THEN 256 + b WHEN b <= 160 THEN 256 + 33 + b - 127 ELSE 323 END)::INT)"
+_PIECE = f"""CASE WHEN ch IN ('▁', '▂') OR regexp_matches(ch, '^[!-~\\x{{2010}}-\\x{{2015}}\\x{{2018}}-\\x{{201F}}\\x{{2026}}]$') THEN ch
+ELSE array_to_string(list_transform(list_transform(range(0, strlen(ch)), lambda k: ('0x' || substr(hex(encode(ch)), 2 * k::INT + 1, 2))::INT), lambda b: {_BYTE}), '|') END"""
+
+
+@query("t6_base_pieces", f"""{LINES}, m AS (SELECT doc_id, pos, regexp_replace(regexp_replace(' ' || nfc_normalize(line), ' ([A-Za-z0-9])', '▂\\1', 'g'), ' ', '▁', 'g') AS marked FROM lines)
+SELECT doc_id, pos, replace(array_to_string(list_transform(string_split(marked, ''), lambda ch: {_PIECE}), '|'), '2|0|2|0', '2020') AS pieces FROM m""")
+def t6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    lines = lines_of(spark, d)
+    return lines.select("doc_id", "pos", F.array_join(cd.ColumnCodec(lines, base_vocab()).pieces("line"), "|").alias("pieces"))
+
+
+_WRAPPED = f"array_to_string(list_transform(regexp_extract_all(nfc_normalize(line), '(?s){_AKSHARA_SQL}'), lambda p: chr(1) || p || chr(2)), '')"
+
+
+@query("t6b_prototype_pieces", f"""{EVERY} SELECT kind, doc_id, pos, replace(replace(replace(replace({_WRAPPED}, chr(1) || 't' || chr(2) || chr(1) || 'h' || chr(2), chr(1) || 'th' || chr(2)),
+chr(1) || 'th' || chr(2) || chr(1) || 'e' || chr(2), chr(1) || 'the' || chr(2)), chr(1), '<'), chr(2), '>') AS pieces FROM every""")
+def t6b(spark: SparkSession, d: str) -> DataFrame:
+    pieces = cd.prototype_pieces("line", [], [("t", "h"), ("th", "e")])
+    return every_line(spark, d).select("kind", "doc_id", "pos", F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("<"), p, F.lit(">"))), "").alias("pieces"))
+
+
+def _automaton() -> vb.AksharaDFA:
+    """Letters joined by single viramas, closed by one vowel sign."""
+    dfa = vb.AksharaDFA()
+    for c in map(chr, range(0x0915, 0x093A)):
+        dfa.add(0, c, 1, True)
+        dfa.add(2, c, 1, True)
+    dfa.add(1, "्", 2, False)
+    for c in map(chr, range(0x093E, 0x094D)):
+        dfa.add(1, c, 3, True)
+    return dfa
+
+
+@query("t4_automaton_split", f"""{EVERY} SELECT kind, doc_id, pos, array_to_string(regexp_extract_all(line, '(?s)[\\x{{0915}}-\\x{{0939}}](?:\\x{{094D}}[\\x{{0915}}-\\x{{0939}}])*[\\x{{093E}}-\\x{{094C}}]?|.'), '|') AS parts FROM every""")
+def t4_dfa(spark: SparkSession, d: str) -> DataFrame:
+    return every_line(spark, d).select("kind", "doc_id", "pos", F.array_join(cd.split_column("line", _automaton()), "|").alias("parts"))
+
+
 @query("t7_abbreviations", f"""{EVERY} SELECT kind, doc_id, pos, contains(line, 'गा.वि.स.') AS flag FROM every""")
 def t7(spark: SparkSession, d: str) -> DataFrame:
     rows = every_line(spark, d)
@@ -117,6 +157,33 @@ def t16(spark: SparkSession, d: str) -> DataFrame:
     return trained(spark, d).table(spark).select("id", "surface", "script", "kind")
 
 
+def _found(vocab: vb.Vocab, spark: SparkSession) -> DataFrame:
+    return vocab.table(spark).select("id", "surface", "script", "kind")
+
+
+@query("t17_trained_from_lines")
+def t17(spark: SparkSession, d: str) -> DataFrame:
+    vocab = base_vocab()
+    return _found(tr.train(every_line(spark, d), vocab, len(vocab) + 40, theta=2, least=2, normalizer=vb.Normalizer(FOLDS)), spark)
+
+
+@query("t18_trained_from_texts")
+def t18(spark: SparkSession, d: str) -> DataFrame:
+    vocab = base_vocab()
+    return _found(tr.train_texts(fixture(spark), vocab, len(vocab) + 20, theta=2, normalizer=vb.Normalizer(FOLDS), column="line"), spark)
+
+
+@query("t20_latin_retrained")
+def t20(spark: SparkSession, d: str) -> DataFrame:
+    return _found(tr.train_latin(lines_of(spark, d), base_vocab(), 200, least=2), spark)
+
+
+@query("t27_unconstrained")
+def t27(spark: SparkSession, d: str) -> DataFrame:
+    vocab = base_vocab()
+    return _found(tr.train(lines_of(spark, d), vocab, len(vocab) + 200, least=2, free=True), spark)
+
+
 @query("t21_loaded_vocabulary")
 def t21(spark: SparkSession, d: str) -> DataFrame:
     return vb.Vocab.load(enumerate(base_vocab().surfaces)).table(spark).select("id", "surface", "script", "kind")

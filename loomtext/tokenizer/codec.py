@@ -12,14 +12,14 @@ next stop behind it is part of what it is remembered by.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import col
-from loomtext.tokenizer.vocab import BYTE_OF, BYTES, DEV, FMT, LAT, LATIN_MARK, NATIVE_MARK, NON_JOINER, PUN, WIDE_MARKS, Normalizer, Vocab, script_of
+from loomtext.tokenizer.vocab import BYTE_OF, BYTES, DEV, FMT, LAT, LATIN_MARK, NATIVE_MARK, NON_JOINER, PUN, WIDE_MARKS, AksharaDFA, Normalizer, Vocab, akshara_split, script_of
 
 
 #: Marked words that a worker remembers; when there are more, it begins anew.
@@ -187,6 +187,61 @@ class ColumnCodec:
         return self._udf("string", lambda own, v: own.normalizer(v))(col(c))
 
 
+def split_column(c: Column | str, dfa: AksharaDFA) -> Column:
+    """The runs that an automaton accepts, longest first, as an array; the automaton travels with the function."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else dfa.split(v))
+
+    return run(col(c))
+
+
+def prototype_pieces(c: Column | str, seeds: Iterable[str], merges: Sequence[tuple[str, str]], normalizer: Normalizer | None = None) -> Column:
+    """The earlier tokenizer: seeds and aksharas of each word, blanks one by one, then all merges in their order.
+
+    It gives pieces, as it may make such as no vocabulary has; :func:`unseen` lists those.
+    """
+    longest = sorted(set(seeds), key=len, reverse=True)
+    seed = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+    normal, merges = normalizer or Normalizer(), list(merges)
+
+    def pieces(text: str) -> list[str]:
+        out: list[str] = []
+        for part in re.split(r"(\s+)", normal(text)):
+            if part.isspace():
+                out += part
+            else:
+                for k, own in enumerate(seed.split(part) if seed else [part]):
+                    out += [own] if k % 2 else akshara_split(own)
+        return merge_replay(out, merges)
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else pieces(v))
+
+    return run(col(c))
+
+
+def unseen(rows: DataFrame, vocab: DataFrame, pieces: str = "pieces") -> DataFrame:
+    """(surface, n): pieces that the vocabulary (id, surface) lacks, which the earlier tokenizer added as it went."""
+    counted = rows.select(F.explode(pieces).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
+    return counted.join(vocab.select("surface"), "surface", "left_anti")
+
+
+def merge_replay(tokens: list[str], merges: Iterable[tuple[str, str]]) -> list[str]:
+    """Tokens with every merge applied in the order in which it was learned."""
+    for left, right in merges:
+        out: list[str] = []
+        for t in tokens:
+            if out and t == right and out[-1] == left:
+                out[-1] = left + right
+            else:
+                out.append(t)
+        tokens = out
+    return tokens
+
+
 def script_column(c: Column | str) -> Column:
     """The script class of each character, as :func:`loomtext.tokenizer.vocab.script_of` gives it."""
     c = col(c)

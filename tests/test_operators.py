@@ -255,3 +255,49 @@ def test_shingle_hashes_tell_the_same_shingles_apart(spark):
     for r in rows:
         assert len(own(r.t)) == len(set(r.s))
         assert seen.setdefault(frozenset(r.s), tuple(own(r.t))) == tuple(own(r.t))
+
+
+def test_full_is_exact_and_then_near(spark):
+    base = [f"word{i} word{i + 1} of a line that is long enough to be compared" for i in range(0, 60, 7)]
+    rows = [(i, x) for i, x in enumerate([*base, *base[:3], *(b + " indeed" for b in base[:4]), "short", "short", "tiny", ""])]
+    df = spark.createDataFrame([("f", i, x) for i, x in rows], "file string, pos long, line string")
+    exact = dedup.exact_lines(df.filter("line <> ''"))
+    near = neardup.near_dup(exact.withColumn("id", F.col("pos")), "id", "line")
+    got = {r.pos for r in neardup.full(df).collect()}
+    assert got == {r.pos for r in near.collect()} and {r.line for r in neardup.full(df).collect()} >= {"short", "tiny"} and len(got) <= exact.count()
+
+
+def test_tricky_questions_of_the_first_contexts(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", "a", " ", None, "c", "d"])], "i int, input string")
+    model = lambda ps: ["sure: [" + ",".join('{"input": "%s%d", "output": "y"}' % (p[-1], k) for k in range(2)) + "]" if p[-1] != "b" else "no" for p in ps]  # noqa: E731, UP031
+    got = sorted((r.context, r.sample.input) for r in qa.tricky(df, model, ["i"], each=2).collect())
+    assert got == [("a", "a0"), ("a", "a1"), ("c", "c0"), ("c", "c1")]
+
+
+def test_chat_cleaner_equals_its_steps_in_python(spark):
+    import re
+
+    from loomtext.functions import fixed as fx
+
+    emoji = re.compile("[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F1E0-\U0001F1FF\u2702-\u27B0\u24C2-\U0001F251\U0001F900-\U0001F9FF\U0001FA70-\U0001FAFF]+")
+
+    def clean(line):
+        for pattern, new in fx.ENTITIES:
+            line = re.sub(pattern, new, line)
+        line = emoji.sub("", line)
+        for pattern in fx.LINKS:
+            line = re.sub(pattern, "", line)
+        for phrase in fx.PROMOTION:
+            line = re.sub(phrase, "", line, flags=re.IGNORECASE)
+        for pattern in fx.NOISE:
+            line = re.sub(pattern, "", line)
+        line = re.sub(r"[^\w\s\u0900-\u097F.,!?;:()\-'\"]+", "", line)
+        line = re.sub(r"([!?])\1+", r"\1", re.sub(r"\.{2,}", "", line))
+        return re.sub(r"\s+", " ", re.sub(r"^[.\s]+|[.\s]+$", "", line)).strip()
+
+    rng = random.Random(6)
+    parts = ["hello", "नमस्ते", "ha ", "haha", "lol", "&quot;", "&#39;", "&x;", "😀", "https://a.b/c", "www.x.y", "see a.com/x", "<b>", "a href=x", "12:30", "@me", "Please Subscribe", "also", "ra", "br", "...", "!!", "??", "12 ", "x" * 22, "_", "#", "é", "\x1c", "\xa0", "(", ")"]
+    lines = [rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(800)]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    for r in df.select("t", filters.clean_chat("t").alias("c")).collect():
+        assert r.c == clean(r.t), ascii(r.t)

@@ -200,8 +200,8 @@ def test_aksharas_follow_the_rule():
 
 
 def test_merges_replay_in_their_order():
-    assert tr.merge_replay(list("aaab"), [("a", "a"), ("aa", "a"), ("a", "b")]) == ["aaa", "b"]
-    assert tr.merge_replay(list("abab"), [("a", "b"), ("ab", "ab")]) == ["abab"] and tr.merge_replay([], [("a", "b")]) == []
+    assert cd.merge_replay(list("aaab"), [("a", "a"), ("aa", "a"), ("a", "b")]) == ["aaa", "b"]
+    assert cd.merge_replay(list("abab"), [("a", "b"), ("ab", "ab")]) == ["abab"] and cd.merge_replay([], [("a", "b")]) == []
 
 
 @settings(max_examples=300, deadline=None)
@@ -210,3 +210,46 @@ def test_words_are_encoded_as_within_their_text(text):
     own = cd.Codec(vocabulary("▁सन्", "▂2020", "▁मा", "the", "▂the", seeds=["गा.वि.स.", "ने.क.पा.", "सन्", "2020", "मा", "को"]))
     marked = cd.mark(text)
     assert own.encode_normalized(text) == own._encode(marked, len(marked) + own.seed_longest)
+
+
+def test_an_automaton_splits_a_column(spark):
+    dfa = vb.AksharaDFA()
+    for state, ch, following, ok in ((0, "a", 1, True), (1, "b", 2, False), (2, "a", 1, True), (1, "c", 3, True)):
+        dfa.add(state, ch, following, ok)
+    rows = spark.createDataFrame([("ababacab",), ("xbc",), ("",), (None,)], "t string").select(cd.split_column("t", dfa).alias("p")).collect()
+    assert [r.p for r in rows] == [["ababac", "a", "b"], ["x", "b", "c"], [], None]
+
+
+def test_prototype_pieces_and_what_the_vocabulary_lacks(spark):
+    df = spark.createDataFrame([("मा  the को।",), ("",)], "t string")
+    rows = df.select(cd.prototype_pieces("t", ["को", "ो"], [("t", "h"), ("th", "e")]).alias("pieces"))
+    assert rows.first().pieces == ["मा", " ", " ", "the", " ", "को", "।"]
+    vocab = spark.createDataFrame([(0, "मा"), (1, " "), (2, "।")], "id int, surface string")
+    assert {tuple(r) for r in cd.unseen(rows, vocab).collect()} == {("the", 1), ("को", 1)}
+
+
+def test_training_from_lines_texts_and_for_latin(spark):
+    lines = ["मा मा को", "the the then", "मान मान"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    own = lambda: vb.Vocab.initialize(LETTERS, ["को"], PUNCTUATION)
+    merged = lambda v: [s for s, k in zip(v.surfaces, v.kinds) if k == "merged"]
+
+    def by_hand(sequences, vocab, budget, **rules):
+        codec, counts = cd.Codec(vocab), {}
+        for s in sequences:
+            key = tuple(codec.encode(s))
+            counts[key] = counts.get(key, 0) + 1
+        tr.Trainer(vocab, None, 1, **rules).train(sorted((list(k), n) for k, n in counts.items() if k), budget)
+        return vocab
+
+    words = [w for x in lines for w in x.split()]
+    v = own()
+    assert merged(tr.train(df, own(), len(v) + 2, theta=1)) == merged(by_hand(words, own(), len(v) + 2)) != []
+    assert merged(tr.train_texts(df, own(), len(v) + 3, theta=1, column="line")) == merged(by_hand(lines, own(), len(v) + 3))
+    latin = [w for w in words if w.isascii()]
+    frozen, grown = own(), tr.train_latin(df, own(), 3)
+    assert grown.surfaces[: len(frozen)] == frozen.surfaces and merged(grown) == merged(by_hand(latin, own(), len(v) + 3, latin=True)) != []
+    free = by_hand(words, own(), len(v) + 2, free=True)
+    assert merged(tr.train(df, own(), len(v) + 2, free=True)) == merged(free)
+    with pytest.raises(ValueError):
+        tr.train_latin(df, vb.Vocab(), 3)

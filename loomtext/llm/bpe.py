@@ -10,7 +10,7 @@ Files of the tokenizers library are read for the vocabulary, the merges and the
 special tokens; the path is a parameter. Two families are supported: byte-level
 BPE over its usual pattern, and lower-cased word BPE whose words have an end
 mark. No word of the latter holds white space, so a run between white space is
-encoded, and decoded, once for as long as the cache holds it.
+encoded once for as long as the cache holds it.
 
 Defined results: a null text is an empty text; the empty text has no ids; repeated
 rows are encoded each; columns named like a new one are replaced, all others pass through.
@@ -32,8 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from loomtext.llm.kernels import blocks, give_back, text_buffer
 
-#: Words and runs whose ids and texts a worker remembers; when there are more, it begins anew.
-CACHE_WORDS = 300_000
+#: Words and runs whose ids a worker remembers in each of two generations; a full one replaces the older.
+CACHE_WORDS = 200_000
 #: What Python's split takes for white space and the files' patterns do not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,9 +83,11 @@ class Codec:
         if self.byte_level:
             self.raw = np.array([t.encode() if t in self.special else b"".join(back.get(c, c.encode()) for c in t) for t in self.by_id], dtype=object)
         self.pieces = self.raw.tolist() if self.byte_level else self.by_id.tolist()
-        #: Ids of each word or run, and what they decode to.
+        #: Ids of the special tokens, under names that no run can have.
+        self.marks = {f"\n{t}": np.array([i], np.int32).tobytes() for t, i in self.special.items()}
+        #: Ids of each word or run, of the last and of the generation before.
         self.cache: dict[str, bytes] = {}
-        self.texts: dict[str, bytes | str] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         if not self.lowered:
@@ -97,7 +99,7 @@ class Codec:
         return text.lower()
 
     def learn(self, words: list[str]) -> None:
-        """Put the ids of ``words`` and their texts into the cache, by the pair occurrence index."""
+        """Put the ids of ``words`` into the cache, by the pair occurrence index."""
         encoded = [w.encode("utf-8", "surrogatepass") for w in words]
         data = np.frombuffer(b"".join(encoded), np.uint8)
         stops = np.cumsum([len(e) for e in encoded])
@@ -112,7 +114,8 @@ class Codec:
         places = np.flatnonzero(rank >= 0)
         places = places[np.argsort(rank[places], kind="stable")]
         found, cuts = np.unique(rank[places], return_index=True)
-        index = {r: own.tolist() for r, own in zip(found.tolist(), np.split(places, cuts[1:]))} if len(found) else {}
+        flat, cuts = places.tolist(), [*cuts.tolist(), len(places)]
+        index = {r: flat[a:b] for r, a, b in zip(found.tolist(), cuts, cuts[1:])}
         after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
         after[last] = -1
         before[stops[:-1]] = -1
@@ -152,13 +155,8 @@ class Codec:
                             push(active, other)
         flat = np.array(ids, dtype=np.int32)
         stays = flat >= 0
-        flat, ends = flat[stays], np.cumsum(stays)[last].tolist()
-        packed, tokens, join, piece = flat.tobytes(), flat.tolist(), (b"" if self.byte_level else " ").join, self.pieces.__getitem__
-        at = 0
-        for word, stop in zip(words, ends):
-            self.cache[word] = packed[4 * at : 4 * stop]
-            self.texts[word] = join(map(piece, tokens[at:stop]))
-            at = stop
+        packed, ends = flat[stays].tobytes(), (4 * np.cumsum(stays)[last]).tolist()
+        self.cache.update(zip(words, [packed[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _runs(self, piece: str) -> list[str]:
         """Parts of a normalised text that are encoded each by itself."""
@@ -166,9 +164,6 @@ class Codec:
 
     def _parts(self, texts: list[str]) -> list[list[str]]:
         """The runs and special tokens of each text, all of which the cache then holds."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-            self.texts.clear()
         parts: list[list[str]] = []
         wanted: set[str] = set()
         for text in texts:
@@ -176,57 +171,48 @@ class Codec:
                 own: list[str] = []
                 for k, piece in enumerate(self.split(text)):
                     if k % 2:
-                        own.append(self._special(piece))
+                        own.append(f"\n{piece}")
                     elif piece:
                         own += self._runs(self.normalise(piece))
             else:
                 own = self._runs(self.normalise(text))
             parts.append(own)
             wanted.update(own)
-        new = [r for r in wanted if r not in self.cache]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        new = wanted.difference(self.cache)
+        known = [r for r in new if r in self.older]
+        self.cache.update(zip(known, map(self.older.__getitem__, known)))
+        new.difference_update(known)
+        if special := new.intersection(self.marks):
+            self.cache.update((name, self.marks[name]) for name in special)
+            new -= special
         if self.byte_level:
-            words = new
+            split = {}
         else:
             split = {r: self.words(r) for r in new if not (r.isascii() and r.isalpha())}
-            words = list({w for r in new for w in split.get(r, (r,)) if w not in self.cache})
-        if words:
-            self.learn(words)
-        if not self.byte_level:
-            for r, own in split.items():
-                if len(own) > 1:
-                    self.cache[r] = b"".join([self.cache[w] for w in own])
-                    self.texts[r] = " ".join([self.texts[w] for w in own])
-        return parts
-
-    def _special(self, token: str) -> str:
-        """The name under which the cache has a special token; no run holds white space before a letter."""
-        name = f"\n{token}"
-        if name not in self.cache:
-            i = self.special[token]
-            self.cache[name], self.texts[name] = np.array([i], np.int32).tobytes(), self.pieces[i]
-        return name
-
-    def _ids(self, parts: list[list[str]]) -> list[np.ndarray]:
+            new.difference_update(split)
+            for own in split.values():
+                new.update(own)
+            new.difference_update(self.cache)
+        if new:
+            self.learn(list(new))
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in parts]
+        self.cache.update((r, b"".join(map(get, own))) for r, own in split.items() if len(own) > 1)
+        return parts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizers library gives without special tokens added."""
-        return self._ids(self._parts(texts))
-
-    def round_trip(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids of each text, and what they decode to, from the runs' ids and texts."""
-        parts, get = self._parts(texts), self.texts.__getitem__
-        if self.byte_level:
-            return self._ids(parts), [b"".join(map(get, own)).decode("utf-8", "replace") for own in parts]
-        return self._ids(parts), [" ".join(map(get, own)) for own in parts]
+        parts, get = self._parts(texts), self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens kept; ids outside the vocabulary are skipped."""
-        ids = ids[(ids >= 0) & (ids < len(self.by_id))]
+        known = (ids >= 0) & (ids < len(self.pieces))
+        ids = ids if known.all() else ids[known]
         if self.byte_level:
-            return b"".join(self.raw[ids]).decode("utf-8", "replace")
-        return " ".join(self.by_id[ids])
+            return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return " ".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
 _codecs: dict[int, Codec] = {}
@@ -262,7 +248,7 @@ def _mapped(df: DataFrame, path: str, text: str, into: list[StructField], keep:
         for batch in batches:
             column = batch.column(len(kept))
             _, offsets = text_buffer(column)
-            for a, b in blocks(offsets, 1 << 20):
+            for a, b in blocks(offsets, 1 << 21):
                 texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(kept)], *run(own, texts)], names=schema.names)
         give_back()
@@ -286,8 +272,8 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     """Add, in one pass, the ids of each row's text and the text that they decode to, to the columns ``keep``, or to all."""
 
     def run(own: Codec, texts: list[str]) -> list[pa.Array]:
-        found, back = own.round_trip(texts)
-        return [_listed(found), pa.array(back, pa.string())]
+        found = own.encode(texts)
+        return [_listed(found), pa.array([own.decode(x) for x in found], pa.string())]
 
     return _mapped(df, path, text, [StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())], keep, run)
 

@@ -211,8 +211,8 @@ def _dealt(members: DataFrame, size: int) -> DataFrame:
     A block has about ``size`` members and weight WEIGHT. Two blocks of settled members need not meet, so the work is the number of open members times that of all.
     """
     part = lambda rest: F.greatest(F.ceil(F.count_if(rest) / size), F.ceil(F.coalesce(F.sum(F.when(rest, F.col("w"))), F.lit(0)) / WEIGHT)).cast("int")
-    sides = members.groupBy("g").agg(part(~F.col("settled")).alias("a"), part(F.col("settled")).alias("b"), F.count("*").alias("n"))
-    sized = beside(members, materialise(sides.filter("a > 0"), "sides"), "g")
+    sides = members.groupBy("g").agg(part(~F.col("settled")).alias("a"), part(F.col("settled")).alias("b"))
+    sized = members.join(sides.filter("a > 0"), "g")
     whole = (F.col("a") <= 1) & (F.col("b") <= 1)
     own = F.when(F.col("settled"), F.col("a") + F.pmod(F.xxhash64("doc"), F.greatest("b", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc"), F.col("a"))).cast("int")
     last = F.when(F.col("settled"), F.col("a") - 1).otherwise(F.col("a") + F.col("b") - 1)
@@ -301,8 +301,7 @@ def link(texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     for level in range(LEVELS + 1):
         rows = members.join(labels.drop("w"), "doc") if level == 0 else members
         kinds = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        kinds = materialise(kinds.select("node", "n"), "kinds")
-        rows = materialise(beside(rows, kinds, "node").select("node", "doc", "label", "pivot", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
+        rows = materialise(rows.join(kinds.select("node", "n"), "node").select("node", "doc", "label", "pivot", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
         part = rows.filter(F.col("n") <= SMALL).select(F.col("node").alias("g"), "doc", "label")
         small = part if small is None else small.unionAll(part)
         large = rows.filter(F.col("n") > SMALL)

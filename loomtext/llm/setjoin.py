@@ -17,7 +17,9 @@ Near-copy groups stay together however deep a tree goes, so every node is first
 compared with a pivot, the member that shares the most nodes with others; sets
 whose link to a pivot is confirmed need no comparison among themselves, as only
 components are asked for. Then estimates join sets into clusters: in small nodes
-all are compared, and in nodes that stay large all that are not near the pivot. In
+all are compared, in larger ones what is not in the largest component is compared with
+all, block by block, where that takes no more rows than splitting the node, and in nodes
+that stay large beyond all that are not near the pivot. In
 a cluster that holds several components, all sets outside its largest component are compared
 with all of the cluster, block by block and exactly. Every step gives at most one row a
 member, block and tree, never the pairs of a group.
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
@@ -50,12 +52,14 @@ from loomtext.session import materialise, unused
 FUNCTIONS, LEVELS = 64, 5
 #: Share of the pairs at the threshold that the trees may miss, whatever depth their nodes reach.
 MISS = 1e-10
-#: Members of a node that are compared pair by pair; members of a block of a larger one.
-SMALL, BLOCK = 64, 256
+#: Members of a node that are compared pair by pair; members of a block of a larger one, by full sets and by estimates.
+SMALL, BLOCK, NEAR_BLOCK = 64, 256, 512
 #: Pairs that meet one document in one task of the confirmation.
 CHUNK = 256
 #: Shingles of a block of sets that are compared exactly, about, unless a single set has more.
 WEIGHT = 1_000_000
+#: Ways to compare a node's members.
+WHOLE, DEAL, SPLIT = 0, 1, 2
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64)
@@ -198,8 +202,15 @@ def _near(members: DataFrame, briefs: DataFrame, least: float) -> DataFrame:
         if len(labels) < 2 or (labels == labels[0]).all():
             return []
         x = np.frombuffer(b"".join(v for h in held for v in h.column(3).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
-        adjacent = np.stack([(x == row).sum(axis=1) >= least * FUNCTIONS for row in x])
-        return _joined(adjacent & (labels[:, None] != labels), labels)
+        _, own, times = np.unique(labels, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(own != np.argmax(times))  # members of the most common label need not meet
+        agree = np.zeros((len(rest), len(x)), np.uint8)
+        for low in np.ascontiguousarray(x.T):
+            agree += (low[rest, None] == low).view(np.uint8)
+        adjacent = np.zeros((len(x), len(x)), bool)
+        adjacent[rest] = (agree >= least * FUNCTIONS) & (labels[rest, None] != labels)
+        adjacent[:, rest] |= adjacent[rest].T
+        return _joined(adjacent, labels)
 
     frame = members.join(briefs, "doc").select("g", "doc", "label", "brief")
     return frame.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
@@ -253,6 +264,16 @@ def _exact(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_grouped(compare), "u bigint, v bigint")
 
 
+def _way(rest: Column, settled: Column, copies: int) -> Column:
+    """How a node of so many members outside its largest component and in it is compared.
+
+    In blocks where that takes at most ``copies`` rows a member, which splitting would take too; so the rows are linear in the members.
+    """
+    a, b = F.ceil(rest / NEAR_BLOCK), F.ceil(settled / NEAR_BLOCK)
+    dealt = rest * (a + b) + settled * a <= copies * (rest + settled)
+    return F.when(rest + settled <= SMALL, WHOLE).when(dealt, DEAL).otherwise(SPLIT)
+
+
 def plan_trees(threshold: float) -> tuple[int, int]:
     """The trees, and the copies in which each node is split, that miss at most MISS of pairs at the threshold.
 
@@ -300,11 +321,15 @@ def link(texts: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame |
     small = None
     for level in range(LEVELS + 1):
         rows = members.join(labels.drop("w"), "doc") if level == 0 else members
-        kinds = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        rows = materialise(rows.join(kinds.select("node", "n"), "node").select("node", "doc", "label", "pivot", "n", F.when(F.col("n") > SMALL, F.col("sig")).alias("sig")), f"level{level}")
-        part = rows.filter(F.col("n") <= SMALL).select(F.col("node").alias("g"), "doc", "label")
+        counts = rows.groupBy("node", "label").agg(F.count("*").alias("m"))
+        kinds = counts.groupBy("node").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top")).filter("top.m < n")
+        kinds = kinds.select("node", "n", F.col("top")["label"].alias("most"), _way(F.col("n") - F.col("top")["m"], F.col("top")["m"], copies).alias("way"))
+        rows = rows.join(kinds, "node").select("node", "doc", "label", "pivot", "way", (F.col("label") == F.col("most")).alias("settled"), F.when(F.col("way") == SPLIT, F.col("sig")).alias("sig"))
+        rows = materialise(rows, f"level{level}")
+        part = rows.filter(F.col("way") == WHOLE).select(F.col("node").alias("g"), "doc", "label")
+        part = part.unionAll(_dealt(rows.filter(F.col("way") == DEAL).select(F.col("node").alias("g"), "doc", "label", "settled", F.lit(0).alias("w")), NEAR_BLOCK))
         small = part if small is None else small.unionAll(part)
-        large = rows.filter(F.col("n") > SMALL)
+        large = rows.filter(F.col("way") == SPLIT).drop("settled")
         if large.isEmpty():
             break
         if level == LEVELS:

@@ -160,6 +160,50 @@ def test_pairs_that_leave_deep_nodes_are_found(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in range(len(rows))) == 0
 
 
+def test_pairs_that_leave_deep_nodes_are_found_by_splitting(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "NEAR_BLOCK", 2)
+    test_pairs_that_leave_deep_nodes_are_found(spark, monkeypatch)
+
+
+def test_nodes_of_a_common_passage_are_compared_and_not_split(spark, monkeypatch):
+    rows, written = [], {}
+    common = [f"c{i}" for i in range(30)]
+    for i in range(300):
+        own = [f"d{i}w{j}" for j in range(30)]
+        rows.append(common + own)
+        if i % 10 == 0:
+            rows.append([*common, *own[1:], f"e{i}"])
+
+    def record(df, name="table"):
+        out = materialise(df, name)
+        if name.startswith("level"):
+            written[name] = out.count()
+        return out
+
+    materialise = setjoin.materialise
+    monkeypatch.setattr(setjoin, "materialise", record)
+    sets = [set(r) for r in rows]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in setjoin.near_duplicates(df, 1, 85).collect()}
+    assert [got[i] for i in range(len(rows))] == roots(len(rows), pairs) and len(pairs) == 30
+    assert list(written) == ["level0"] and setjoin.SMALL < len(rows) < written["level0"]
+
+
+def test_dealt_nodes_take_no_more_rows_than_split_ones(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(setjoin, "SMALL", 4)
+    monkeypatch.setattr(setjoin, "NEAR_BLOCK", 8)
+    nodes = spark.createDataFrame([(g, rest, settled) for g, (rest, settled) in enumerate([(1, 2), (3, 60), (20, 20), (30, 9), (60, 1), (9, 400)])], "g long, rest int, settled int")
+    ways = nodes.select("g", setjoin._way(F.col("rest"), F.col("settled"), 4).alias("way")).collect()
+    assert {r.g: r.way for r in ways} == {0: setjoin.WHOLE, 1: setjoin.DEAL, 2: setjoin.SPLIT, 3: setjoin.SPLIT, 4: setjoin.SPLIT, 5: setjoin.DEAL}
+    members = nodes.select("g", "rest", "settled", F.explode(F.sequence(F.lit(1), F.col("rest") + F.col("settled"))).alias("doc"))
+    members = members.select("g", "doc", F.lit(0).alias("label"), (F.col("doc") > F.col("rest")).alias("settled"), F.lit(0).alias("w"))
+    rows = {r.g: r.n for r in setjoin._dealt(members.filter("g in (1, 5)"), 8).groupBy(F.lit(0).alias("g")).agg(F.count("*").alias("n")).collect()}
+    assert rows[0] <= 4 * (63 + 409)
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
 def test_trees_hold_their_miss_at_every_depth(threshold):
     trees, copies = setjoin.plan_trees(threshold)

@@ -253,3 +253,22 @@ def test_training_from_lines_texts_and_for_latin(spark):
     assert merged(tr.train(df, own(), len(v) + 2, free=True)) == merged(free)
     with pytest.raises(ValueError):
         tr.train_latin(df, vb.Vocab(), 3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_training_over_a_table_equals_training_on_the_driver(spark, monkeypatch, seed):
+    """With a sample of few words, whose guesses are often wrong, and without a word type on the driver beside it."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    for name, value in (("ROW_TOKENS", 40), ("BLOCK_TOKENS", 100), ("SAMPLE_TOKENS", 30), ("PENDING", 5)):
+        monkeypatch.setattr(tr, name, value, raising=False)
+    monkeypatch.setattr(Classic, "toLocalIterator", lambda *a, **b: pytest.fail("word types are brought to the driver"))
+    rng = random.Random(seed)
+    words = {"".join(rng.choice("aab") for _ in range(rng.randint(1, 9))): rng.randint(1, 9) for _ in range(60)} | {"".join(rng.choice("मान") for _ in range(5)): rng.randint(1, 9) for _ in range(30)}
+    df = spark.createDataFrame([(w,) for w, n in words.items() for _ in range(n)], "line string")
+    by_hand, table = vocabulary(), vocabulary()
+    types = sorted((cd.Codec(by_hand).encode(w), n) for w, n in words.items())
+    types = tr.Trainer(by_hand, theta=3).train(types, len(by_hand) + 12)
+    tr.Trainer(by_hand, theta=3, latin=True).train(types, len(by_hand) + 25)
+    tr.train_bilingual(df, table, 12 + len(table), 25, theta=3)
+    assert table.surfaces == by_hand.surfaces and len(table) > len(vocabulary()) + 30

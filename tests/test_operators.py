@@ -301,3 +301,65 @@ def test_chat_cleaner_equals_its_steps_in_python(spark):
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     for r in df.select("t", filters.clean_chat("t").alias("c")).collect():
         assert r.c == clean(r.t), ascii(r.t)
+
+
+def test_patterns_match_as_each_by_itself(spark):
+    """The joined pattern against every pattern tried by itself with Java's flags for either case."""
+    from loomtext.functions import fixed
+
+    lists = [fixed.KEYWORDS, fixed.SPAM, fixed.FILLER, *fixed.LISTENER.values(), fixed.REACTION, fixed.VAGUE, fixed.DEVOTIONAL, *fixed.LOW_CONTENT.values()]
+    rng = random.Random(5)
+    parts = [w for ps in lists for p in ps for w in p.replace("\\b", "").replace("^", "").replace("\\s+", " ").replace("\\s*", "").strip("()").split("|")]
+    odd = str.maketrans({"i": "İ", "k": "K", "s": "ſ"})
+    texts = [rng.choice(["", " ", "x", "_", "ा", "\n", "1"]) + rng.choice([str, str.upper, str.title, lambda t: t.translate(odd)])(w) + rng.choice(["", " ", "y", "-", "े"]) + rng.choice(parts) for w in parts * 3]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    edge = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+    plain = lambda p: p.replace("\\b", edge).replace("\\w", "[\\p{L}\\p{N}_]").replace("\\s", f"[{tx.WS}]")
+    for ps in lists:
+        got = rows.select(tx.any_match("t", ps).alias("a"), F.array(*[F.col("t").rlike(f"(?iu){plain(p)}") for p in ps]).alias("b")).collect()
+        assert [r.a for r in got] == [any(r.b) for r in got] and any(r.a for r in got)
+
+
+def test_a_long_word_is_searched_once_and_the_chat_chain_runs_once(spark):
+    """A link needs no second look at a word, and no filter takes the cleaner's chain once more."""
+    import time
+
+    df = spark.createDataFrame([("nepal " + "a." * 60_000 + "x see b.com/x here a.b.org/y/z.net/w .com/q",)], "line string")
+    began = time.time()
+    assert df.select(filters.clean_chat("line").alias("c")).first().c.endswith("see here .comq")
+    assert time.time() - began < 20
+    plan = filters.cleaned_chat(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("video mann parey maa like") == 1
+
+
+def test_chat_cleaner_equals_its_steps_one_by_one(spark):
+    """Groups of steps that are left out where nothing of theirs is in the text."""
+    import re as _re
+
+    from loomtext.functions import fixed
+
+    rng = random.Random(6)
+    parts = ["&amp;", "&lt;b&gt;", "&quot;x", "&#39", "&nbsp;", "😀", "é", "https://a.b/c", "x.com/y", ".com/z", "a.io/b.org/c", "<b>", "</i", "a href=x", "HREF = 'q'", "br", "A" * 21, "12:30", "@you", "@", "Subscribe", "like", "share", "press", "bell icon", "Follow me on", "check out my", "ha", "haha", "lol", "also", "ra", "..", "!!", "??", "…", "नमस्ते", "7", "word", ",", "\t", " "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    w, d, ws = r"\p{L}\p{N}_", r"\p{Nd}", tx.WS
+    edge = f"(?:(?<=[{w}])(?![{w}])|(?<![{w}])(?=[{w}]))"
+
+    def plain(p):
+        inside = lambda m: _re.sub(r"\\[swd]", lambda x: {"\\s": ws, "\\w": w, "\\d": d}[x[0]], m[0])
+        p = _re.sub(r"\[(?:\\.|[^\]\\])*\]", inside, p)
+        return p.replace("\\b", edge).replace("\\S", f"[^{ws}]").replace("\\s", f"[{ws}]").replace("\\d", f"[{d}]")
+
+    steps = [*((plain(p), n) for p, n in fixed.ENTITIES), (fixed.EMOJI, ""), *((plain(p), "") for p in fixed.LINKS), *((f"(?iu){p}", "") for p in fixed.PROMOTION), *((plain(p), "") for p in fixed.NOISE)]
+    steps += [(plain(rf"[^\w\s{tx.DEVANAGARI}.,!?;:()\-'\"]+"), ""), (r"\.{2,}", ""), (r"([!?])\1+", "$1"), (f"^[.{ws}]+|[.{ws}]+$", ""), (f"[{ws}]+", " "), (f"^[{ws}]+|[{ws}]+$", "")]
+    naive = F.col("t")
+    for pattern, new in steps:
+        naive = F.regexp_replace(naive, pattern, new)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", filters.clean_chat("t").alias("a"), naive.alias("b")).collect()
+    assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows]
+
+
+def test_spacing_of_every_kind(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "bc", "é", "क", " ", " ", "  ", "\t", " ", "　", "\x85", " ", "\x1c", "😀"]) for _ in range(rng.randint(0, 8))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.words("t").alias("w"), tx.n_words("t").alias("n"), tx.flatten("t").alias("f"), tx.strip("t").alias("s")).collect()
+    assert all((r.w, r.n, r.f, r.s) == (r.t.split(), len(r.t.split()), " ".join(r.t.split()), r.t.strip()) for r in rows)

@@ -120,7 +120,7 @@ def shared_tokens(pairs: DataFrame, a: str = "ids_a", b: str = "ids_b") -> DataF
 
 def continuation_rate(rows: DataFrame, pieces: str = "pieces") -> DataFrame:
     """Share of pieces that do not begin a word."""
-    return rows.agg((F.sum(F.size(F.filter(pieces, lambda p: ~p.rlike(f"^[{_MARKED}]")))) / F.greatest(F.sum(F.size(pieces)), F.lit(1))).alias("continuation_rate"))
+    return rows.agg((F.sum(F.size(F.filter(pieces, lambda p: ~p.startswith(_MARKED[0]) & ~p.startswith(_MARKED[1])))) / F.greatest(F.sum(F.size(pieces)), F.lit(1))).alias("continuation_rate"))
 
 
 def boundaries(pieces: Column | str) -> Column:

@@ -272,3 +272,52 @@ def test_training_over_a_table_equals_training_on_the_driver(spark, monkeypatch,
     tr.Trainer(by_hand, theta=3, latin=True).train(types, len(by_hand) + 25)
     tr.train_bilingual(df, table, 12 + len(table), 25, theta=3)
     assert table.surfaces == by_hand.surfaces and len(table) > len(vocabulary()) + 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["गा.वि.स.", "सन्", "2020", "20", "मा", "को", ".", "।", " ", "  ", "a", "the", "é", "😀", "▁", "▂x", "‌", "\t", "!"]), max_size=12).map("".join)), max_size=5))
+def test_arrays_of_tokens_are_those_of_each_text(texts):
+    import pyarrow as pa
+
+    own = cd.Codec(vocabulary("▁सन्", "▂2020", "▁मा", "the", "▂the", seeds=["गा.वि.स.", "ने.क.पा.", "सन्", "2020", "मा", "को"]))
+    whole = lambda t: own._encode(cd.mark(own.normalizer(t)), len(cd.mark(own.normalizer(t))) + own.seed_longest)
+    want = [None if t is None else whole(t) for t in texts]
+    assert own.encode_array(pa.array(texts, pa.string())).to_pylist() == want
+    assert own.pieces_array(pa.array(texts, pa.string())).to_pylist() == [w if w is None else [own.surfaces[i] for i in w] for w in want]
+    assert all(own.long.isdisjoint(w) or w[0] in "▁▂" for w in own.plain)
+
+
+def test_words_are_encoded_once_where_a_filter_follows(spark):
+    """The filter on the ids is not pushed below the count of words, where each occurrence would be encoded."""
+    from loomtext.operators import metrics
+    from loomtext.plans import tokens
+
+    words = metrics.word_counts(spark.createDataFrame([("a b a déjà",)], "line string"))
+    encoded = words.withColumn("ids", cd.ColumnCodec(words, tokens.base_vocab()).encode("word"))
+    plan = metrics.worst_words(encoded)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and plan.index("EvalPython") < plan.index("Aggregate")
+
+
+def test_aksharas_in_built_in_functions(spark):
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.choice([0x0915, 0x0928, 0x094D, 0x093E, 0x0902, 0x0905, 0x0966, 0x61, 0x200C, 0x0A, 0x1F600])) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", vb.akshara_column("t").alias("a")).collect()
+    assert all(r.a == (None if r.t is None else vb.akshara_split(r.t)) for r in rows)
+
+
+def test_normaliser_equals_a_walk():
+    rules = [("aa", "b"), ("a", "c"), ("‍a", "d"), ("bb", "")]
+    own, rng = vb.Normalizer(rules), random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choice("aab‍é") for _ in range(rng.randint(0, 8)))
+        out, i = [], 0
+        while i < len(text):
+            for old, new in sorted(rules, key=lambda r: -len(r[0])):
+                if text.startswith(old, i):
+                    out.append(new)
+                    i += len(old)
+                    break
+            else:
+                out.append("" if text[i] == "‍" else text[i])
+                i += 1
+        assert own(text) == "".join(out)

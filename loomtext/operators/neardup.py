@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -172,15 +174,50 @@ def alike(threshold: float, sides: int = 1) -> Callable[[str, str], bool]:
 
     def near(a: str, b: str) -> bool:
         a, b = a.lower(), b.lower()
-        for x, y in [(a, b), (b, a)][:sides]:
-            m = SequenceMatcher(None, x, y)
-            if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                return True
-        return False
+        # Upper bounds of what a matcher may find, the same in either direction and cheaper than one: lengths, characters, and the longest
+        # common subsequence, as the matching blocks are a common one.
+        length = len(a) + len(b)
+        if length and any(2.0 * bound(a, b) / length < threshold for bound in (_shorter, _shared, _in_order)):
+            return False
+        return any(SequenceMatcher(None, x, y).ratio() >= threshold for x, y in [(a, b), (b, a)][:sides])
 
     return near
 
 
+@lru_cache(512)
+def _characters(text: str) -> dict[str, int]:
+    return Counter(text)
+
+
+def _shared(a: str, b: str) -> int:
+    """Characters that two texts have in common, whatever their places."""
+    a, b = _characters(a), _characters(b)
+    return sum(min(n, b[c]) for c, n in a.items() if c in b)
+
+
+def _shorter(a: str, b: str) -> int:
+    return min(len(a), len(b))
+
+
+@lru_cache(512)
+def _places(text: str) -> dict[str, int]:
+    """A bit for each place of a character."""
+    out: dict[str, int] = {}
+    for k, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def _in_order(a: str, b: str) -> int:
+    """The length of the longest common subsequence, for all places of ``a`` at once: a bit is cleared where a longer one ends."""
+    places, every = _places(a), (1 << len(a)) - 1
+    open_ = every
+    for c in b:
+        if hit := open_ & places.get(c, 0):
+            open_ = (open_ + hit | open_ - hit) & every
+    return len(a) - open_.bit_count()
+
+
 def look_back(lines: DataFrame, by: Sequence[str], order: Sequence[str], column: str = "line", all_duplicates: bool = True, version: int = 2, window: int = 50) -> DataFrame:
     """Lines unlike the last ``window`` kept ones, and unlike every kept one exactly; or, by default of the tool, unlike the previous kept one.
 

@@ -363,3 +363,14 @@ def test_spacing_of_every_kind(spark):
     texts = ["".join(rng.choice(["a", "bc", "é", "क", " ", " ", "  ", "\t", " ", "　", "\x85", " ", "\x1c", "😀"]) for _ in range(rng.randint(0, 8))) for _ in range(400)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.words("t").alias("w"), tx.n_words("t").alias("n"), tx.flatten("t").alias("f"), tx.strip("t").alias("s")).collect()
     assert all((r.w, r.n, r.f, r.s) == (r.t.split(), len(r.t.split()), " ".join(r.t.split()), r.t.strip()) for r in rows)
+
+
+def test_likeness_is_difflibs_and_bounds_come_first(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abAB é") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    ratio = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    for sides, near in ((1, neardup.alike(0.7)), (2, neardup.alike(0.7, 2))):
+        assert all(near(a, b) == (ratio(a, b) >= 0.7 or sides == 2 and ratio(b, a) >= 0.7) for a in texts for b in texts)
+    monkeypatch.setattr(neardup, "SequenceMatcher", lambda *a: pytest.fail("a matcher is set up for lines that cannot be alike"))
+    near = neardup.alike(0.7, 2)
+    assert not near("a" * 10, "a" * 100) and not near("abcdef", "uvwxyz") and not near("abcdefgh", "hgfedcba")

@@ -298,11 +298,11 @@ def test_words_are_encoded_once_where_a_filter_follows(spark):
     assert plan.count("EvalPython") == 1 and plan.index("EvalPython") < plan.index("Aggregate")
 
 
-def test_aksharas_in_built_in_functions(spark):
+def test_aksharas_of_a_column_as_one_text(spark):
     rng = random.Random(3)
     texts = ["".join(chr(rng.choice([0x0915, 0x0928, 0x094D, 0x093E, 0x0902, 0x0905, 0x0966, 0x61, 0x200C, 0x0A, 0x1F600])) for _ in range(rng.randint(0, 12))) for _ in range(500)]
-    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", vb.akshara_column("t").alias("a")).collect()
-    assert all(r.a == (None if r.t is None else vb.akshara_split(r.t)) for r in rows)
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", vb.aksharas_joined("t", "|").alias("a")).collect()
+    assert all(r.a == (None if r.t is None else "|".join(vb.akshara_split(r.t))) for r in rows)
 
 
 def test_normaliser_equals_a_walk():
